@@ -55,4 +55,4 @@ def r(expr: str, digits: int = DIGITS) -> str:
 
 def per_column_sql(cols: list[str], template: str, joiner: str = "\nUNION ALL\n") -> str:
     """Expand ``template`` (with ``{c}``) once per column and union the pieces."""
-    return joiner.join(template.format(c=c) for c in cols)
+    return joiner.join(template.replace("{c}", c) for c in cols)
