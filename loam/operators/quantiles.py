@@ -64,8 +64,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     Keys with no non-missing value give no row (callers left-join).
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     group_cols = list(group_cols)
     keys = group_cols + ["column_name"]
     data = long if long is not None else long_values(df, columns, group_cols)
@@ -74,28 +73,48 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                                      F.max("value").alias("hi"))
              .checkpoint(eager=True))
     per_prob = _ranks(stats, probs, keys)
-    # Without group columns the targets table holds at most columns x 2 x probs
-    # rows, so broadcasting it is safe; with groups its size follows the data
-    # and the join strategy is left to the planner (AQE handles skew).
-    small = not group_cols
+    wanted = per_prob.select(*keys, F.explode(F.array("k0", "k1")).alias("k"), "n", "lo", "hi").distinct()
+    tv = solve_ranks(data, wanted, keys, cap, small=not group_cols)
+    v0 = tv.select(*keys, F.col("k").alias("k0"), F.col("value").alias("v0"))
+    v1 = tv.select(*keys, F.col("k").alias("k1"), F.col("value").alias("v1"))
+    return (per_prob.join(v0, keys + ["k0"]).join(v1, keys + ["k1"])
+            .select(*keys, "prob",
+                    (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value")))
+
+
+def kth_smallest(df: DataFrame, column: str, k: int, cap: int = DEFAULT_CAP) -> float | None:
+    """Exact value of 0-based rank ``k`` among the non-missing values of ``column``."""
+    ensure_checkpoint_dir(df.sparkSession)
+    data = long_values(df, [column])
+    stats = data.groupBy("column_name").agg(F.count("value").alias("n"), F.min("value").alias("lo"),
+                                            F.max("value").alias("hi")).checkpoint(eager=True)
+    wanted = stats.where(F.lit(k) < F.col("n")).select("column_name", F.lit(k).cast("long").alias("k"),
+                                                       "n", "lo", "hi")
+    row = solve_ranks(data, wanted, ["column_name"], cap, small=True).first()
+    return None if row is None else row["value"]
+
+
+def solve_ranks(data: DataFrame, wanted: DataFrame, keys: list[str], cap: int = DEFAULT_CAP,
+                small: bool = True) -> DataFrame:
+    """Value at each wanted rank: ``wanted`` has ``(keys..., k, n, lo, hi)``; returns ``(keys..., k, value)``.
 
+    ``small`` says the wanted table has a size bound independent of the data
+    (no group columns), so it may be broadcast; otherwise the planner decides
+    and AQE splits skewed join partitions.
+    """
     def side(t: DataFrame) -> DataFrame:
         return F.broadcast(t) if small else t
 
-    # one target per distinct (key, rank)
-    targets = (per_prob.select(*keys, F.explode(F.array("k0", "k1")).alias("k"), "n", "lo", "hi")
-               .distinct()
-               .withColumn("tid", F.xxhash64(*keys, "k"))
+    targets = (wanted.withColumn("tid", F.xxhash64(*keys, "k"))
                .select("tid", *keys, "k", "lo", "hi", F.lit(0).cast("long").alias("below"),
                        F.col("n").alias("cnt")))
-
     for _ in range(MAX_PASSES):
         open_t = targets.where((F.col("cnt") > cap) & (F.col("lo") < F.col("hi")))
         if open_t.limit(1).count() == 0:
             break
         targets = _narrow(data, targets, side(open_t), keys).checkpoint(eager=True)
 
-    # solve: degenerate ranges directly, the rest by sorting at most `cap` values
+    # degenerate ranges are solved; the rest sort at most `cap` values per target
     single = targets.where(F.col("lo") == F.col("hi")).select("tid", F.col("lo").alias("value"))
     rest = targets.where(F.col("lo") < F.col("hi")).select("tid", *keys, "lo", "hi", "below", "k")
     picked = (data.join(side(rest), on=keys)
@@ -105,13 +124,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
               .select("tid", F.element_at("vals", (F.col("k") - F.col("below") + 1).cast("int"))
                       .alias("value")))
     solved = single.unionByName(picked)
-    tv = targets.select("tid", *keys, "k").join(solved, "tid")
-
-    v0 = tv.select(*keys, F.col("k").alias("k0"), F.col("value").alias("v0"))
-    v1 = tv.select(*keys, F.col("k").alias("k1"), F.col("value").alias("v1"))
-    return (per_prob.join(v0, keys + ["k0"]).join(v1, keys + ["k1"])
-            .select(*keys, "prob",
-                    (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value")))
+    return targets.select("tid", *keys, "k").join(solved, "tid").drop("tid")
 
 
 def _narrow(data: DataFrame, targets: DataFrame, open_t: DataFrame, keys: list[str]) -> DataFrame:
