@@ -35,7 +35,7 @@ def orders_customers_faulty(spark, sf_dir):
 _FLOW_NUM = ["o_orderkey", "o_custkey", "o_totalprice", "c_acctbal"]
 
 
-def _flagship_sql() -> str:
+def _flagship_sql(distinct: bool = True) -> str:
     ws = _UNICODE_WS
     det = " + ".join(f"(SELECT count_if(abs(({c} - m) / nullif(s, 0)) > 3.0) FROM f, "
                      f"(SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM f))" for c in _FLOW_NUM)
@@ -57,7 +57,7 @@ det AS (SELECT {det} AS n),
 t0 AS (SELECT * FROM f),
 {", ".join(trims)},
 x AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, c_acctbal, {text} FROM {last}),
-y AS (SELECT DISTINCT * FROM x)
+y AS (SELECT {"DISTINCT" if distinct else ""} * FROM x)
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, c_name,
   {r('c_acctbal')} AS c_acctbal, c_mktsegment,
   {_onehot_sql('o_orderstatus', STATUS_VALUES)},
@@ -93,6 +93,20 @@ def eda_report_customer(spark, sf_dir):
     return eda_report(src, ST.column_types(src), plan.log_frame(spark))
 
 
+@register("streaming_clean_orders_customer", _flagship_sql(distinct=False))
+def streaming_clean_orders_customer(spark, sf_dir):
+    """M11 on a stream: the faulty input is landed as Parquet files, read back as a file
+    stream, cleaned by the batch-fitted plan and written by a streaming Parquet sink."""
+    from loam.streaming.clean_stream import clean_stream, read_parquet_stream, run_available
+    src = orders_customers_faulty(spark, sf_dir)
+    plan, _cleaned = CleaningPlan(target="o_orderpriority").fit(src)
+    landing = sinks.new_output_path(spark, "landing")
+    src.repartition(4).write.parquet(landing)
+    stream = read_parquet_stream(spark, landing, src.schema)
+    out = run_available(clean_stream(plan, stream))
+    return spark.read.parquet(out).withColumn("c_acctbal", F.round("c_acctbal", 4))
+
+
 # ----------------------------------------------------------------- K1-K4
 
 _MONTHLY_SQL = ("(SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, avg(o_totalprice) AS value, "
