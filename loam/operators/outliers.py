@@ -43,12 +43,11 @@ def mean_std(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
     """``{column: (mean, sample std)}`` from one aggregate (bounded: one pair per column)."""
     if not columns:
         return {}
-    aggs = []
-    for c in columns:
-        x = clean_double(F.col(c))
-        aggs += [F.avg(x), F.stddev_samp(x)]
-    row = df.agg(*aggs).first()
-    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
+    # long form: one grouped aggregate whatever the number of columns
+    rows = (long_values(df, list(columns)).groupBy("column_name")
+            .agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).collect())
+    got = {r["column_name"]: (r["m"], r["s"]) for r in rows}
+    return {c: got.get(c, (None, None)) for c in columns}
 
 
 def iqr_fences(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:

@@ -18,20 +18,27 @@ from loam.functions.schema import numeric_columns, string_columns
 from loam.functions.stats import clean_double, corrected_kurtosis, corrected_skew, safe_corr
 from loam.operators.quantiles import exact_quantiles, long_values
 
-# Columns per wide aggregate: keeps generated code under the JVM method limit.
-AGG_CHUNK = 40
+# Whole-stage codegen is switched off for a plan node whose output has more than
+# spark.sql.codegen.maxFields (100) fields; a partial aggregate outputs all of its
+# buffers.  Wide aggregates are therefore cut into chunks of at most this many
+# buffer fields (one scan per chunk, each fully code-generated).
+AGG_FIELD_BUDGET = 90
 
 
-def _chunks(items: Sequence[str], size: int = AGG_CHUNK):
+def _chunks(items: Sequence[str], size: int):
     for i in range(0, len(items), size):
         yield list(items[i:i + size])
 
 
-def _wide_to_long(df: DataFrame, per_column: Mapping[str, Column], name: str = "column_name") -> DataFrame:
-    """One aggregate row of structs (one per column) unpivoted to one row per column."""
+def _wide_to_long(df: DataFrame, per_column: Mapping[str, Column], name: str = "column_name",
+                  width: int = 2) -> DataFrame:
+    """One aggregate row of structs (one per item) unpivoted to one row per item.
+
+    ``width`` is the number of aggregation-buffer fields one item needs.
+    """
     frames = []
     cols = list(per_column)
-    for chunk in _chunks(cols):
+    for chunk in _chunks(cols, max(1, AGG_FIELD_BUDGET // max(width, 1))):
         row = df.agg(*[per_column[c].alias(c) for c in chunk])
         frames.append(row.unpivot([], chunk, name, "s").select(name, "s.*"))
     out = frames[0]
@@ -75,19 +82,20 @@ def dataset_metadata(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- J2, J8, J11
 
-def _moments(c: str) -> Column:
-    x = clean_double(F.col(c))
+def moments(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
+    """``(group..., column_name, count, mean, std, var, min, max, skew, kurtosis)``.
+
+    Long form: one grouped aggregate over ``(group..., column_name, value)``
+    rows; its buffers stay far under the code-generation field limit whatever
+    the number of columns.
+    """
+    keys = [*group_cols, "column_name"]
+    x = F.col("value")
     n = F.count(x).cast("double")
-    return F.struct(
-        F.count(x).alias("count"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.var_samp(x).alias("var"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        corrected_skew(n, F.skewness(x)).alias("skew"),
-        corrected_kurtosis(n, F.kurtosis(x)).alias("kurtosis"),
-    )
+    return long_values(df, columns, group_cols).groupBy(*keys).agg(
+        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.var_samp(x).alias("var"), F.min(x).alias("min"), F.max(x).alias("max"),
+        corrected_skew(n, F.skewness(x)).alias("skew"), corrected_kurtosis(n, F.kurtosis(x)).alias("kurtosis"))
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
@@ -95,18 +103,21 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
     """``(column_name, mean, median, std, min, max, skew, kurtosis)``.
 
     Sample std, bias-corrected skew and excess kurtosis (pandas rules), exact
-    median.  ``extended`` adds count, var, q25 and q75 (J8 describe).
+    median.  ``extended`` adds count, var, q25 and q75 (J8 describe).  The
+    moments (one row per column) are checkpointed and also serve as the
+    count/min/max pass of the quantiles, so the data is scanned once for both.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
     if not columns:
         raise ValueError("no numeric columns")
-    moments = _wide_to_long(df, {c: _moments(c) for c in columns})
+    mom = moments(df, columns).checkpoint(eager=True)
     probs = [0.25, 0.5, 0.75] if extended else [0.5]
-    q = exact_quantiles(df, columns, probs)
+    stats = mom.select("column_name", F.col("count").alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+    q = exact_quantiles(df, columns, probs, stats=stats)
     qw = q.groupBy("column_name").pivot("prob", probs).agg(F.first("value"))
     names = {0.25: "q25", 0.5: "median", 0.75: "q75"}
     qw = qw.select("column_name", *[F.col(f"`{p}`").alias(names[p]) for p in probs])
-    out = moments.join(qw, "column_name", "left")
+    out = mom.join(qw, "column_name", "left")
     base = ["column_name", "mean", "median", "std", "min", "max", "skew", "kurtosis"]
     if extended:
         base += ["count", "var", "q25", "q75"]
@@ -286,10 +297,13 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     per = {f"p{i}": F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
                              safe_corr(xs[a], xs[b]).alias("corr"))
            for i, (a, b) in enumerate(pairs)}
-    upper = _wide_to_long(df, per, name="pair").drop("pair")
-    lower = upper.where(F.col("column_a") != F.col("column_b")).select(
-        F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "corr")
-    return upper.unionByName(lower)
+    # covar_samp (4 buffer fields) + two stddev_samp (3 each) per pair
+    upper = _wide_to_long(df, per, name="pair", width=10).drop("pair")
+    # both orientations from the same rows: no second evaluation of the aggregates
+    both = F.array(F.struct(F.col("column_a").alias("a"), F.col("column_b").alias("b")),
+                   F.struct(F.col("column_b").alias("a"), F.col("column_a").alias("b")))
+    return (upper.select(F.explode(F.array_distinct(both)).alias("ab"), "corr")
+            .select(F.col("ab.a").alias("column_a"), F.col("ab.b").alias("column_b"), "corr"))
 
 
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -298,7 +312,7 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None
     y = clean_double(F.col(target))
     per = {c: F.struct(F.lit(c).alias("feature"), safe_corr(clean_double(F.col(c)), y).alias("corr"))
            for c in columns}
-    out = _wide_to_long(df, per).drop("column_name")
+    out = _wide_to_long(df, per, width=10).drop("column_name")
     w = Window.orderBy(F.desc_nulls_last(F.abs("corr")), F.asc("feature"))
     # one row per feature: a single ordered window over a bounded frame
     return out.withColumn("rank", F.row_number().over(w))

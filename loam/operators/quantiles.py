@@ -59,19 +59,21 @@ def _ranks(stats: DataFrame, probs: Sequence[float], keys: list[str]) -> DataFra
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     group_cols: Sequence[str] = (), cap: int = DEFAULT_CAP,
-                    long: DataFrame | None = None) -> DataFrame:
+                    long: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Exact quantiles: ``(group..., column_name, prob, value)``.
 
-    Keys with no non-missing value give no row (callers left-join).
+    Keys with no non-missing value give no row (callers left-join).  ``stats``
+    may carry an already computed ``(keys..., n, lo, hi)`` frame.
     """
     ensure_checkpoint_dir(df.sparkSession)
     group_cols = list(group_cols)
     keys = group_cols + ["column_name"]
     data = long if long is not None else long_values(df, columns, group_cols)
 
-    stats = (data.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("lo"),
-                                     F.max("value").alias("hi"))
-             .checkpoint(eager=True))
+    if stats is None:
+        stats = (data.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("lo"),
+                                         F.max("value").alias("hi"))
+                 .checkpoint(eager=True))
     per_prob = _ranks(stats, probs, keys)
     wanted = per_prob.select(*keys, F.explode(F.array("k0", "k1")).alias("k"), "n", "lo", "hi").distinct()
     tv = solve_ranks(data, wanted, keys, cap, small=not group_cols)

@@ -54,7 +54,7 @@ def type_evidence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         per[c] = F.struct(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"),
                           F.count(col).alias("non_null"), num.cast("long").alias("numeric_like"),
                           dt.cast("long").alias("datetime_like"))
-    ev = _wide_to_long(df, per)
+    ev = _wide_to_long(df, per, width=4)
     nd = distinct_counts(df, columns)
     return (ev.join(nd, "column_name", "left")
             .select("column_name", "kind", "n_rows", "non_null", "numeric_like", "datetime_like",
