@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loam.functions.hashing import seeded_hash52
 from loam.functions.schema import DATETIME_TYPES
 from loam.operators.quantiles import kth_smallest
 
@@ -48,9 +49,8 @@ def modelling_date_parts(df: DataFrame) -> DataFrame:
 
 
 def split_hash(key: Sequence[str], seed: int = 42) -> Column:
-    """52-bit hash of the seed and key (exact as a double; same value in any SQL with md5)."""
-    s = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
-    return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("long")
+    """52-bit seeded hash of the key (see ``loam.functions.hashing``)."""
+    return seeded_hash52(key, seed)
 
 
 def train_test_split(df: DataFrame, key: Sequence[str], test_size: float = 0.2, seed: int = 42,

@@ -263,6 +263,14 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
                           (F.col("lo") + width * (F.col("bin") + 1)).alias("upper"), "count")
 
 
+def distribution(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
+    """Labelled bins ``(bin, label, count)`` of one numeric column; the label is
+    ``"<lower> - <upper>"`` with bounds rounded to 2 decimals."""
+    h = histogram(df, [column], bins)
+    label = F.concat(F.round("lower", 2).cast("string"), F.lit(" - "), F.round("upper", 2).cast("string"))
+    return h.select("bin", label.alias("label"), "count")
+
+
 def binned_scatter(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """B8 at scale: 2-D binned counts ``(x_bin, y_bin, count)`` instead of raw points.
 

@@ -246,13 +246,65 @@ def tail_orders(spark, sf_dir):
     return readers.tail(table(spark, sf_dir, "orders"), ["o_orderkey"], 5)
 
 
-@register("sample_rows_customer")
+@register("sample_rows_customer",
+          "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY "
+          "CAST(('0x' || substr(md5('42|' || CAST(c_custkey AS VARCHAR)), 1, 13)) AS BIGINT), c_custkey LIMIT 10")
 def sample_rows_customer(spark, sf_dir):
-    """Ten customers chosen by a seeded hash of the key (xxhash64 has no SQL twin in DuckDB)."""
+    """Ten customers chosen by a seeded hash of the key."""
     return readers.sample_rows(table(spark, sf_dir, "customer"), ["c_custkey"], n=10, seed=42)
 
 
-@register("binned_scatter_lineitem")
+_SCATTER_SQL = """WITH v AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem
+  WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+g AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v)
+SELECT CAST(CASE WHEN x1 = x0 THEN 0 ELSE least(floor((x - x0) / (x1 - x0) * 20), 19) END AS INTEGER) AS x_bin,
+  CAST(CASE WHEN y1 = y0 THEN 0 ELSE least(floor((y - y0) / (y1 - y0) * 20), 19) END AS INTEGER) AS y_bin,
+  count(*) AS count FROM v, g GROUP BY 1, 2"""
+
+
+@register("binned_scatter_lineitem", _SCATTER_SQL)
 def binned_scatter_lineitem(spark, sf_dir):
     """2-D binned counts of quantity vs extended price (20 x 20 grid)."""
     return P.binned_scatter(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", bins=20)
+
+
+@register("numeric_projection_lineitem", "SELECT " + ", ".join(LINEITEM_NUM) + " FROM lineitem")
+def numeric_projection_lineitem(spark, sf_dir):
+    """Projection to the numeric columns chosen from the schema."""
+    from loam.functions.schema import select_by_kind
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(*select_by_kind(li, "numeric"))
+
+
+@register("derived_columns_lineitem",
+          "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue, "
+          "l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem")
+def derived_columns_lineitem(spark, sf_dir):
+    """Derived columns added side by side (no join).  Row-wise IEEE arithmetic is
+    identical in both engines, so the values are compared unrounded."""
+    from loam.operators.columns import add_columns
+    li = table(spark, sf_dir, "lineitem")
+    rev = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    out = add_columns(li, {"revenue": rev, "charge": rev * (1 + F.col("l_tax"))})
+    return out.select("l_orderkey", "l_linenumber", "revenue", "charge")
+
+
+@register("correlation_selected_orders", _corr_sql("orders", ["o_totalprice", "o_custkey", "o_orderkey"]))
+def correlation_selected_orders(spark, sf_dir):
+    """Correlation restricted to chosen columns."""
+    o = table(spark, sf_dir, "orders")
+    return rounded(P.correlation_matrix(o, ["o_totalprice", "o_custkey", "o_orderkey"]))
+
+
+_DIST_SQL = """WITH v AS (SELECT o_totalprice AS value FROM orders WHERE o_totalprice IS NOT NULL),
+g AS (SELECT min(value) AS lo, max(value) AS hi FROM v),
+b AS (SELECT CAST(coalesce(least(floor((value - lo) / nullif(hi - lo, 0) * 8), 7), 0) AS INTEGER) AS bin, lo, hi,
+  count(*) AS count FROM v, g GROUP BY ALL)
+SELECT bin, CAST(round(lo + (hi - lo) / 8 * bin, 2) AS VARCHAR) || ' - ' || CAST(round(lo + (hi - lo) / 8 * (bin + 1), 2)
+  AS VARCHAR) AS label, count FROM b"""
+
+
+@register("distribution_order_value", _DIST_SQL)
+def distribution_order_value(spark, sf_dir):
+    """Labelled 8-bin distribution of the order value."""
+    return P.distribution(table(spark, sf_dir, "orders"), "o_totalprice", bins=8)

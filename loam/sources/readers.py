@@ -89,12 +89,13 @@ def sample_rows(df: DataFrame, key: list[str], n: int = 10, seed: int = 42) -> D
     ``orderBy(...).limit(n)`` plans as a per-partition top-n, so no task holds
     more than ``n`` rows.
     """
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key])
-    return df.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h")
+    from loam.functions.hashing import seeded_hash52
+    return df.withColumn("_h", seeded_hash52(key, seed)).orderBy("_h", *key).limit(n).drop("_h")
 
 
 def sample_fraction(df: DataFrame, key: list[str], fraction: float, seed: int = 42) -> DataFrame:
     """Fraction sample by hash bucket (deterministic, partition independent)."""
+    from loam.functions.hashing import seeded_hash52
     buckets = 1_000_000
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in key]), F.lit(buckets))
+    h = F.pmod(seeded_hash52(key, seed), F.lit(buckets))
     return df.where(h < F.lit(int(round(fraction * buckets))))
