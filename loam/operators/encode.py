@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import safe_identifier
-from loam.operators.profile import distinct_counts
+from loam.operators.profile import distinct_counts, value_counts
 
 NULL_LABEL = "nan"
 ONEHOT_THRESHOLD = 10
@@ -35,7 +36,12 @@ def label_codes(df: DataFrame, column: str, null_label: str | None = NULL_LABEL,
                 partitions: int | None = None) -> DataFrame:
     """``(value, code)``: 0-based rank of each distinct label in code-point order."""
     values = df.select(_as_label(column, null_label).alias("value")).where(F.col("value").isNotNull()).distinct()
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rank_values(values, partitions)
+
+
+def rank_values(values: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``(value, code)`` for a frame of distinct strings ``value``."""
+    n_parts = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # materialised once: both branches below must see the same partition ids
     ranged = (values.repartitionByRange(n_parts, "value").withColumn("pid", F.spark_partition_id())
               .checkpoint(eager=True))
@@ -79,6 +85,31 @@ def fit_label(df: DataFrame, column: str, null_label: str | None = NULL_LABEL) -
     return Encoding(column, "label", [f"{column}_encoded"], codes=codes, n_codes=n)
 
 
+def _label_from_counts(vc: DataFrame, column: str, has_null: bool,
+                       null_label: str | None = NULL_LABEL) -> Encoding:
+    """Label codes from already distinct ``(column_name, value)`` counts (no new shuffle of
+    the data); the missing label joins the values when the column has missing values."""
+    values = vc.where(F.col("column_name") == column).select("value")
+    if has_null and null_label is not None:
+        extra = vc.sparkSession.createDataFrame([(null_label,)], "value string")
+        values = values.where(F.col("value") != null_label).unionByName(extra)
+    codes = rank_values(values).checkpoint(eager=True)
+    return Encoding(column, "label", [f"{column}_encoded"], codes=codes, n_codes=codes.count())
+
+
+def _onehot_names(column: str, cats: list[str], existing: set[str]) -> list[str]:
+    names = []
+    for v in cats:
+        base = safe_identifier(f"{column}_{v}")
+        name, k = base, 1
+        while name in existing:
+            k += 1
+            name = f"{base}_{k}"
+        existing.add(name)
+        names.append(name)
+    return names
+
+
 def fit_onehot(df: DataFrame, column: str, existing: set[str] | None = None) -> Encoding:
     """Distinct non-missing values (bounded: the caller checked the distinct count)."""
     vals = (df.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull())
@@ -117,27 +148,40 @@ def fit_encoding(df: DataFrame, types: dict[str, str], method: str = "auto",
 
     The target is always label-encoded and renamed ``<target>_encoded``;
     others: ``label``, ``onehot``, or ``auto`` (one-hot when the distinct
-    count, missing excluded, is at most ``threshold``).
+    count, missing excluded, is at most ``threshold``).  One shuffle of
+    ``(column, value)`` counts serves every column: distinct counts, one-hot
+    categories (collected only below ``ONEHOT_MAX_COLUMNS``) and label values.
     """
     if method not in ("auto", "label", "onehot"):
         raise ValueError(f"unknown encoding method: {method}")
     cols = [c for c, t in types.items() if t in ("categorical", "text") and c in df.columns]
-    nd = {}
-    if method == "auto" and cols:
-        nd = {r["column_name"]: r["n_distinct"] for r in distinct_counts(df, cols).collect()}
-    encs = []
-    existing = set(df.columns)
-    new_target = target
-    for c in cols:
-        if c == target:
-            encs.append(fit_label(df, c))
-            new_target = f"{c}_encoded"
-        elif method == "label" or (method == "auto" and nd.get(c, 0) > threshold):
-            encs.append(fit_label(df, c))
-        else:
-            e = fit_onehot(df, c, existing)
-            existing.update(e.output)
-            encs.append(e)
+    if not cols:
+        return EncodingPlan([], target)
+    vc = value_counts(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        per = {r["column_name"]: (r["n_distinct"], r["n_present"]) for r in
+               vc.groupBy("column_name").agg(F.count("*").alias("n_distinct"),
+                                             F.sum("count").alias("n_present")).collect()}
+        n_rows = df.count()
+        encs = []
+        existing = set(df.columns)
+        new_target = target
+        for c in cols:
+            nd, present = per.get(c, (0, 0))
+            has_null = (present or 0) < n_rows
+            if c == target:
+                encs.append(_label_from_counts(vc, c, has_null))
+                new_target = f"{c}_encoded"
+            elif method == "label" or (method == "auto" and nd > threshold):
+                encs.append(_label_from_counts(vc, c, has_null))
+            else:
+                if nd > ONEHOT_MAX_COLUMNS:
+                    raise ValueError(f"{c}: too many values for one-hot encoding")
+                # bounded by the check above
+                cats = sorted(r["value"] for r in vc.where(F.col("column_name") == c).select("value").collect())
+                encs.append(Encoding(c, "onehot", _onehot_names(c, cats, existing), categories=cats))
+    finally:
+        vc.unpersist()
     return EncodingPlan(encs, new_target)
 
 

@@ -31,18 +31,27 @@ def _fill_expr(c: str, dtype: T.DataType, value):
     return F.coalesce(col, F.lit(value)).alias(c)
 
 
-def fit_imputation(df: DataFrame, types: dict[str, str]) -> list[tuple[str, str, int, str, object]]:
+def fit_imputation(df: DataFrame, types: dict[str, str],
+                   evidence: dict[str, dict] | None = None) -> list[tuple[str, str, int, str, object]]:
     """D3-D5 fit: ``(column, type, missing, strategy, fill)`` for columns with missing values.
 
     numeric: exact median; categorical: mode (smallest on a tie; an all-missing
     column keeps NULL and is logged); text: ``"MISSING"``; datetime: left alone.
+    ``evidence`` (from type detection on the same rows) supplies missing counts
+    and modes without another pass over the data.
     """
-    miss = {r["column_name"]: r["missing"] for r in missing_counts(df).collect()}
+    if evidence is not None:
+        miss = {c: int(e["n_rows"] - e["non_null"]) for c, e in evidence.items()}
+    else:
+        miss = {r["column_name"]: r["missing"] for r in missing_counts(df).collect()}
     todo = [c for c in df.columns if miss.get(c, 0) > 0]
     num = [c for c in todo if types.get(c, "text") == "numeric"]
     cat = [c for c in todo if types.get(c, "text") == "categorical"]
     med = quantile_map(df, num, [0.5]) if num else {}
-    modes = {r["column_name"]: r["mode"] for r in value_mode(df, cat).collect()} if cat else {}
+    if evidence is not None:
+        modes = {c: evidence[c]["mode"] for c in cat}
+    else:
+        modes = {r["column_name"]: r["mode"] for r in value_mode(df, cat).collect()} if cat else {}
     plan = []
     for c in todo:
         t = types.get(c, "text")

@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from loam.functions.numeric_text import coerce_numeric, looks_numeric
 from loam.functions.schema import NUMERIC_TYPES, DATETIME_TYPES, flat_columns
-from loam.operators.profile import _wide_to_long, distinct_counts
+from loam.functions.stats import nan_to_null
+from loam.operators.profile import _wide_to_long, value_counts
 
 CATEGORICAL_MAX_DISTINCT = 50
 CATEGORICAL_MAX_SHARE = 0.5
@@ -38,7 +39,11 @@ def _kind(dt: T.DataType) -> str:
 
 
 def type_evidence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, kind, n_rows, non_null, numeric_like, datetime_like, n_distinct)``."""
+    """``(column_name, kind, n_rows, non_null, numeric_like, datetime_like, n_distinct, mode)``.
+
+    The distinct count comes from one shuffle of ``(column, value)`` counts,
+    which also yields each column's most frequent value (smallest on a tie).
+    """
     columns = list(columns) if columns is not None else flat_columns(df)
     fields = {f.name: f.dataType for f in df.schema.fields}
     per = {}
@@ -51,14 +56,18 @@ def type_evidence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         else:
             num = F.lit(0).cast("long")
             dt = F.lit(0).cast("long")
+        present = nan_to_null(col) if isinstance(fields[c], (T.DoubleType, T.FloatType)) else col
         per[c] = F.struct(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"),
-                          F.count(col).alias("non_null"), num.cast("long").alias("numeric_like"),
+                          F.count(present).alias("non_null"), num.cast("long").alias("numeric_like"),
                           dt.cast("long").alias("datetime_like"))
     ev = _wide_to_long(df, per, width=4)
-    nd = distinct_counts(df, columns)
+    nd = (value_counts(df, columns).groupBy("column_name")
+          .agg(F.count("*").alias("n_distinct"),
+               F.min(F.struct((-F.col("count")).alias("nc"), F.col("value").alias("v"))).alias("m"))
+          .select("column_name", "n_distinct", F.col("m.v").alias("mode")))
     return (ev.join(nd, "column_name", "left")
             .select("column_name", "kind", "n_rows", "non_null", "numeric_like", "datetime_like",
-                    F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")))
+                    F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "mode"))
 
 
 def detect_column_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -79,8 +88,14 @@ def detect_column_types(df: DataFrame, columns: list[str] | None = None) -> Data
 
 def column_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """C1 as an ordered ``{column: type}`` dict (one row per column reaches the driver)."""
-    rows = {r["column_name"]: r["semantic_type"] for r in detect_column_types(df, columns).collect()}
-    return {c: rows[c] for c in (columns if columns is not None else flat_columns(df)) if c in rows}
+    return column_types_with_evidence(df, columns)[0]
+
+
+def column_types_with_evidence(df: DataFrame, columns: list[str] | None = None):
+    """C1 plus the evidence rows (one per column): ``({column: type}, {column: row dict})``."""
+    rows = {r["column_name"]: r.asDict() for r in detect_column_types(df, columns).collect()}
+    order = [c for c in (columns if columns is not None else flat_columns(df)) if c in rows]
+    return {c: rows[c]["semantic_type"] for c in order}, {c: rows[c] for c in order}
 
 
 def format_numeric_columns(df: DataFrame, types: dict[str, str]) -> DataFrame:

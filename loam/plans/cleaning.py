@@ -81,12 +81,12 @@ class CleaningPlan:
         self.names, self.final_target = mapping, new_target
         self._log("names", None, "Standardized column names")
 
-        self.types = ST.column_types(renamed)
+        self.types, evidence = ST.column_types_with_evidence(renamed)
         for c, t in self.types.items():
             self._log("types", c, "detected type", None, t)
         coerced = ST.format_numeric_columns(renamed, self.types)
 
-        self.fills = MIS.fit_imputation(coerced, self.types)
+        self.fills = MIS.fit_imputation(coerced, self.types, evidence)
         for c, t, m, s, v in self.fills:
             self._log("missing", c, f"filled with {s}" if s != "none" else "left missing", m,
                       None if v is None else str(v))
@@ -101,18 +101,20 @@ class CleaningPlan:
                 self._log("outliers", r["column_name"], "detected (zscore)", r["n_outliers"])
         trimmed = filled
         self.trim_steps = []
+        # the row count is part of the type evidence: no extra pass
+        n_rows = next(iter(evidence.values()))["n_rows"] if evidence else filled.count()
+        n_before = n_rows
         if n_found > 0:
-            before = filled.count()
             for c in nums:
                 mean, std = OUT.mean_std(trimmed, [c])[c]
                 self.trim_steps.append((c, mean, std))
                 cond = self._trim_condition()
                 trimmed = filled.where(cond)
-            self._log("outliers", None, "removed rows (zscore, sequential)", before - trimmed.count())
+            n_before = trimmed.count()
+            self._log("outliers", None, "removed rows (zscore, sequential)", n_rows - n_before)
 
         texted = TXT.clean_text_columns(trimmed)
         self._log("text", None, "Cleaned text columns")
-        n_before = texted.count()
         deduped = texted.dropDuplicates().checkpoint(eager=True)
         n_dupes = n_before - deduped.count()
         if n_dupes:
