@@ -37,8 +37,10 @@ def fit_imputation(df: DataFrame, types: dict[str, str],
 
     numeric: exact median; categorical: mode (smallest on a tie; an all-missing
     column keeps NULL and is logged); text: ``"MISSING"``; datetime: left alone.
-    ``evidence`` (from type detection on the same rows) supplies missing counts
-    and modes without another pass over the data.
+    ``evidence`` (from type detection on the same rows) supplies the missing
+    counts without another pass; modes are computed only for categorical
+    columns that have gaps (fewer than 50 distinct values each, so their value
+    counts are a small shuffle).
     """
     if evidence is not None:
         miss = {c: int(e["n_rows"] - e["non_null"]) for c, e in evidence.items()}
@@ -48,10 +50,7 @@ def fit_imputation(df: DataFrame, types: dict[str, str],
     num = [c for c in todo if types.get(c, "text") == "numeric"]
     cat = [c for c in todo if types.get(c, "text") == "categorical"]
     med = quantile_map(df, num, [0.5]) if num else {}
-    if evidence is not None:
-        modes = {c: evidence[c]["mode"] for c in cat}
-    else:
-        modes = {r["column_name"]: r["mode"] for r in value_mode(df, cat).collect()} if cat else {}
+    modes = {r["column_name"]: r["mode"] for r in value_mode(df, cat).collect()} if cat else {}
     plan = []
     for c in todo:
         t = types.get(c, "text")

@@ -190,15 +190,19 @@ def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None, k:
             .select("column_name", "unique_values", "rank", "value", "count"))
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Exact distinct count per column via one shuffle of (column, value) pairs.
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, by_hash: bool = True) -> DataFrame:
+    """Distinct count per column via one shuffle of ``(column, key)`` pairs.
 
-    Avoids the row x column Expand that several ``count_distinct`` in one
-    ``agg`` produce.
+    ``by_hash`` shuffles a 96-bit key (``xxhash64`` and murmur3 of the value)
+    instead of the value itself, so long texts are not moved to count them;
+    two different values count once only if both hashes collide (about one
+    chance in 2^96 per pair).  ``by_hash=False`` shuffles the values.
     """
     columns = list(columns) if columns is not None else list(df.columns)
-    return (_string_long(df, columns).distinct()
-            .groupBy("column_name").agg(F.count("*").alias("n_distinct")))
+    lv = _string_long(df, columns)
+    if by_hash:
+        lv = lv.select("column_name", F.xxhash64("value").alias("h1"), F.hash("value").alias("h2"))
+    return lv.distinct().groupBy("column_name").agg(F.count("*").alias("n_distinct"))
 
 
 def value_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from loam.functions.numeric_text import coerce_numeric, looks_numeric
 from loam.functions.schema import NUMERIC_TYPES, DATETIME_TYPES, flat_columns
 from loam.functions.stats import nan_to_null
-from loam.operators.profile import _wide_to_long, value_counts
+from loam.operators.profile import _wide_to_long, distinct_counts
 
 CATEGORICAL_MAX_DISTINCT = 50
 CATEGORICAL_MAX_SHARE = 0.5
@@ -39,10 +39,10 @@ def _kind(dt: T.DataType) -> str:
 
 
 def type_evidence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, kind, n_rows, non_null, numeric_like, datetime_like, n_distinct, mode)``.
+    """``(column_name, kind, n_rows, non_null, numeric_like, datetime_like, n_distinct)``.
 
-    The distinct count comes from one shuffle of ``(column, value)`` counts,
-    which also yields each column's most frequent value (smallest on a tie).
+    One aggregate for the counts, one shuffle of hashed ``(column, value)``
+    keys for the distinct counts (texts are not moved).
     """
     columns = list(columns) if columns is not None else flat_columns(df)
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -61,13 +61,10 @@ def type_evidence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                           F.count(present).alias("non_null"), num.cast("long").alias("numeric_like"),
                           dt.cast("long").alias("datetime_like"))
     ev = _wide_to_long(df, per, width=4)
-    nd = (value_counts(df, columns).groupBy("column_name")
-          .agg(F.count("*").alias("n_distinct"),
-               F.min(F.struct((-F.col("count")).alias("nc"), F.col("value").alias("v"))).alias("m"))
-          .select("column_name", "n_distinct", F.col("m.v").alias("mode")))
+    nd = distinct_counts(df, columns)
     return (ev.join(nd, "column_name", "left")
             .select("column_name", "kind", "n_rows", "non_null", "numeric_like", "datetime_like",
-                    F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "mode"))
+                    F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")))
 
 
 def detect_column_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
             reader = reader.option("inferSchema", True)
         df = reader.csv(path)
     elif ext == ".json":
-        reader = spark.read.option("multiLine", _is_json_document(path))
+        reader = spark.read.option("multiLine", _is_json_document(spark, path))
         if schema is not None:
             reader = reader.schema(schema)
         elif all_strings:
@@ -54,13 +54,12 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     return normalize_missing(df)
 
 
-def _is_json_document(path: str) -> bool:
-    """A JSON file that starts with ``[`` is one document; otherwise JSON lines."""
-    if not os.path.isfile(path):
-        return False
-    with open(path, "rb") as fh:
-        head = fh.read(4096).lstrip()
-    return head.startswith(b"[")
+def _is_json_document(spark: SparkSession, path: str) -> bool:
+    """A JSON source whose first non-blank line starts with ``[`` is one document
+    (array of records); otherwise JSON lines.  Read through Spark, so any file
+    system the cluster mounts works; one line reaches the driver."""
+    first = (spark.read.text(path).where(F.trim("value") != "").limit(1).collect())
+    return bool(first) and first[0]["value"].lstrip().startswith("[")
 
 
 def as_strings(df: DataFrame) -> DataFrame:
