@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.stats import clean_double
 from loam.operators.ordered import cumulative_sums
 
 MINIMIZE = ("rmse", "mae", "mse", "log_loss")
@@ -84,8 +85,8 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> Data
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """M3: ``(n, mse, rmse, mae, r2)``; r2 is 1 when both residual and total sums of
     squares are 0 and 0 when only the total is 0."""
-    y = F.col(label).cast("double")
-    p = F.col(prediction).cast("double")
+    y = clean_double(F.col(label))
+    p = clean_double(F.col(prediction))
     agg = df.where(y.isNotNull() & p.isNotNull()).agg(
         F.count("*").alias("n"), F.avg((y - p) * (y - p)).alias("mse"), F.avg(F.abs(y - p)).alias("mae"),
         F.var_pop(y).alias("vy"))

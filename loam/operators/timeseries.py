@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.stats import clean_double
+
 FREQS = ("month", "day", "hour")
 Z_95 = 1.959963984540054
 
@@ -44,7 +46,7 @@ def resample(df: DataFrame, time_col: str, value_col: str, freq: str = "month",
     p = _period(F.col(time_col), freq)
     return (df.where(F.col(time_col).isNotNull())
             .groupBy(p.alias("period"))
-            .agg(fn(F.col(value_col).cast("double")).alias("value"), F.count(F.col(value_col)).alias("n")))
+            .agg(fn(clean_double(F.col(value_col))).alias("value"), F.count(clean_double(F.col(value_col))).alias("n")))
 
 
 def trend(series: DataFrame, freq: str = "month") -> DataFrame:

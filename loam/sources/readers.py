@@ -13,7 +13,8 @@ SUPPORTED_EXTENSIONS = (".csv", ".json", ".parquet")
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
-    """NaN becomes NULL in floating columns, so every statistic sees one kind of missing."""
+    """NaN becomes NULL in floating columns (optional: the operators already treat
+    NaN as missing, and this projection would stop filter pushdown on those columns)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -24,11 +25,13 @@ def normalize_missing(df: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-         infer_schema: bool = True, all_strings: bool = False) -> DataFrame:
+         infer_schema: bool = True, all_strings: bool = False, nan_to_null: bool = False) -> DataFrame:
     """A1-A3: read by lower-cased extension; unknown extensions raise ``ValueError``.
 
     CSV has a header row; JSON may be one array/records document or JSON lines.
-    ``all_strings`` (A4) reads every column as text.
+    ``all_strings`` (A4) reads every column as text.  The scan is returned as
+    is, so projections and filters reach the reader; every operator treats NaN
+    as missing itself (``nan_to_null`` rewrites floating columns up front).
     """
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in SUPPORTED_EXTENSIONS:
@@ -51,7 +54,7 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
         df = spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
     if all_strings:
         df = as_strings(df)
-    return normalize_missing(df)
+    return normalize_missing(df) if nan_to_null else df
 
 
 def _is_json_document(spark: SparkSession, path: str) -> bool:
@@ -68,8 +71,9 @@ def as_strings(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the test tables: ``<sf_dir>/<name>.parquet``."""
-    return normalize_missing(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """One of the test tables: ``<sf_dir>/<name>.parquet`` (plain scan: filters and
+    column pruning push down to Parquet)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def preview(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
