@@ -110,16 +110,18 @@ def solve_ranks(data: DataFrame, wanted: DataFrame, keys: list[str], cap: int =
     targets = (wanted.withColumn("tid", F.xxhash64(*keys, "k"))
                .select("tid", *keys, "k", "lo", "hi", F.lit(0).cast("long").alias("below"),
                        F.col("n").alias("cnt")))
-    for _ in range(MAX_PASSES):
+    for i in range(MAX_PASSES):
         open_t = targets.where((F.col("cnt") > cap) & (F.col("lo") < F.col("hi")))
         if open_t.limit(1).count() == 0:
             break
-        targets = _narrow(data, targets, side(open_t), keys).checkpoint(eager=True)
+        # first pass: every target of a key still spans the key's [min, max], so
+        # one histogram per key serves them all
+        targets = _narrow(data, targets, open_t, keys, side, per_key=(i == 0)).checkpoint(eager=True)
 
     # degenerate ranges are solved; the rest sort at most `cap` values per target
     single = targets.where(F.col("lo") == F.col("hi")).select("tid", F.col("lo").alias("value"))
     rest = targets.where(F.col("lo") < F.col("hi")).select("tid", *keys, "lo", "hi", "below", "k")
-    picked = (data.join(side(rest), on=keys)
+    picked = (_in_key_ranges(data, rest, keys, side).join(side(rest), on=keys)
               .where(F.col("value").between(F.col("lo"), F.col("hi")))
               .groupBy("tid", "k", "below")
               .agg(F.sort_array(F.collect_list("value")).alias("vals"))
@@ -129,19 +131,38 @@ def solve_ranks(data: DataFrame, wanted: DataFrame, keys: list[str], cap: int =
     return targets.select("tid", *keys, "k").join(solved, "tid").drop("tid")
 
 
-def _narrow(data: DataFrame, targets: DataFrame, open_t: DataFrame, keys: list[str]) -> DataFrame:
+def _in_key_ranges(data: DataFrame, t: DataFrame, keys: list[str], side) -> DataFrame:
+    """Rows inside the union span of their key's open ranges (drops most rows before
+    the per-target join, which repeats a row once per target of its key)."""
+    spans = t.groupBy(*keys).agg(F.min("lo").alias("_klo"), F.max("hi").alias("_khi"))
+    return (data.join(side(spans), on=keys).where(F.col("value").between(F.col("_klo"), F.col("_khi")))
+            .drop("_klo", "_khi"))
+
+
+def _narrow(data: DataFrame, targets: DataFrame, open_t: DataFrame, keys: list[str], side,
+            per_key: bool = False) -> DataFrame:
     """One histogram pass over every open range; returns the updated targets."""
     half_span = F.col("hi") / 2 - F.col("lo") / 2
     bucket = F.least(F.floor((F.col("value") / 2 - F.col("lo") / 2) / half_span * BUCKETS),
                      F.lit(BUCKETS - 1)).cast("int")
-    hist = (data.join(open_t.select("tid", *keys, "lo", "hi"), on=keys)
-            .where(F.col("value").between(F.col("lo"), F.col("hi")))
-            .withColumn("bucket", bucket)
-            .groupBy("tid", "bucket")
-            .agg(F.count("*").alias("b_cnt"), F.min("value").alias("b_lo"), F.max("value").alias("b_hi")))
-    w = Window.partitionBy("tid").orderBy("bucket")
+    if per_key:
+        ranges = open_t.select(*keys, "lo", "hi").distinct()
+        part = keys
+        hist = (data.join(side(ranges), on=keys)
+                .where(F.col("value").between(F.col("lo"), F.col("hi")))
+                .withColumn("bucket", bucket)
+                .groupBy(*keys, "bucket")
+                .agg(F.count("*").alias("b_cnt"), F.min("value").alias("b_lo"), F.max("value").alias("b_hi")))
+    else:
+        part = ["tid"]
+        hist = (_in_key_ranges(data, open_t, keys, side).join(side(open_t.select("tid", *keys, "lo", "hi")), on=keys)
+                .where(F.col("value").between(F.col("lo"), F.col("hi")))
+                .withColumn("bucket", bucket)
+                .groupBy("tid", "bucket")
+                .agg(F.count("*").alias("b_cnt"), F.min("value").alias("b_lo"), F.max("value").alias("b_hi")))
+    w = Window.partitionBy(*part).orderBy("bucket")
     hist = hist.withColumn("upto", F.sum("b_cnt").over(w)).withColumn("before", F.col("upto") - F.col("b_cnt"))
-    chosen = (hist.join(open_t.select("tid", "k", "below"), "tid")
+    chosen = (hist.join(open_t.select("tid", *part if per_key else [], "k", "below"), part)
               .where((F.col("below") + F.col("before") <= F.col("k"))
                      & (F.col("k") < F.col("below") + F.col("upto")))
               .select("tid", F.col("b_lo").alias("n_lo"), F.col("b_hi").alias("n_hi"),
