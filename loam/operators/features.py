@@ -19,7 +19,8 @@ def _as_timestamp(df: DataFrame, c: str) -> Column:
     dt = dict((f.name, f.dataType) for f in df.schema.fields)[c]
     if isinstance(dt, DATETIME_TYPES):
         return F.col(c)
-    return F.try_to_timestamp(F.col(c).cast("string"))
+    # wall-clock time without a zone, whatever the session time zone
+    return F.try_to_timestamp(F.col(c).cast("string")).cast("timestamp_ntz")
 
 
 def extract_datetime_features(df: DataFrame, types: dict[str, str]) -> DataFrame:

@@ -128,7 +128,7 @@ def apply_eager_coercion(df: DataFrame, coerced: dict[str, str]) -> DataFrame:
         if t == "numeric":
             cols.append(F.col(c).cast("string").try_cast("double").alias(c))
         elif t == "datetime":
-            cols.append(F.try_to_timestamp(F.col(c).cast("string")).alias(c))
+            cols.append(F.try_to_timestamp(F.col(c).cast("string")).cast("timestamp_ntz").alias(c))
         else:
             cols.append(F.col(c).cast("string").alias(c))
     return df.select(*cols)
