@@ -76,7 +76,8 @@ def fill_log(spark: SparkSession, plan: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, FILL_LOG_SCHEMA)
 
 
-def handle_missing(df: DataFrame, types: dict[str, str], strategy: str = "auto"):
+def handle_missing(df: DataFrame, types: dict[str, str], strategy: str = "auto",
+                   evidence: dict[str, dict] | None = None):
     """``strategy`` in ``auto``/``impute`` (typed fills) or ``drop``.
 
     Returns ``(frame, plan)``.  Unknown strategies raise ``ValueError``.
@@ -84,7 +85,7 @@ def handle_missing(df: DataFrame, types: dict[str, str], strategy: str = "auto")
     if strategy == "drop":
         return drop_missing_rows(df), []
     if strategy in ("auto", "impute"):
-        plan = fit_imputation(df, types)
+        plan = fit_imputation(df, types, evidence)
         return apply_imputation(df, plan), plan
     raise ValueError(f"unknown missing-value strategy: {strategy}")
 

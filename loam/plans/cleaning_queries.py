@@ -160,8 +160,8 @@ def problem_type_targets(spark, sf_dir):
 
 def typed_messy_orders(spark, sf_dir):
     m = messy_orders(spark, sf_dir)
-    types = ST.column_types(m)
-    return ST.format_numeric_columns(m, types), types
+    types, evidence = ST.column_types_with_evidence(m)
+    return ST.format_numeric_columns(m, types), types, evidence
 
 
 @register("drop_missing_messy_orders", "SELECT * FROM " + MESSY_ORDERS_SQL + " WHERE cust_key IS NOT NULL AND "
@@ -183,8 +183,8 @@ SELECT order_key, coalesce(CAST(cust_key AS DOUBLE), (SELECT quantile_cont(cust_
 @register("impute_messy_orders", _IMPUTE_SQL)
 def impute_messy_orders(spark, sf_dir):
     """C1 + C4 + D3-D5: typed fills: exact median, mode (smallest on tie), "MISSING"; dates left."""
-    df, types = typed_messy_orders(spark, sf_dir)
-    out, _plan = MIS.handle_missing(df, types, "auto")
+    df, types, evidence = typed_messy_orders(spark, sf_dir)
+    out, _plan = MIS.handle_missing(df, types, "auto", evidence)
     return rounded(out)
 
 
