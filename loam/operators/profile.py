@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from loam.functions.schema import numeric_columns, string_columns
 from loam.functions.stats import clean_double, corrected_kurtosis, corrected_skew, safe_corr
-from loam.operators.quantiles import exact_quantiles, long_values
+from loam.operators.quantiles import approx_quantiles, exact_quantiles, long_values
 
 # Whole-stage codegen is switched off for a plan node whose output has more than
 # spark.sql.codegen.maxFields (100) fields; a partial aggregate outputs all of its
@@ -99,13 +99,15 @@ def moments(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = (
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
-                    extended: bool = False) -> DataFrame:
+                    extended: bool = False, approx: bool = False) -> DataFrame:
     """``(column_name, mean, median, std, min, max, skew, kurtosis)``.
 
     Sample std, bias-corrected skew and excess kurtosis (pandas rules), exact
     median.  ``extended`` adds count, var, q25 and q75 (J8 describe).  The
     moments (one row per column) are checkpointed and also serve as the
     count/min/max pass of the quantiles, so the data is scanned once for both.
+    ``approx`` takes the quantiles from one pass of bounded ``percentile_approx``
+    sketches instead (a sample value within 1/10 000 of the rank, no interpolation).
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
     if not columns:
@@ -113,7 +115,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
     mom = moments(df, columns).checkpoint(eager=True)
     probs = [0.25, 0.5, 0.75] if extended else [0.5]
     stats = mom.select("column_name", F.col("count").alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi"))
-    q = exact_quantiles(df, columns, probs, stats=stats)
+    q = approx_quantiles(df, columns, probs) if approx else exact_quantiles(df, columns, probs, stats=stats)
     qw = q.groupBy("column_name").pivot("prob", probs).agg(F.first("value"))
     names = {0.25: "q25", 0.5: "median", 0.75: "q75"}
     qw = qw.select("column_name", *[F.col(f"`{p}`").alias(names[p]) for p in probs])

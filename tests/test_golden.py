@@ -184,3 +184,11 @@ def test_iqr_detect_matches_pandas(spark):
     q1, q3 = s.quantile(0.25), s.quantile(0.75)
     exp = int(((s < q1 - 1.5 * (q3 - q1)) | (s > q3 + 1.5 * (q3 - q1))).sum())
     assert OUT.detect_outliers(df, "iqr").first()["n_outliers"] == exp
+
+
+def test_approx_summary_close_to_exact(spark):
+    rnd = random.Random(9)
+    df = _df(spark, [(rnd.gauss(10, 3),) for _ in range(5000)], "x double")
+    exact = P.numeric_summary(df).first()["median"]
+    approx = P.numeric_summary(df, approx=True).first()["median"]
+    assert abs(exact - approx) < 0.05
