@@ -262,7 +262,7 @@ def remove_outliers_iqr_lineitem(spark, sf_dir):
 @register("list_outliers_lineitem", per_column_sql(
     ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
     "SELECT l_orderkey, l_linenumber, '{c}' AS column_name, CAST({c} AS DOUBLE) AS value, "
-    + r("abs(({c} - m) / s)") + " AS z, " + r("m") + " AS mean, " + r("s") + " AS std, 3.0 AS threshold "
+    + r("abs(({c} - m) / s)") + " AS z, " + r("m") + " AS mean, " + r("s") + " AS std, CAST(3.0 AS DOUBLE) AS threshold "
     "FROM lineitem, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM lineitem) WHERE abs(({c} - m) / s) > 3.0"))
 def list_outliers_lineitem(spark, sf_dir):
     """E5: each outlying value with its z-score."""
@@ -309,7 +309,7 @@ def remove_outliers_simultaneous_events(spark, sf_dir):
 
 @register("list_outliers_events", (
     "SELECT event_id, 'value' AS column_name, value, " + r("abs((value - m) / s)") + " AS z, " + r("m")
-    + " AS mean, " + r("s") + " AS std, 3.0 AS threshold FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS s "
+    + " AS mean, " + r("s") + " AS std, CAST(3.0 AS DOUBLE) AS threshold FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS s "
     "FROM events) WHERE abs((value - m) / s) > 3.0"))
 def list_outliers_events(spark, sf_dir):
     """E5: every event value more than three standard deviations from the mean."""

@@ -72,9 +72,9 @@ def target_encode_orders(spark, sf_dir):
 
 
 @register("datetime_features_orders",
-          "SELECT o_orderkey, o_orderdate, year(o_orderdate) AS o_orderdate_year, month(o_orderdate) AS o_orderdate_month, "
-          "day(o_orderdate) AS o_orderdate_day, isodow(o_orderdate) - 1 AS o_orderdate_dayofweek, "
-          "quarter(o_orderdate) AS o_orderdate_quarter FROM orders")
+          "SELECT o_orderkey, o_orderdate, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, "
+          "CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS o_orderdate_dayofweek, "
+          "CAST(quarter(o_orderdate) AS INTEGER) AS o_orderdate_quarter FROM orders")
 def datetime_features_orders(spark, sf_dir):
     """Year, month, day, day of week (Monday 0) and quarter of the order date."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
@@ -82,10 +82,10 @@ def datetime_features_orders(spark, sf_dir):
 
 
 @register("datetime_text_features_messy_orders",
-          "SELECT order_key, CAST(order_date AS TIMESTAMP) AS order_date, year(CAST(order_date AS TIMESTAMP)) AS order_date_year, "
-          "month(CAST(order_date AS TIMESTAMP)) AS order_date_month, day(CAST(order_date AS TIMESTAMP)) AS order_date_day, "
-          "isodow(CAST(order_date AS TIMESTAMP)) - 1 AS order_date_dayofweek, quarter(CAST(order_date AS TIMESTAMP)) "
-          "AS order_date_quarter FROM " + MESSY_ORDERS_SQL)
+          "SELECT order_key, CAST(order_date AS TIMESTAMP) AS order_date, CAST(year(CAST(order_date AS TIMESTAMP)) AS INTEGER) AS order_date_year, "
+          "CAST(month(CAST(order_date AS TIMESTAMP)) AS INTEGER) AS order_date_month, CAST(day(CAST(order_date AS TIMESTAMP)) AS INTEGER) AS order_date_day, "
+          "CAST(isodow(CAST(order_date AS TIMESTAMP)) - 1 AS INTEGER) AS order_date_dayofweek, "
+          "CAST(quarter(CAST(order_date AS TIMESTAMP)) AS INTEGER) AS order_date_quarter FROM " + MESSY_ORDERS_SQL)
 def datetime_text_features_messy_orders(spark, sf_dir):
     """C1 + I1: a text date column is detected, parsed and expanded."""
     m = messy_orders(spark, sf_dir).select("order_key", "order_date")
@@ -94,8 +94,8 @@ def datetime_text_features_messy_orders(spark, sf_dir):
 
 
 @register("modelling_date_parts_lineitem",
-          "SELECT l_orderkey, l_linenumber, year(l_shipdate) AS l_shipdate_year, month(l_shipdate) AS l_shipdate_month, "
-          "day(l_shipdate) AS l_shipdate_day, isodow(l_shipdate) - 1 AS l_shipdate_weekday FROM lineitem")
+          "SELECT l_orderkey, l_linenumber, CAST(year(l_shipdate) AS INTEGER) AS l_shipdate_year, CAST(month(l_shipdate) AS INTEGER) AS l_shipdate_month, "
+          "CAST(day(l_shipdate) AS INTEGER) AS l_shipdate_day, CAST(isodow(l_shipdate) - 1 AS INTEGER) AS l_shipdate_weekday FROM lineitem")
 def modelling_date_parts_lineitem(spark, sf_dir):
     """Date parts for modelling; the timestamp itself is dropped."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")

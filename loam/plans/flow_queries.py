@@ -64,8 +64,8 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderp
   dense_rank() OVER (ORDER BY coalesce(o_orderpriority, 'nan')) - 1 AS o_orderpriority_encoded,
   dense_rank() OVER (ORDER BY coalesce(c_name, 'nan')) - 1 AS c_name_encoded,
   {_onehot_sql('c_mktsegment', SEGMENT_VALUES)},
-  year(o_orderdate) AS o_orderdate_year, month(o_orderdate) AS o_orderdate_month, day(o_orderdate) AS o_orderdate_day,
-  isodow(o_orderdate) - 1 AS o_orderdate_dayofweek, quarter(o_orderdate) AS o_orderdate_quarter
+  CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day,
+  CAST(isodow(o_orderdate) - 1 AS INTEGER) AS o_orderdate_dayofweek, CAST(quarter(o_orderdate) AS INTEGER) AS o_orderdate_quarter
 FROM y"""
 
 
@@ -136,7 +136,7 @@ def trend_orders(spark, sf_dir):
 
 @register("seasonal_indices_orders",
           f"SELECT season, {r('season_mean / avg(season_mean) OVER ()')} AS index FROM "
-          f"(SELECT month(period) AS season, avg(value) AS season_mean FROM {_MONTHLY_SQL} GROUP BY 1)")
+          f"(SELECT CAST(month(period) AS INTEGER) AS season, avg(value) AS season_mean FROM {_MONTHLY_SQL} GROUP BY 1)")
 def seasonal_indices_orders(spark, sf_dir):
     """K3: month-of-year index of the monthly series."""
     return rounded(TS.seasonal_indices(monthly_orders(spark, sf_dir), "month"))

@@ -71,8 +71,9 @@ def dataset_metadata_orders(spark, sf_dir):
 def _topk_sql(tab, cols, k):
     inner = per_column_sql(cols, f"SELECT '{{c}}' AS column_name, CAST({{c}} AS VARCHAR) AS value, count(*) AS count "
                                  f"FROM {tab} WHERE {{c}} IS NOT NULL GROUP BY {{c}}")
-    return (f"SELECT column_name, rank, value, count FROM (SELECT *, row_number() OVER "
-            f"(PARTITION BY column_name ORDER BY count DESC, value ASC) AS rank FROM ({inner})) WHERE rank <= {k}")
+    return (f"SELECT column_name, rank, value, count FROM (SELECT *, CAST(row_number() OVER "
+            f"(PARTITION BY column_name ORDER BY count DESC, value ASC) AS INTEGER) AS rank FROM ({inner})) "
+            f"WHERE rank <= {k}")
 
 
 @register("top_values_part", _topk_sql("part", PART_STR, 10))
@@ -85,8 +86,9 @@ def _catsum_sql(tab, cols, k):
     inner = per_column_sql(cols, f"SELECT '{{c}}' AS column_name, CAST({{c}} AS VARCHAR) AS value, count(*) AS count "
                                  f"FROM {tab} WHERE {{c}} IS NOT NULL GROUP BY {{c}}")
     return (f"WITH vc AS ({inner}), u AS (SELECT column_name, count(*) AS unique_values FROM vc GROUP BY column_name) "
-            f"SELECT t.column_name, u.unique_values, t.rank, t.value, t.count FROM (SELECT *, row_number() OVER "
-            f"(PARTITION BY column_name ORDER BY count DESC, value ASC) AS rank FROM vc) t JOIN u USING (column_name) "
+            f"SELECT t.column_name, u.unique_values, t.rank, t.value, t.count FROM (SELECT *, CAST(row_number() OVER "
+            f"(PARTITION BY column_name ORDER BY count DESC, value ASC) AS INTEGER) AS rank FROM vc) t "
+            f"JOIN u USING (column_name) "
             f"WHERE rank <= {k}")
 
 
@@ -139,7 +141,8 @@ _TC_FEATURES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quant
 
 
 @register("target_correlation_lineitem", (
-    "SELECT feature, " + r("corr") + " AS corr, row_number() OVER (ORDER BY abs(corr) DESC NULLS LAST, feature) AS rank "
+    "SELECT feature, " + r("corr") + " AS corr, CAST(row_number() OVER (ORDER BY abs(corr) DESC NULLS LAST, feature) "
+    "AS INTEGER) AS rank "
     "FROM (" + per_column_sql(_TC_FEATURES, "SELECT '{c}' AS feature, corr({c}, l_extendedprice) AS corr FROM lineitem")
     + ")"))
 def target_correlation_lineitem(spark, sf_dir):
