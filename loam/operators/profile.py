@@ -1,9 +1,11 @@
 """Profiling (EDA) operators: every result is a tidy DataFrame.
 
-Moments come from one wide aggregate per chunk of columns (no per-column
-jobs); medians and quartiles from the exact distributed quantiles; value
-counts from ``groupBy(column_name, value)`` with partial aggregation, so a hot
-value is combined on the map side before any shuffle.
+Moments come from one grouped aggregate over unpivoted ``(column_name, value)``
+rows (no per-column jobs, code-generated whatever the column count); other
+wide aggregates are chunked by buffer size; medians and quartiles come from
+the exact distributed quantiles; value counts from ``groupBy(column_name,
+value)`` with partial aggregation, so a hot value is combined on the map side
+before any shuffle.
 """
 
 from __future__ import annotations

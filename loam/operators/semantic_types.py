@@ -1,9 +1,10 @@
 """Semantic type inference (C1, C3, C5, C6) and numeric coercion (C4).
 
 One aggregate job gathers, for every column, the non-missing count and how
-many values look numeric or parse as timestamps; one shuffle of
-``(column, value)`` pairs gives exact distinct counts.  The classification is
-a ``CASE`` over that tidy frame.
+many values look numeric or parse as timestamps; one shuffle of hashed
+``(column, value)`` keys gives the distinct counts (see
+``profile.distinct_counts``).  The classification is a ``CASE`` over that
+tidy frame.
 
 Decisions (see the semantics ledger in SURVEY): numeric physical types and
 booleans are ``numeric``; a string column is ``numeric`` when every
