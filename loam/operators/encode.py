@@ -85,16 +85,18 @@ def fit_label(df: DataFrame, column: str, null_label: str | None = NULL_LABEL) -
     return Encoding(column, "label", [f"{column}_encoded"], codes=codes, n_codes=n)
 
 
-def _label_from_counts(vc: DataFrame, column: str, has_null: bool,
+def _label_from_counts(vc: DataFrame, column: str, has_null: bool, n_distinct: int,
                        null_label: str | None = NULL_LABEL) -> Encoding:
     """Label codes from already distinct ``(column_name, value)`` counts (no new shuffle of
-    the data); the missing label joins the values when the column has missing values."""
+    the data); the missing label joins the values when the column has missing values.
+    The codes derive from a checkpointed frame, so they are not materialised again."""
     values = vc.where(F.col("column_name") == column).select("value")
+    n = n_distinct
     if has_null and null_label is not None:
         extra = vc.sparkSession.createDataFrame([(null_label,)], "value string")
         values = values.where(F.col("value") != null_label).unionByName(extra)
-    codes = rank_values(values).checkpoint(eager=True)
-    return Encoding(column, "label", [f"{column}_encoded"], codes=codes, n_codes=codes.count())
+        n += 1
+    return Encoding(column, "label", [f"{column}_encoded"], codes=rank_values(values), n_codes=n)
 
 
 def _onehot_names(column: str, cats: list[str], existing: set[str]) -> list[str]:
@@ -143,7 +145,8 @@ def apply_encoding(df: DataFrame, e: Encoding, null_label: str | None = NULL_LAB
 
 
 def fit_encoding(df: DataFrame, types: dict[str, str], method: str = "auto",
-                 threshold: int = ONEHOT_THRESHOLD, target: str | None = None) -> EncodingPlan:
+                 threshold: int = ONEHOT_THRESHOLD, target: str | None = None,
+                 n_rows: int | None = None) -> EncodingPlan:
     """H1-H4: plan for every ``categorical``/``text`` column.
 
     The target is always label-encoded and renamed ``<target>_encoded``;
@@ -162,7 +165,8 @@ def fit_encoding(df: DataFrame, types: dict[str, str], method: str = "auto",
         per = {r["column_name"]: (r["n_distinct"], r["n_present"]) for r in
                vc.groupBy("column_name").agg(F.count("*").alias("n_distinct"),
                                              F.sum("count").alias("n_present")).collect()}
-        n_rows = df.count()
+        if n_rows is None:
+            n_rows = df.count()
         encs = []
         existing = set(df.columns)
         new_target = target
@@ -170,10 +174,10 @@ def fit_encoding(df: DataFrame, types: dict[str, str], method: str = "auto",
             nd, present = per.get(c, (0, 0))
             has_null = (present or 0) < n_rows
             if c == target:
-                encs.append(_label_from_counts(vc, c, has_null))
+                encs.append(_label_from_counts(vc, c, has_null, nd))
                 new_target = f"{c}_encoded"
             elif method == "label" or (method == "auto" and nd > threshold):
-                encs.append(_label_from_counts(vc, c, has_null))
+                encs.append(_label_from_counts(vc, c, has_null, nd))
             else:
                 if nd > ONEHOT_MAX_COLUMNS:
                     raise ValueError(f"{c}: too many values for one-hot encoding")

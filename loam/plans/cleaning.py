@@ -116,12 +116,13 @@ class CleaningPlan:
         texted = TXT.clean_text_columns(trimmed)
         self._log("text", None, "Cleaned text columns")
         deduped = texted.dropDuplicates().checkpoint(eager=True)
-        n_dupes = n_before - deduped.count()
+        n_after = deduped.count()
+        n_dupes = n_before - n_after
         if n_dupes:
             self._log("duplicates", None, "Removed duplicate rows", n_dupes)
 
         self.encoding = ENC.fit_encoding(deduped, self.types, "auto", self.encode_threshold,
-                                         target=self.final_target)
+                                         target=self.final_target, n_rows=n_after)
         for e in self.encoding.encodings:
             self._log("encode", e.column, f"{e.method} encoding", len(e.output), ",".join(e.output))
         if self.encoding.target:
