@@ -86,6 +86,8 @@ def detect_outliers(df: DataFrame, method: str = "zscore", threshold: float = 3.
     """
     _check(method)
     columns = list(columns) if columns is not None else numeric_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, n_outliers long")
     if method == "zscore":
         st = mean_std(df, columns)
         tests = {c: F.coalesce(_z(c, *st[c]) > threshold, F.lit(False)) for c in columns}

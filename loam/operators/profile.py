@@ -113,7 +113,11 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
     if not columns:
-        raise ValueError("no numeric columns")
+        # no numeric column: an empty summary, as the reference returns
+        cols = ["mean", "median", "std", "min", "max", "skew", "kurtosis"] + (
+            ["count", "var", "q25", "q75"] if extended else [])
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, " + ", ".join(f"{c} {'long' if c == 'count' else 'double'}" for c in cols))
     mom = moments(df, columns).checkpoint(eager=True)
     probs = [0.25, 0.5, 0.75] if extended else [0.5]
     stats = mom.select("column_name", F.col("count").alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi"))
@@ -165,6 +169,8 @@ def grouped_descriptive(df: DataFrame, columns: Sequence[str] | None = None,
 # ---------------------------------------------------------------- J3, J4, mode
 
 def _string_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, value string")
     return (df.select(*[F.col(c).cast("string").alias(c) for c in columns])
             .unpivot([], list(columns), "column_name", "value")
             .where(F.col("value").isNotNull()))
@@ -216,7 +222,7 @@ def value_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     per column, a bounded aggregate (no value map in one task).  Numeric
     columns are compared numerically, strings by code point.
     """
-    frames = []
+    frames = [df.sparkSession.createDataFrame([], "column_name string, mode string, freq long")]
     numeric = set(numeric_columns(df))
     num = [c for c in columns if c in numeric]
     txt = [c for c in columns if c not in numeric]

@@ -66,3 +66,21 @@ def test_regression_metrics_constant_target(spark):
     assert EV.regression_metrics(df).first()["r2"] == 1.0
     df2 = spark.createDataFrame([(1.0, 2.0), (1.0, 0.0)], "label double, prediction double")
     assert EV.regression_metrics(df2).first()["r2"] == 0.0
+
+
+def test_plan_on_text_only_and_numeric_only_tables(spark):
+    text = spark.createDataFrame([(f"w{i % 3}", f"free text {i}") for i in range(40)], "Kind string, Note string")
+    plan, out = CleaningPlan(target="Kind").fit(text)
+    assert out.count() == 40 and "kind_encoded" in out.columns
+    nums = spark.createDataFrame([(float(i), float(i % 7)) for i in range(40)], "a double, b double")
+    plan2, out2 = CleaningPlan().fit(nums)
+    assert out2.count() == 40 and plan2.encoding.encodings == []
+
+
+def test_empty_profiles(spark):
+    from loam.operators import outliers as OUT
+    from loam.operators import profile as P
+    only_text = spark.createDataFrame([("a",), ("b",)], "s string")
+    assert P.numeric_summary(only_text).count() == 0
+    assert OUT.detect_outliers(only_text).count() == 0
+    assert P.categorical_summary(spark.createDataFrame([(1.0,)], "x double"), []).count() == 0
