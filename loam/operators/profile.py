@@ -144,10 +144,15 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def grouped_descriptive(df: DataFrame, columns: Sequence[str] | None = None,
                         group_by: Sequence[str] = ()) -> DataFrame:
-    """Per (group..., column_name): count, missing, mean, median, std, min, max."""
+    """Per (group..., column_name): count, missing, mean, median, std, min, max.
+
+    Rows whose group key is missing are left out, as pandas ``groupby`` does.
+    """
     columns = list(columns) if columns is not None else [c for c in numeric_columns(df)
                                                           if c not in group_by]
     group_by = list(group_by)
+    for g in group_by:
+        df = df.where(F.col(g).isNotNull())
     cols = [clean_double(F.col(c)).alias(c) for c in columns]
     allrows = (df.select(*group_by, *cols)
                .unpivot(group_by, columns, "column_name", "value"))

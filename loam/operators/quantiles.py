@@ -107,7 +107,8 @@ def solve_ranks(data: DataFrame, wanted: DataFrame, keys: list[str], cap: int =
     def side(t: DataFrame) -> DataFrame:
         return F.broadcast(t) if small else t
 
-    targets = (wanted.withColumn("tid", F.xxhash64(*keys, "k"))
+    # the target id is the (key..., rank) struct itself: exact, no hash collisions
+    targets = (wanted.withColumn("tid", F.struct(*[F.col(c) for c in keys], F.col("k")))
                .select("tid", *keys, "k", "lo", "hi", F.lit(0).cast("long").alias("below"),
                        F.col("n").alias("cnt")))
     for i in range(MAX_PASSES):
