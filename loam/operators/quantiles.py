@@ -32,6 +32,9 @@ from loam.session import ensure_checkpoint_dir
 BUCKETS = 4096
 DEFAULT_CAP = 200_000
 MAX_PASSES = 12
+# Keys with at most this many values use Spark's exact ``percentile`` directly:
+# its value->count map then holds at most this many entries in one task.
+DIRECT_MAX = 200_000
 
 
 def long_values(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -59,11 +62,14 @@ def _ranks(stats: DataFrame, probs: Sequence[float], keys: list[str]) -> DataFra
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     group_cols: Sequence[str] = (), cap: int = DEFAULT_CAP,
-                    long: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+                    long: DataFrame | None = None, stats: DataFrame | None = None,
+                    direct_max: int = DIRECT_MAX) -> DataFrame:
     """Exact quantiles: ``(group..., column_name, prob, value)``.
 
     Keys with no non-missing value give no row (callers left-join).  ``stats``
-    may carry an already computed ``(keys..., n, lo, hi)`` frame.
+    may carry an already computed ``(keys..., n, lo, hi)`` frame.  Keys with at
+    most ``direct_max`` values are answered by one ``percentile`` aggregate
+    (bounded map per key); larger keys go through histogram narrowing.
     """
     ensure_checkpoint_dir(df.sparkSession)
     group_cols = list(group_cols)
@@ -74,14 +80,29 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         stats = (data.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("lo"),
                                          F.max("value").alias("hi"))
                  .checkpoint(eager=True))
-    per_prob = _ranks(stats, probs, keys)
+    small = not group_cols
+
+    def side(t: DataFrame) -> DataFrame:
+        return F.broadcast(t) if small else t
+
+    prob_arr = F.array(*[F.lit(float(p)) for p in probs])
+    direct_keys = stats.where((F.col("n") > 0) & (F.col("n") <= direct_max)).select(*keys)
+    direct = (data.join(side(direct_keys), on=keys, how="left_semi")
+              .groupBy(*keys).agg(F.percentile("value", prob_arr).alias("qs"))
+              .select(*keys, F.posexplode("qs").alias("i", "value"))
+              .select(*keys, prob_arr[F.col("i")].alias("prob"), "value"))
+    big = stats.where(F.col("n") > direct_max)
+    if big.limit(1).count() == 0:
+        return direct
+    per_prob = _ranks(big, probs, keys)
     wanted = per_prob.select(*keys, F.explode(F.array("k0", "k1")).alias("k"), "n", "lo", "hi").distinct()
-    tv = solve_ranks(data, wanted, keys, cap, small=not group_cols)
+    tv = solve_ranks(data, wanted, keys, cap, small=small)
     v0 = tv.select(*keys, F.col("k").alias("k0"), F.col("value").alias("v0"))
     v1 = tv.select(*keys, F.col("k").alias("k1"), F.col("value").alias("v1"))
-    return (per_prob.join(v0, keys + ["k0"]).join(v1, keys + ["k1"])
-            .select(*keys, "prob",
-                    (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value")))
+    narrowed = (per_prob.join(v0, keys + ["k0"]).join(v1, keys + ["k1"])
+                .select(*keys, "prob",
+                        (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value")))
+    return direct.unionByName(narrowed)
 
 
 def kth_smallest(df: DataFrame, column: str, k: int, cap: int = DEFAULT_CAP) -> float | None:

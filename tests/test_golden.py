@@ -94,11 +94,12 @@ def test_exact_quantiles_with_hot_value(spark):
     vals = [rnd.gauss(0, 1) for _ in range(3000)] + [0.25] * 1500 + [None] * 20
     df = _df(spark, [(v, rnd.randint(0, 2)) for v in vals], "x double, g int")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {r["prob"]: r["value"] for r in exact_quantiles(df, ["x"], probs, cap=40).collect()}
     arr = np.array([v for v in vals if v is not None])
-    for p in probs:
-        assert got[p] == pytest.approx(float(np.quantile(arr, p)), abs=1e-12)
-    grouped = exact_quantiles(df, ["x"], [0.5], group_cols=["g"], cap=25).collect()
+    for direct_max in (0, 10_000_000):   # histogram narrowing, then the bounded percentile path
+        got = {r["prob"]: r["value"] for r in exact_quantiles(df, ["x"], probs, cap=40, direct_max=direct_max).collect()}
+        for p in probs:
+            assert got[p] == pytest.approx(float(np.quantile(arr, p)), abs=1e-9)
+    grouped = exact_quantiles(df, ["x"], [0.5], group_cols=["g"], cap=25, direct_max=1000).collect()
     pdf = pd.DataFrame({"x": vals, "g": [r for r in df.select("g").toPandas()["g"]]})
     for row in grouped:
         exp = pdf[pdf.g == row["g"]]["x"].dropna().quantile(0.5)
