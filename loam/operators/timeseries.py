@@ -90,7 +90,8 @@ def forecast(series: DataFrame, horizon: int = 6, freq: str = "month", z: float
     line = F.lit(intercept) + F.lit(slope) * F.col("x")
     sigma = (hist.join(idx, "season", "left")
              .agg(F.stddev_samp(F.col("value") - line * F.coalesce(F.col("index"), F.lit(1.0)))).first()[0])
-    start = F.lit(last).cast("timestamp_ntz")
+    # from the ISO text, so no time zone is involved
+    start = F.lit(last.isoformat(sep=" ")).cast("timestamp_ntz")
     k = F.col("k")
     if freq == "month":
         period = F.add_months(start, k).cast("timestamp_ntz")
