@@ -393,3 +393,61 @@ def orders_with_copies(spark, sf_dir):
 def remove_duplicates_orders(spark, sf_dir):
     """G1: exact duplicate rows removed (orders with every tenth row repeated)."""
     return DUP.remove_duplicates(orders_with_copies(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- small tables (typing branches)
+
+
+def _types_sql(tab: str, cols: list[tuple[str, str]]) -> str:
+    """The C1 rules in SQL for a plain table: ``cols`` is ``(name, 'number'|'string'|'datetime')``."""
+    parts = []
+    for c, kind in cols:
+        if kind == "string":
+            num = f"count_if({looks_num_sql(c)})"
+            dt = f"count_if(TRY_CAST({c} AS TIMESTAMP) IS NOT NULL)"
+        else:
+            num, dt = "0", "0"
+        parts.append(f"SELECT '{c}' AS column_name, '{kind}' AS kind, count(*) AS n_rows, count({c}) AS non_null, "
+                     f"{num} AS num_like, {dt} AS dt_like, count(DISTINCT {c}) AS n_distinct FROM {tab}")
+    ev = " UNION ALL ".join(parts)
+    return f"""SELECT column_name, non_null, n_distinct,
+  CASE WHEN kind = 'number' THEN 'numeric'
+       WHEN kind = 'string' AND non_null > 0 AND non_null >= least(10, n_rows) AND num_like = non_null THEN 'numeric'
+       WHEN kind = 'string' AND non_null > 0 AND dt_like = non_null THEN 'datetime'
+       WHEN kind = 'datetime' THEN 'datetime'
+       WHEN n_distinct < least(50, n_rows * 0.5) THEN 'categorical'
+       ELSE 'text' END AS semantic_type
+FROM ({ev})"""
+
+
+@register("column_types_region", _types_sql("region", [("r_regionkey", "number"), ("r_name", "string")]))
+def column_types_region(spark, sf_dir):
+    """C1 on a five-row table: the 0.5 n bound makes every label column text."""
+    t = ST.detect_column_types(table(spark, sf_dir, "region"))
+    return t.select("column_name", "non_null", "n_distinct", "semantic_type")
+
+
+@register("column_types_nation", _types_sql("nation", [("n_nationkey", "number"), ("n_name", "string"),
+                                                       ("n_regionkey", "number")]))
+def column_types_nation(spark, sf_dir):
+    """C1 on the 25-row nation table."""
+    t = ST.detect_column_types(table(spark, sf_dir, "nation"))
+    return t.select("column_name", "non_null", "n_distinct", "semantic_type")
+
+
+@register("column_types_events", _types_sql("events", [("event_id", "number"), ("ts", "datetime"),
+                                                       ("user_id", "number"), ("event_type", "string"),
+                                                       ("value", "number"), ("props", "string")]))
+def column_types_events(spark, sf_dir):
+    """C1 on the event table: a timestamp column, a JSON text column, a categorical."""
+    t = ST.detect_column_types(table(spark, sf_dir, "events"))
+    return t.select("column_name", "non_null", "n_distinct", "semantic_type")
+
+
+@register("detect_outliers_iqr_supplier", per_column_sql(
+    ["s_suppkey", "s_nationkey", "s_acctbal"],
+    "SELECT '{c}' AS column_name, CAST(count_if({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS BIGINT) "
+    "AS n_outliers FROM supplier, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM supplier)"))
+def detect_outliers_iqr_supplier(spark, sf_dir):
+    """E2 on the supplier table."""
+    return OUT.detect_outliers(table(spark, sf_dir, "supplier"), "iqr")
