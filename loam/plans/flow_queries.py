@@ -221,3 +221,49 @@ def analysis_results_part(spark, sf_dir):
     path = sinks.save_results({"numeric_summary": summary})
     back = spark.read.schema(summary.schema).json(f"{path}/numeric_summary")
     return back
+
+
+def _eda_report_sql() -> str:
+    from loam.plans.cleaning_queries import _types_sql
+    src = ("(SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate, o.o_orderpriority, "
+           "c.c_name, CASE WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE c.c_acctbal END AS c_acctbal, "
+           "CASE WHEN o.o_orderkey % 5 = 0 THEN '  ' || c.c_mktsegment || '  ' ELSE c.c_mktsegment END AS c_mktsegment "
+           "FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey "
+           "UNION ALL SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate, "
+           "o.o_orderpriority, c.c_name, CASE WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE c.c_acctbal END, "
+           "CASE WHEN o.o_orderkey % 5 = 0 THEN '  ' || c.c_mktsegment || '  ' ELSE c.c_mktsegment END "
+           "FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey % 10 = 0)")
+    cols = [("o_orderkey", "number"), ("o_custkey", "number"), ("o_orderstatus", "string"),
+            ("o_totalprice", "number"), ("o_orderdate", "datetime"), ("o_orderpriority", "string"),
+            ("c_name", "string"), ("c_acctbal", "number"), ("c_mktsegment", "string")]
+    types = _types_sql("src", cols)
+    pos = " ".join(f"WHEN '{c}' THEN {i}" for i, (c, _k) in enumerate(cols))
+    nums = [c for c, k in cols if k == "number"]
+    strs = [c for c, k in cols if k == "string"]
+    f2 = "printf('%.2f', {e})"
+    num = " UNION ALL ".join(
+        f"SELECT 'numeric summary' AS section, 0 AS position, '{c}' AS item, 'Mean: ' || {f2.format(e=f'avg({c})')} || "
+        f"', Median: ' || {f2.format(e=f'quantile_cont({c}, 0.5)')} || ', Std: ' || {f2.format(e=f'stddev_samp({c})')} || "
+        f"', Min: ' || {f2.format(e=f'CAST(min({c}) AS DOUBLE)')} || ', Max: ' || {f2.format(e=f'CAST(max({c}) AS DOUBLE)')} || "
+        f"', Skew: ' || {f2.format(e=f'skewness({c})')} AS value FROM src" for c in nums)
+    vc = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS cnt FROM src WHERE {c} IS NOT NULL "
+                            f"GROUP BY {c}" for c in strs)
+    miss = " UNION ALL ".join(f"SELECT '{c}' AS c, count_if({c} IS NULL) AS m FROM src" for c, _k in cols)
+    return f"""WITH src AS {src},
+vc AS ({vc}),
+u AS (SELECT column_name, count(*) AS uq FROM vc GROUP BY 1),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS INTEGER) AS rk FROM vc)
+SELECT 'overview' AS section, 0 AS position, 'shape' AS item, 'Rows: ' || CAST(count(*) AS VARCHAR) || ', Columns: 9' AS value FROM src
+UNION ALL SELECT 'column types', CASE column_name {pos} END, column_name, semantic_type FROM ({types})
+UNION ALL SELECT 'missing values', 0, c, CAST(m AS VARCHAR) || ' missing values' FROM ({miss}) WHERE m > 0
+UNION ALL {num}
+UNION ALL SELECT 'categorical summary', rk, r.column_name, CAST(uq AS VARCHAR) || ' unique; ' || value || ': ' || CAST(cnt AS VARCHAR)
+  FROM r JOIN u USING (column_name) WHERE rk <= 5"""
+
+
+@register("eda_report_sections_orders_customer", _eda_report_sql())
+def eda_report_sections_orders_customer(spark, sf_dir):
+    """M9 without the cleaning log: overview, detected types, missing counts, numeric and
+    categorical summaries of the faulty orders x customers input."""
+    src = orders_customers_faulty(spark, sf_dir)
+    return eda_report(src, ST.column_types(src))
