@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loam.functions.numeric_text import looks_numeric, coerce_numeric
+from loam.functions.numeric_text import NUMERIC_TEXT_PATTERN, coerce_numeric, looks_numeric
 from loam.operators import columns as COL
 from loam.operators import duplicates as DUP
 from loam.operators import missing as MIS
@@ -47,8 +47,8 @@ MESSY_ORDERS_SQL = (
     "ELSE o_orderpriority END AS priority, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'order no ' || "
     "CAST(o_orderkey AS VARCHAR) END AS note FROM orders)")
 
-NUMERIC_TEXT_RE = "^['\"]?[$€£¥₹₽]?-?([0-9]{1,3}(,[0-9]{3})*|[0-9]+)?(\\.[0-9]+)?(%|['\"]?)?$"
-_NUM_RE_SQL = NUMERIC_TEXT_RE.replace("'", "''")
+# the same fixed pattern as the library, quoted for SQL
+_NUM_RE_SQL = NUMERIC_TEXT_PATTERN.replace("'", "''")
 
 
 def looks_num_sql(v: str) -> str:
