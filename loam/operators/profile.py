@@ -309,17 +309,31 @@ def binned_scatter(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 
 # ---------------------------------------------------------------- J6, J7
 
+# Above this many pair chunks, a gap-free set of columns goes through Spark ML's
+# one-vector correlation instead (passes independent of the column count).
+VECTOR_CORR_MIN_CHUNKS = 6
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column_a, column_b, corr)`` Pearson, pairwise-complete, all ordered pairs.
 
-    Every pair is computed in one aggregate; undefined values are NULL.
-    Fewer than two numeric columns give an empty frame.
+    Pairs are aggregated in code-generated chunks (about ten buffer fields per
+    pair).  When that would take ``VECTOR_CORR_MIN_CHUNKS`` or more scans and no
+    value is missing (then pairwise-complete equals listwise), the columns are
+    centred by their means and correlated as one vector column with Spark ML
+    (a fixed number of passes for any width; the matrix is columns^2 numbers).
+    Undefined values are NULL.  Fewer than two numeric columns give an empty frame.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
     schema = "column_a string, column_b string, corr double"
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], schema)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    chunks = -(-len(pairs) // max(1, AGG_FIELD_BUDGET // 10))
+    if chunks >= VECTOR_CORR_MIN_CHUNKS:
+        out = _vector_correlation(df, columns, schema)
+        if out is not None:
+            return out
     xs = {c: clean_double(F.col(c)) for c in columns}
     per = {f"p{i}": F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
                              safe_corr(xs[a], xs[b]).alias("corr"))
@@ -333,6 +347,33 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
             .select(F.col("ab.a").alias("column_a"), F.col("ab.b").alias("column_b"), "corr"))
 
 
+def _vector_correlation(df: DataFrame, columns: list[str], schema: str) -> DataFrame | None:
+    """Gap-free columns correlated as one centred vector; ``None`` when a value is missing."""
+    import math
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    per = {c: F.struct(F.count(clean_double(F.col(c))).alias("present"), F.count(F.lit(1)).alias("n_rows"),
+                       F.avg(clean_double(F.col(c))).alias("mean"),
+                       F.stddev_samp(clean_double(F.col(c))).alias("std")) for c in columns}
+    st = {r["column_name"]: r for r in _wide_to_long(df, per, width=7).collect()}
+    if any(st[c]["present"] != st[c]["n_rows"] for c in columns) or st[columns[0]]["n_rows"] < 2:
+        return None
+    centred = df.select(*[(clean_double(F.col(c)) - F.lit(st[c]["mean"])).alias(c) for c in columns])
+    vec = VectorAssembler(inputCols=columns, outputCol="v").transform(centred).select("v")
+    m = Correlation.corr(vec, "v", "pearson").head()[0].toArray()
+    rows = []
+    constant = {c for c in columns if not st[c]["std"]}
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns):
+            v = float(m[i, j])
+            undefined = math.isnan(v) or a in constant or b in constant
+            rows.append((a, b, None if undefined else v))
+    # columns^2 numbers, bounded by the schema
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
     """``(feature, corr, rank)``: each numeric feature against the target, rank by |corr| desc."""
     columns = [c for c in (columns if columns is not None else numeric_columns(df)) if c != target]

@@ -193,3 +193,19 @@ def test_approx_summary_close_to_exact(spark):
     exact = P.numeric_summary(df).first()["median"]
     approx = P.numeric_summary(df, approx=True).first()["median"]
     assert abs(exact - approx) < 0.05
+
+
+def test_vector_and_pairwise_correlation_agree(spark, monkeypatch):
+    rnd = random.Random(13)
+    cols = [f"c{i}" for i in range(12)]
+    rows = [tuple([5.0] + [rnd.gauss(i, 1 + i) + 0.3 * k for i in range(1, 12)]) for k in range(300)]
+    df = _df(spark, rows, ", ".join(f"{c} double" for c in cols))
+    vec = {(r["column_a"], r["column_b"]): r["corr"] for r in P.correlation_matrix(df).collect()}
+    monkeypatch.setattr(P, "VECTOR_CORR_MIN_CHUNKS", 10 ** 9)
+    pair = {(r["column_a"], r["column_b"]): r["corr"] for r in P.correlation_matrix(df).collect()}
+    assert set(vec) == set(pair) and len(vec) == 144
+    for k, v in pair.items():
+        if v is None:
+            assert vec[k] is None, k
+        else:
+            assert vec[k] == pytest.approx(v, abs=1e-9), k
