@@ -32,8 +32,8 @@ from loam.session import ensure_checkpoint_dir
 BUCKETS = 4096
 DEFAULT_CAP = 200_000
 MAX_PASSES = 12
-# Keys with at most this many values use Spark's exact ``percentile`` directly:
-# its value->count map then holds at most this many entries in one task.
+# Keys with at most this many values are sorted whole in one task (a bounded
+# array) instead of being narrowed first.
 DIRECT_MAX = 200_000
 
 
@@ -68,8 +68,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     Keys with no non-missing value give no row (callers left-join).  ``stats``
     may carry an already computed ``(keys..., n, lo, hi)`` frame.  Keys with at
-    most ``direct_max`` values are answered by one ``percentile`` aggregate
-    (bounded map per key); larger keys go through histogram narrowing.
+    most ``direct_max`` values are sorted whole in one pass (a bounded array per
+    key); larger keys go through histogram narrowing.
     """
     ensure_checkpoint_dir(df.sparkSession)
     group_cols = list(group_cols)
@@ -85,12 +85,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     def side(t: DataFrame) -> DataFrame:
         return F.broadcast(t) if small else t
 
-    prob_arr = F.array(*[F.lit(float(p)) for p in probs])
-    direct_keys = stats.where((F.col("n") > 0) & (F.col("n") <= direct_max)).select(*keys)
+    # keys with at most `direct_max` values: sort them per key (bounded) and read the ranks,
+    # with the same interpolation as the narrowing path below
+    small_ranks = _ranks(stats.where((F.col("n") > 0) & (F.col("n") <= direct_max)), probs, keys)
+    direct_keys = small_ranks.select(*keys).distinct()
     direct = (data.join(side(direct_keys), on=keys, how="left_semi")
-              .groupBy(*keys).agg(F.percentile("value", prob_arr).alias("qs"))
-              .select(*keys, F.posexplode("qs").alias("i", "value"))
-              .select(*keys, prob_arr[F.col("i")].alias("prob"), "value"))
+              .groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("vals"))
+              .join(side(small_ranks.select(*keys, "prob", "k0", "k1", "frac")), on=keys)
+              .select(*keys, "prob",
+                      F.element_at("vals", (F.col("k0") + 1).cast("int")).alias("v0"),
+                      F.element_at("vals", (F.col("k1") + 1).cast("int")).alias("v1"), "frac")
+              .select(*keys, "prob", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value")))
     big = stats.where(F.col("n") > direct_max)
     if big.limit(1).count() == 0:
         return direct

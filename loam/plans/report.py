@@ -9,14 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions.formatting import with_fixed2
 from loam.functions.schema import numeric_columns, string_columns
 from loam.operators import profile as P
 
 
-def _fmt(c) -> F.Column:
-    return F.format_string("%.2f", c)
-
-
 def eda_report(df: DataFrame, types: dict[str, str], cleaning_log: DataFrame | None = None) -> DataFrame:
     spark = df.sparkSession
     n_cols = len(df.columns)
@@ -32,11 +29,13 @@ def eda_report(df: DataFrame, types: dict[str, str], cleaning_log: DataFrame | N
     parts = [overview, type_rows, miss]
     nums = numeric_columns(df)
     if nums:
-        s = P.numeric_summary(df, nums)
+        stats = ["mean", "median", "std", "min", "max", "skew"]
+        s = with_fixed2(P.numeric_summary(df, nums), {f"{k}_txt": k for k in stats})
         parts.append(s.select(
             F.lit("numeric summary").alias("section"), F.lit(0).alias("position"), F.col("column_name").alias("item"),
-            F.concat(F.lit("Mean: "), _fmt("mean"), F.lit(", Median: "), _fmt("median"), F.lit(", Std: "), _fmt("std"),
-                     F.lit(", Min: "), _fmt("min"), F.lit(", Max: "), _fmt("max"), F.lit(", Skew: "), _fmt("skew"))
+            F.concat(F.lit("Mean: "), F.col("mean_txt"), F.lit(", Median: "), F.col("median_txt"), F.lit(", Std: "),
+                     F.col("std_txt"), F.lit(", Min: "), F.col("min_txt"), F.lit(", Max: "), F.col("max_txt"),
+                     F.lit(", Skew: "), F.col("skew_txt"))
             .alias("value")))
     strs = string_columns(df)
     if strs:

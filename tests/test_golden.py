@@ -209,3 +209,14 @@ def test_vector_and_pairwise_correlation_agree(spark, monkeypatch):
             assert vec[k] is None, k
         else:
             assert vec[k] == pytest.approx(v, abs=1e-9), k
+
+
+def test_fixed2_matches_exact_binary_rounding(spark):
+    from loam.functions.formatting import fixed2
+    rnd = random.Random(4)
+    vals = [256068.025, 0.125, 0.375, 2.675, 1.005, -1.005, -0.004, 0.0, -0.0, 123.455, 2.5]
+    vals += [round(rnd.uniform(-1e6, 1e6), rnd.randint(0, 4)) for _ in range(3000)]
+    vals += [(rnd.randint(0, 10 ** 8) + 0.5) / 100 for _ in range(1000)]
+    df = _df(spark, [(v,) for v in vals], "x double")
+    got = [r["s"] for r in df.select(fixed2(F.col("x")).alias("s")).collect()]
+    assert got == [f"{v:.2f}" for v in vals]
