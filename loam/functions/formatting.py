@@ -42,7 +42,6 @@ def with_fixed2(df, columns: dict[str, str]):
     """Frame-level ``fixed2``: ``{output: input column}``.  The intermediate terms are
     separate projections, so repeated terms stay attribute references instead of
     being inlined into one very large generated expression."""
-    from pyspark.sql import DataFrame  # noqa: F401  (type of df)
     out = df
     for o, c in columns.items():
         p = f"_{o}_"
