@@ -98,3 +98,23 @@ def with_schema(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def text_digest(text: str = "text") -> Column:
+    """SHA-256 of the text's UTF-8 bytes (NULL counts as empty), lowercase hex."""
+    return F.sha2(text_or_empty(text).cast("binary"), 256)
+
+
+def keep_rows(docs: DataFrame, stays: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose (key, text) is in ``stays`` (key, text_sha256, n_same), each once.
+
+    n_same says how many equal (key, text) rows ``docs`` holds; only those with
+    several are deduplicated, so that other rows are not shuffled again.
+    """
+    names = {key: "k_", "text_sha256": "s_", "n_same": "n_"}
+    right = stays.select(*[F.col(c).alias(n) for c, n in names.items()])
+    joined = docs.join(right, F.col(key).eqNullSafe(F.col("k_")) & (text_digest(text) == F.col("s_")))
+    once = joined.where("n_ = 1").select(*docs.columns)
+    if right.where("n_ > 1").isEmpty():
+        return once
+    return once.unionByName(joined.where("n_ > 1").dropDuplicates(["k_", "s_"]).select(*docs.columns))

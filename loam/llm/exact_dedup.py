@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import saved
+from loam.llm.common import keep_rows, saved
 
 BLOCK_BYTES = 4096
 
@@ -122,10 +122,4 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """The documents that stay, with all their columns; of repeated equal rows one stays."""
     result = saved(exact_dedup(docs, text, key), "kept")
     same = result.groupBy(key, "text_sha256").agg(F.count("*").alias("n_same"), F.max("kept").alias("stays"))
-    stays = same.where("stays").select(F.col(key).alias("k_"), F.col("text_sha256").alias("s_"), "n_same")
-    joined = docs.join(stays, F.col(key).eqNullSafe(F.col("k_"))
-                       & (F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256) == F.col("s_")))
-    once = joined.where("n_same = 1").select(*docs.columns)
-    if same.where("stays and n_same > 1").isEmpty():
-        return once
-    return once.unionByName(joined.where("n_same > 1").dropDuplicates(["k_", "s_"]).select(*docs.columns))
+    return keep_rows(docs, same.where("stays"), text, key)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import exact_dedup
+from loam.llm import exact_dedup, simhash
 from loam.sources.readers import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,10 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates by block naming over every row and whole text of documents."""
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op1_simhash_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components (4-word shingles, at most 4 differing bits) over every row of documents."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")) \
+        .select("doc_id", "fingerprint", "component_id")
