@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import exact_dedup, simhash
+from loam.llm import bpe, exact_dedup, simhash
 from loam.sources.readers import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,22 @@ def query(name: str, sql: str | None = None):
         return fn
     return deco
 
+#: The vocabulary that the encoding query is asked to use.
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Token counts and digests of every document under the asked vocabulary and pattern."""
+    import public_tokenizers
+
+    return bpe.digests(bpe.encode_documents(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN))
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text of documents, and the bytes decoded from them."""
+    return bpe_digests(read_table(spark, sf_dir, "documents"))
+
 
 @query("op10_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
