@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import bpe, exact_dedup, simhash
+from loam.llm import bpe, exact_dedup, language, secret_scan, simhash
+from loam.llm.common import held_out
 from loam.sources.readers import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,23 @@ def query(name: str, sql: str | None = None):
         return fn
     return deco
 
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern and structurally confirmed secrets in every whole text of documents."""
+    return secret_scan.digests(secret_scan.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by cross-parsing, learned from three of four folds of documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 4)
+    model = language.fit(docs.where(~out))
+    return language.predict(model, docs).withColumn("held_out", out) \
+        .select("doc_id", "held_out", "lang_pred", "score")
+
+
 #: The vocabulary that the encoding query is asked to use.
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
