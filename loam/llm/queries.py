@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loam.llm import bpe, exact_dedup, language, secret_scan, simhash
+from loam.llm import bpe, exact_dedup, language, line_quality, secret_scan, simhash
 from loam.llm.common import held_out
 from loam.sources.readers import read_table
 
@@ -29,6 +30,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(read_table(spark, sf_dir, "documents")))
 
 
+@query("op6_line_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text by a field over its lines, learned from three of four folds of labels."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    out = held_out("doc_id", 4)
+    model = line_quality.fit(docs, labels.where(~out))
+    scored = docs.select("doc_id", out.alias("held_out"), line_quality.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= line_quality.THRESHOLD).cast("int"))
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text by cross-parsing, learned from three of four folds of documents."""
