@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, exact_dedup, language, line_quality, secret_scan, simhash
+from loam.llm import bpe, decontaminate, exact_dedup, language, line_quality, secret_scan, simhash
 from loam.llm.common import held_out
 from loam.sources.readers import read_table
 
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op2_decontaminate")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that contaminates it, over every row of documents."""
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern and structurally confirmed secrets in every whole text of documents."""
