@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, decontaminate, exact_dedup, language, line_quality, secret_scan, simhash
+from loam.llm import bpe, decontaminate, exact_dedup, language, line_quality, secret_scan, simhash, suffix_dedup
 from loam.llm.common import held_out
 from loam.sources.readers import read_table
 
@@ -36,6 +36,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(read_table(spark, sf_dir, "documents")))
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text of documents that a 200-byte string occurring elsewhere covers."""
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 @query("op6_line_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text by a field over its lines, learned from three of four folds of labels."""
