@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, decontaminate, exact_dedup, language, line_quality, secret_scan, simhash, suffix_dedup
+from loam.llm import bpe, decontaminate, exact_dedup, language, line_quality, pii, secret_scan, simhash, suffix_dedup
 from loam.llm.common import held_out
 from loam.sources.readers import read_table
 
@@ -52,6 +52,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= line_quality.THRESHOLD).cast("int"))
 
 
+#: Key of the registered query only; who uses the operator passes a secret one.
+PII_KEY = b"registered query"
+
+
+@query("op7_pii_pseudonyms")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents with its personal values replaced, and what was replaced."""
+    found = pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return found.select("doc_id", F.size("pii_spans").cast("long").alias("n_values"), F.concat_ws(",", F.transform(
+        "pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))).alias("spans"), "text")
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text by cross-parsing, learned from three of four folds of documents."""
