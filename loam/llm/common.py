@@ -14,7 +14,7 @@ from loam.session import ensure_checkpoint_dir
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+def saved(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor costs only the stages after this point) and
@@ -26,7 +26,7 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(path.toString())
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path.toString())
     jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path.toString())
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, decontaminate, exact_dedup, language, line_quality, pii, secret_scan, simhash, suffix_dedup
+from loam.llm import bpe, decontaminate, exact_dedup, katz, language, line_quality, pii, secret_scan, simhash, suffix_dedup
 from loam.llm.common import held_out
 from loam.sources.readers import read_table
 
@@ -42,6 +42,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
 
 
+@query("op5_katz_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz back-off and add-one scores of every whole text, learned from six of seven folds of documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 7)
+    model = katz.fit(docs.where(~out))
+    return katz.score(model, docs).select(
+        "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score")
+
+
 @query("op6_line_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text by a field over its lines, learned from three of four folds of labels."""
