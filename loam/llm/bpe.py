@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from loam.llm.common import text_or_empty
 
 #: Entries of the memo tables of a worker; a full table is emptied and filled anew.
-MEMO_PIECES = 300_000
-MEMO_PAIRS = 400_000
+MEMO_PIECES = 600_000
+MEMO_PAIRS = 800_000
 
 _WORKER: dict[bytes, "Encoder"] = {}
 
@@ -93,6 +93,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.v = vocabulary
+        if len(vocabulary.tokens) > 1 << 16:
+            raise ValueError("pairs of tokens are packed into 32 bits")
         self.pieces = regex.compile(pattern).findall
         self.whole = {t: [i] for t, i in zip(vocabulary.tokens, vocabulary.ids)}
         self.by_id = dict(zip(vocabulary.ids, vocabulary.tokens))
@@ -120,33 +122,45 @@ class Encoder:
 
     def split(self, raw: bytes) -> list[int]:
         """Indices of the tokens that merging by rank gives."""
+        chars = raw.decode("latin-1")
+        fits, compatible, longest = self.fits, self.v.compatible, self.automaton.iter_long
+        out: list[int] = []
+        add = out.append
+        last = -1
+        for end, token in longest(chars):  # longest matches, as long as each may follow the one before
+            if last >= 0:
+                ok = fits.get(last << 16 | token)
+                if ok is None:
+                    if len(fits) >= MEMO_PAIRS:
+                        fits.clear()
+                    ok = fits[last << 16 | token] = compatible(last, token)
+                if not ok:
+                    return self.backtrack(chars, out, end + 1 - self.length[token], token)
+            add(token)
+            last = token
+        return out
+
+    def backtrack(self, chars: str, out: list[int], at: int, token: int) -> list[int]:
+        """Go on from ``at``, where ``token`` may not follow the last token of ``out``."""
         length, shorter, fits, compatible = self.length, self.shorter, self.fits, self.v.compatible
-        n = len(raw)
-        longest = [0] * n
-        for end, token in self.automaton.iter(raw.decode("latin-1")):  # longer matches of an end come first
-            start = end + 1 - length[token]
-            longest[start] = token  # a later end at one start is a longer token
+        longest = self.automaton.iter_long
+        n = len(chars)
         free = bytearray(b"\1") * (n + 1)
-        out: list[int] = []
-        at, token = 0, longest[0] if n else -1
         while at < n:
             last = out[-1] if out else -1
             while True:
                 end = at + length[token]
                 if free[end]:
-                    if last < 0:
-                        ok = True
-                    else:
-                        ok = fits.get(last << 32 | token)
-                        if ok is None:
-                            if len(fits) >= MEMO_PAIRS:
-                                fits.clear()
-                            ok = fits[last << 32 | token] = compatible(last, token)
+                    ok = last < 0 or fits.get(last << 16 | token)
+                    if ok is None:
+                        if len(fits) >= MEMO_PAIRS:
+                            fits.clear()
+                        ok = fits[last << 16 | token] = compatible(last, token)
                     if ok:
                         out.append(token)
                         at = end
                         if at < n:
-                            token = longest[at]
+                            token = next(longest(chars, at))[1]
                         break
                 token = shorter[token]
                 if token < 0:  # nothing fits here: give up this border and shorten the token before it
