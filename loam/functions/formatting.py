@@ -14,32 +14,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPLIT = 134217729.0  # 2^27 + 1
-
-
-def fixed2(x: Column) -> Column:
-    """``printf('%.2f', x)`` semantics for finite doubles below 1e13 in magnitude."""
-    a = F.abs(x.cast("double"))
-    c = a * F.lit(_SPLIT)
-    hi = c - (c - a)
-    lo = a - hi
-    p1, p2 = hi * F.lit(100.0), lo * F.lit(100.0)          # both exact
-    s = p1 + p2
-    bb = s - p1
-    t = (p1 - (s - bb)) + (p2 - bb)                         # s + t == a * 100 exactly
-    f = F.floor(s)
-    rest = s - f                                             # exact
-    up = (rest > 0.5) | ((rest == 0.5) & ((t > 0) | ((t == 0) & (F.pmod(f, F.lit(2)) == 1))))
-    down_tie = (rest == 0.5) & (t < 0)
-    k = F.when(up & ~down_tie, f + 1).otherwise(f).cast("long")
-    units = F.floor(k / 100).cast("long")
-    cents = F.lpad(F.pmod(k, F.lit(100)).cast("string"), 2, "0")
-    # the sign of the value itself, as printf keeps it (-0.004 and -0.0 print as -0.00)
-    sign = F.when(x.cast("double").cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    return F.when(x.isNull(), F.lit(None)).otherwise(F.concat(sign, units.cast("string"), F.lit("."), cents))
+LARGE = 1e13
 
 
 def with_fixed2(df, columns: dict[str, str]):
-    """Frame-level ``fixed2``: ``{output: input column}``.  The intermediate terms are
+    """Two-digit text of columns, ``printf('%.2f', x)`` for finite doubles: ``{output: input column}``.
+    Below 9e18 every digit is exact; above, the digits of the shortest decimal are printed.  The intermediate terms are
     separate projections, so repeated terms stay attribute references instead of
     being inlined into one very large generated expression."""
     out = df
@@ -55,14 +35,22 @@ def with_fixed2(df, columns: dict[str, str]):
         out = out.withColumn(p + "bb", F.col(p + "s") - F.col(p + "p1"))
         out = out.withColumns({
             p + "t": (F.col(p + "p1") - (F.col(p + "s") - F.col(p + "bb"))) + (F.col(p + "p2") - F.col(p + "bb")),
-            p + "f": F.floor(p + "s")})
+            p + "f": F.floor(F.least(F.col(p + "s"), F.lit(100 * LARGE)))})
         out = out.withColumn(p + "r", F.col(p + "s") - F.col(p + "f"))
         up = (F.col(p + "r") > 0.5) | ((F.col(p + "r") == 0.5) & ((F.col(p + "t") > 0) | (
             (F.col(p + "t") == 0) & (F.pmod(F.col(p + "f"), F.lit(2)) == 1))))
         out = out.withColumn(p + "k", F.when(up, F.col(p + "f") + 1).otherwise(F.col(p + "f")).cast("long"))
+        # from LARGE on, x * 100 is not exact any more, but the fraction times 100 is
+        whole = F.floor(F.col(p + "a").cast("double"))
+        cents = F.rint((F.col(p + "a") - F.floor(F.col(p + "a"))) * 100)
+        big_units = F.when(F.col(p + "a") < 9e18, (whole + F.when(cents >= 100, 1).otherwise(0)).cast("string")) \
+            .otherwise(F.col(p + "a").try_cast("decimal(38,0)").cast("string"))
+        large = F.concat(F.coalesce(big_units, F.col(p + "a").cast("string")), F.lit("."),
+                         F.lpad(F.pmod(cents, F.lit(100.0)).cast("long").cast("string"), 2, "0"))
+        small = F.concat(F.floor(F.col(p + "k") / 100).cast("long").cast("string"), F.lit("."),
+                         F.lpad(F.pmod(F.col(p + "k"), F.lit(100)).cast("string"), 2, "0"))
         text = F.concat(F.when(F.col(p + "neg"), F.lit("-")).otherwise(F.lit("")),
-                        F.floor(F.col(p + "k") / 100).cast("long").cast("string"), F.lit("."),
-                        F.lpad(F.pmod(F.col(p + "k"), F.lit(100)).cast("string"), 2, "0"))
+                        F.when(F.col(p + "a") < LARGE, small).otherwise(large))
         out = out.withColumn(o, F.when(F.col(c).isNull(), F.lit(None)).otherwise(text))
         out = out.drop(*[x for x in out.columns if x.startswith(p)])
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # sign or closing quote.  Full match.  We also require at least one digit.
 CURRENCY_SYMBOLS = "$€£¥₹₽"
 NUMERIC_TEXT_PATTERN = (
-    "^['\"]?[$€£¥₹₽]?-?([0-9]{1,3}(,[0-9]{3})*|[0-9]+)?(\\.[0-9]+)?(%|['\"]?)?$"
+    "^['\"]?[$€£¥₹₽]?-?([0-9]{1,3}(,[0-9]{3})*|[0-9]+)?(\\.[0-9]+)?(%|['\"]?)?\\z"
 )
 HAS_DIGIT_PATTERN = "[0-9]"
 # Characters kept by the coercion: digits, the dot and the minus sign.
@@ -30,8 +30,3 @@ def coerce_numeric(c: Column) -> Column:
     keeps ANSI mode from raising on text such as ``1.2.3`` or ``-``.
     """
     return F.regexp_replace(c.cast("string"), NON_NUMERIC_CHARS, "").try_cast("double")
-
-
-def parses_as_number(c: Column) -> Column:
-    """True when the raw value parses as a number as is (``pd.to_numeric``)."""
-    return c.cast("string").try_cast("double").isNotNull()

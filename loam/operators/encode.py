@@ -5,8 +5,10 @@ Label codes are the 0-based rank of each distinct value in code-point order
 without a single-partition window: distinct values are range-partitioned,
 numbered inside each partition, and shifted by the sizes of the earlier
 partitions (one row per partition reaches that step).  The value -> code map
-is joined back; it is broadcast only when its size (the distinct count) is
-under ``BROADCAST_MAX_CODES``.
+is joined back; it is broadcast only while its labels and codes together take at most
+``BROADCAST_MAX_BYTES``, summed when the codes are made.  In the shuffle join that
+takes over beyond it, missing values do not meet in one partition: their code is looked
+up once.
 """
 
 from __future__ import annotations
@@ -19,12 +21,11 @@ from pyspark.sql import functions as F
 
 from loam.functions.text import safe_identifier
 from loam.operators.profile import distinct_counts, value_counts
+from loam.session import ensure_checkpoint_dir
 
 NULL_LABEL = "nan"
 ONEHOT_THRESHOLD = 10
-BROADCAST_MAX_CODES = 100_000
-# Upper bound on one-hot columns per source column: above it, "onehot" raises.
-ONEHOT_MAX_COLUMNS = 1_000
+BROADCAST_MAX_BYTES = 16 << 20
 
 
 def _as_label(c: str, null_label: str | None):
@@ -62,6 +63,7 @@ class Encoding:
     categories: list[str] = field(default_factory=list)   # one-hot values, sorted
     codes: DataFrame | None = None                      # label map
     n_codes: int = 0
+    code_bytes: int = 0                                 # of all labels and codes
 
 
 @dataclass
@@ -79,24 +81,27 @@ class EncodingPlan:
         return {e.column: e.output for e in self.encodings}
 
 
+def _label_encoding(codes: DataFrame, column: str) -> Encoding:
+    """Encoding with the size of its code table."""
+    size = codes.agg(F.count("*"), F.sum(F.octet_length("value") + 16)).first()
+    return Encoding(column, "label", [f"{column}_encoded"], codes=codes, n_codes=size[0], code_bytes=size[1] or 0)
+
+
 def fit_label(df: DataFrame, column: str, null_label: str | None = NULL_LABEL) -> Encoding:
-    codes = label_codes(df, column, null_label).checkpoint(eager=True)
-    n = codes.count()
-    return Encoding(column, "label", [f"{column}_encoded"], codes=codes, n_codes=n)
+    ensure_checkpoint_dir(df.sparkSession)
+    return _label_encoding(label_codes(df, column, null_label).checkpoint(eager=True), column)
 
 
-def _label_from_counts(vc: DataFrame, column: str, has_null: bool, n_distinct: int,
+def _label_from_counts(vc: DataFrame, column: str, has_null: bool,
                        null_label: str | None = NULL_LABEL) -> Encoding:
     """Label codes from already distinct ``(column_name, value)`` counts (no new shuffle of
     the data); the missing label joins the values when the column has missing values.
     The codes derive from a checkpointed frame, so they are not materialised again."""
     values = vc.where(F.col("column_name") == column).select("value")
-    n = n_distinct
     if has_null and null_label is not None:
         extra = vc.sparkSession.createDataFrame([(null_label,)], "value string")
         values = values.where(F.col("value") != null_label).unionByName(extra)
-        n += 1
-    return Encoding(column, "label", [f"{column}_encoded"], codes=rank_values(values), n_codes=n)
+    return _label_encoding(rank_values(values), column)
 
 
 def _onehot_names(column: str, cats: list[str], existing: set[str]) -> list[str]:
@@ -112,49 +117,40 @@ def _onehot_names(column: str, cats: list[str], existing: set[str]) -> list[str]
     return names
 
 
-def fit_onehot(df: DataFrame, column: str, existing: set[str] | None = None) -> Encoding:
-    """Distinct non-missing values (bounded: the caller checked the distinct count)."""
-    vals = (df.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull())
-            .distinct().orderBy("v").limit(ONEHOT_MAX_COLUMNS + 1).collect())
-    if len(vals) > ONEHOT_MAX_COLUMNS:
-        raise ValueError(f"{column}: too many values for one-hot encoding")
-    cats = [r["v"] for r in vals]
-    taken = set(existing or ())
-    names = []
-    for v in cats:
-        base = safe_identifier(f"{column}_{v}")
-        name, k = base, 1
-        while name in taken:
-            k += 1
-            name = f"{base}_{k}"
-        taken.add(name)
-        names.append(name)
-    return Encoding(column, "onehot", names, categories=cats)
-
-
 def apply_encoding(df: DataFrame, e: Encoding, null_label: str | None = NULL_LABEL) -> DataFrame:
+    src = F.col("`" + e.column + "`").cast("string")
     if e.method == "onehot":
-        src = F.col(e.column).cast("string")
-        return df.withColumns({name: F.coalesce(src == F.lit(v), F.lit(False))
-                               for name, v in zip(e.output, e.categories)})
-    codes = e.codes.withColumnRenamed("value", "_lbl").withColumnRenamed("code", e.output[0])
-    if e.n_codes <= BROADCAST_MAX_CODES:
-        codes = F.broadcast(codes)
-    keyed = df.withColumn("_lbl", _as_label(e.column, null_label))
-    return keyed.join(codes, "_lbl", "left").drop("_lbl")
+        # one projection, whatever the number of values
+        return df.select("*", *[F.coalesce(src == F.lit(v), F.lit(False)).alias(name)
+                                for name, v in zip(e.output, e.categories)])
+    out = e.output[0]
+    if e.code_bytes <= BROADCAST_MAX_BYTES:
+        codes = F.broadcast(e.codes.withColumnRenamed("value", "_lbl").withColumnRenamed("code", out))
+        return df.withColumn("_lbl", _as_label(e.column, null_label)).join(codes, "_lbl", "left").drop("_lbl")
+    codes = e.codes.withColumnRenamed("value", "_lbl").withColumnRenamed("code", "_code")
+    missing = None
+    if null_label is not None:
+        row = e.codes.where(F.col("value") == null_label).select("code").first()
+        missing = row["code"] if row else None
+    # a NULL key meets no partner, and Spark spreads such rows of a left join
+    joined = df.withColumn("_lbl", src).join(codes, "_lbl", "left")
+    return joined.withColumn(out, F.when(F.col("_lbl").isNull(), F.lit(missing).cast("long")).otherwise(F.col("_code"))) \
+        .drop("_lbl", "_code")
 
 
 def fit_encoding(df: DataFrame, types: dict[str, str], method: str = "auto",
                  threshold: int = ONEHOT_THRESHOLD, target: str | None = None,
-                 n_rows: int | None = None) -> EncodingPlan:
+                 n_rows: int | None = None, max_onehot: int | None = None) -> EncodingPlan:
     """H1-H4: plan for every ``categorical``/``text`` column.
 
     The target is always label-encoded and renamed ``<target>_encoded``;
     others: ``label``, ``onehot``, or ``auto`` (one-hot when the distinct
     count, missing excluded, is at most ``threshold``).  One shuffle of
     ``(column, value)`` counts serves every column: distinct counts, one-hot
-    categories (collected only below ``ONEHOT_MAX_COLUMNS``) and label values.
+    categories (one output column each) and label values.  ``max_onehot``, if given,
+    raises where a column would need more one-hot columns.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     if method not in ("auto", "label", "onehot"):
         raise ValueError(f"unknown encoding method: {method}")
     cols = [c for c, t in types.items() if t in ("categorical", "text") and c in df.columns]
@@ -174,14 +170,14 @@ def fit_encoding(df: DataFrame, types: dict[str, str], method: str = "auto",
             nd, present = per.get(c, (0, 0))
             has_null = (present or 0) < n_rows
             if c == target:
-                encs.append(_label_from_counts(vc, c, has_null, nd))
+                encs.append(_label_from_counts(vc, c, has_null))
                 new_target = f"{c}_encoded"
             elif method == "label" or (method == "auto" and nd > threshold):
-                encs.append(_label_from_counts(vc, c, has_null, nd))
+                encs.append(_label_from_counts(vc, c, has_null))
             else:
-                if nd > ONEHOT_MAX_COLUMNS:
-                    raise ValueError(f"{c}: too many values for one-hot encoding")
-                # bounded by the check above
+                if max_onehot is not None and nd > max_onehot:
+                    raise ValueError(f"{c}: {nd} values, {max_onehot} one-hot columns allowed")
+                # as many values as columns are asked for
                 cats = sorted(r["value"] for r in vc.where(F.col("column_name") == c).select("value").collect())
                 encs.append(Encoding(c, "onehot", _onehot_names(c, cats, existing), categories=cats))
     finally:

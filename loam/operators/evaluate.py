@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loam.functions.stats import clean_double
 from loam.operators.ordered import cumulative_sums
 
+# Fixed value: metrics of which less is better.
 MINIMIZE = ("rmse", "mae", "mse", "log_loss")
 
 
@@ -66,7 +67,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     part = cum.select((F.col("pos") * (F.col("cum_neg") + F.col("neg") / 2.0)).alias("w"), "pos", "neg")
     tot = part.agg(F.sum("w").alias("w"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return tot.select(F.try_divide(F.col("w"), F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                                      F.col("P") * F.col("N"))).alias("roc_auc"))
+                                                      F.col("P").cast("double") * F.col("N"))).alias("roc_auc"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -109,7 +110,7 @@ def select_best(metrics: DataFrame, metric: str, model_col: str = "model", posit
     the rest; the earlier position wins a tie.  Raises when no model has the metric."""
     metric = metric.lower()
     if metric not in metrics.columns:
-        raise ValueError(f"Could not find any model with the metric '{metric}'")
+        raise ValueError(f"no column {metric} in the comparison table")
     order = F.asc(metric) if metric in MINIMIZE else F.desc(metric)
     w = Window.orderBy(order, F.asc(position_col))
     # the metrics table has one row per trained model

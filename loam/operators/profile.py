@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -268,6 +270,8 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
     column puts everything in bin 0.  Empty bins give no row.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, bin int, lower double, upper double, count long")
     lv = long_values(df, columns)
     rng = lv.groupBy("column_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     # bounded: one row per column
@@ -309,74 +313,69 @@ def binned_scatter(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 
 # ---------------------------------------------------------------- J6, J7
 
-# Above this many pair chunks, a gap-free set of columns goes through Spark ML's
-# one-vector correlation instead (passes independent of the column count).
-VECTOR_CORR_MIN_CHUNKS = 6
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column_a, column_b, corr)`` Pearson, pairwise-complete, all ordered pairs.
 
-    Pairs are aggregated in code-generated chunks (about ten buffer fields per
-    pair).  When that would take ``VECTOR_CORR_MIN_CHUNKS`` or more scans and no
-    value is missing (then pairwise-complete equals listwise), the columns are
-    centred by their means and correlated as one vector column with Spark ML
-    (a fixed number of passes for any width; the matrix is columns^2 numbers).
-    Undefined values are NULL.  Fewer than two numeric columns give an empty frame.
+    One scan finds the means, a second one folds each partition's rows, centred, into
+    columns x columns sums (rows, values, squares and products where both are present),
+    which are then added up: the number of scans is the same for any width, with gaps or
+    without.  Undefined values (fewer than two rows, or no spread) are NULL.  Fewer than
+    two numeric columns give an empty frame.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
     schema = "column_a string, column_b string, corr double"
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    chunks = -(-len(pairs) // max(1, AGG_FIELD_BUDGET // 10))
-    if chunks >= VECTOR_CORR_MIN_CHUNKS:
-        out = _vector_correlation(df, columns, schema)
-        if out is not None:
-            return out
-    xs = {c: clean_double(F.col(c)) for c in columns}
-    per = {f"p{i}": F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                             safe_corr(xs[a], xs[b]).alias("corr"))
-           for i, (a, b) in enumerate(pairs)}
-    # covar_samp (4 buffer fields) + two stddev_samp (3 each) per pair
-    upper = _wide_to_long(df, per, name="pair", width=10).drop("pair")
-    # both orientations from the same rows: no second evaluation of the aggregates
-    both = F.array(F.struct(F.col("column_a").alias("a"), F.col("column_b").alias("b")),
-                   F.struct(F.col("column_b").alias("a"), F.col("column_a").alias("b")))
-    return (upper.select(F.explode(F.array_distinct(both)).alias("ab"), "corr")
-            .select(F.col("ab.a").alias("column_a"), F.col("ab.b").alias("column_b"), "corr"))
-
-
-def _vector_correlation(df: DataFrame, columns: list[str], schema: str) -> DataFrame | None:
-    """Gap-free columns correlated as one centred vector; ``None`` when a value is missing."""
-    import math
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    per = {c: F.struct(F.count(clean_double(F.col(c))).alias("present"), F.count(F.lit(1)).alias("n_rows"),
-                       F.avg(clean_double(F.col(c))).alias("mean"),
-                       F.stddev_samp(clean_double(F.col(c))).alias("std")) for c in columns}
-    st = {r["column_name"]: r for r in _wide_to_long(df, per, width=7).collect()}
-    if any(st[c]["present"] != st[c]["n_rows"] for c in columns) or st[columns[0]]["n_rows"] < 2:
-        return None
-    centred = df.select(*[(clean_double(F.col(c)) - F.lit(st[c]["mean"])).alias(c) for c in columns])
-    vec = VectorAssembler(inputCols=columns, outputCol="v").transform(centred).select("v")
-    m = Correlation.corr(vec, "v", "pearson").head()[0].toArray()
-    rows = []
-    constant = {c for c in columns if not st[c]["std"]}
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            v = float(m[i, j])
-            undefined = math.isnan(v) or a in constant or b in constant
-            rows.append((a, b, None if undefined else v))
-    # columns^2 numbers, bounded by the schema
-    return df.sparkSession.createDataFrame(rows, schema)
+    k = len(columns)
+    values = df.select(*[clean_double(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    means: list[float] = []
+    for at in range(0, k, 50):  # one mean for each column
+        means += [m or 0.0 for m in values.agg(*[F.avg(f"c{i}") for i in range(at, min(k, at + 50))]).first()]
+
+    def fold(batches):
+        """Sums of a partition: a row for each pair a <= b."""
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(at, 1 << 14)
+                x = np.stack([part.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(k)], axis=1)
+                there = ~np.isnan(x)
+                x = np.where(there, x - means, 0.0)
+                m = there.astype(float)
+                total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        a, b = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.array(t[a, b]) for t in total]],
+                                         ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+
+    fields = ["n", "sa", "sb", "saa", "sbb", "sab"]
+    sums = values.mapInArrow(fold, "a long, b long, " + ", ".join(f"{f} double" for f in fields)) \
+        .groupBy("a", "b").agg(*[F.sum(f).alias(f) for f in fields])
+    va = F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")
+    vb = F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n")
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
+    # no spread: what is left of the squares is rounding (of the centred values, or of the mean itself)
+    spread_a = va > F.greatest(F.col("saa") * 1e-13, floor_of(means, "a") * F.col("n"))
+    spread_b = vb > F.greatest(F.col("sbb") * 1e-13, floor_of(means, "b") * F.col("n"))
+    corr = F.when((F.col("n") >= 2) & spread_a & spread_b,
+                  F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(va * vb))))
+    names = F.array(*[F.lit(c) for c in columns])
+    pair = sums.select(F.element_at(names, (F.col("a") + 1).cast("int")).alias("x"),
+                       F.element_at(names, (F.col("b") + 1).cast("int")).alias("y"), corr.alias("corr"))
+    both = F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))
+    return pair.select(F.explode(F.array_distinct(both)).alias("ab"), "corr") \
+        .select(F.col("ab.a").alias("column_a"), F.col("ab.b").alias("column_b"), "corr")
+
+
+def floor_of(means: Sequence[float], index: str) -> Column:
+    """Square of the rounding error of a column's values around its mean."""
+    return F.element_at(F.array(*[F.lit((abs(m) * 1e-15) ** 2) for m in means]), (F.col(index) + 1).cast("int"))
 
 
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
     """``(feature, corr, rank)``: each numeric feature against the target, rank by |corr| desc."""
     columns = [c for c in (columns if columns is not None else numeric_columns(df)) if c != target]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, corr double, rank int")
     y = clean_double(F.col(target))
     per = {c: F.struct(F.lit(c).alias("feature"), safe_corr(clean_double(F.col(c)), y).alias("corr"))
            for c in columns}
@@ -419,6 +418,7 @@ def filter_rows(df: DataFrame, condition: Column | str) -> DataFrame:
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     """``(label, count, share)`` with share of all non-missing labels."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("count"))
-    # the window runs over the aggregated frame: one row per class
-    return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    present = df.where(F.col(label).isNotNull())
+    total = present.count()  # one number, so that a label with very many values needs no common window
+    return present.groupBy(label).agg(F.count("*").alias("count")) \
+        .withColumn("share", F.col("count") / F.lit(float(total or 1)))

@@ -8,9 +8,13 @@ narrowing instead:
 1. per key (optional group columns + column name): ``count``, ``min``, ``max``;
 2. each wanted 0-based rank ``k`` starts with the range ``[min, max]``;
 3. while a range still holds more than ``cap`` values, one aggregate pass counts
-   the values of every open range in ``BUCKETS`` equal-width buckets (partial
-   aggregation before the shuffle, so a hot key costs nothing extra), and the
-   range shrinks to the bucket that holds rank ``k`` (its real min and max);
+   the values of every open range in ``BUCKETS`` buckets (partial aggregation
+   before the shuffle, so a hot key costs nothing extra), and the range shrinks
+   to the bucket that holds rank ``k`` (its real min and max).  A range that spans
+   zero or a factor over four has buckets by sign and logarithm, another one
+   buckets of equal width: the first pass leaves a factor under 2.1, so less than
+   54 bits, and every later pass takes 12 of them.  ``MAX_PASSES`` passes therefore
+   end with single values for any data; nothing larger than ``cap`` is ever gathered;
 4. a range with min = max is solved; the rest (at most ``cap`` values each)
    are sorted per target and the value at the rank is picked.
 
@@ -31,7 +35,7 @@ from loam.session import ensure_checkpoint_dir
 
 BUCKETS = 4096
 DEFAULT_CAP = 200_000
-MAX_PASSES = 12
+MAX_PASSES = 8
 # Keys with at most this many values are sorted whole in one task (a bounded
 # array) instead of being narrowed first.
 DIRECT_MAX = 200_000
@@ -137,10 +141,12 @@ def solve_ranks(data: DataFrame, wanted: DataFrame, keys: list[str], cap: int =
     targets = (wanted.withColumn("tid", F.struct(*[F.col(c) for c in keys], F.col("k")))
                .select("tid", *keys, "k", "lo", "hi", F.lit(0).cast("long").alias("below"),
                        F.col("n").alias("cnt")))
-    for i in range(MAX_PASSES):
+    for i in range(MAX_PASSES + 1):
         open_t = targets.where((F.col("cnt") > cap) & (F.col("lo") < F.col("hi")))
-        if open_t.limit(1).count() == 0:
+        if open_t.isEmpty():
             break
+        if i == MAX_PASSES:
+            raise RuntimeError("a range still holds more values than may be gathered")
         # first pass: every target of a key still spans the key's [min, max], so
         # one histogram per key serves them all
         targets = _narrow(data, targets, open_t, keys, side, per_key=(i == 0)).checkpoint(eager=True)
@@ -166,12 +172,24 @@ def _in_key_ranges(data: DataFrame, t: DataFrame, keys: list[str], side) -> Data
             .drop("_klo", "_khi"))
 
 
+def _bucket():
+    """Bucket of ``value`` in its range ``lo`` to ``hi``; grows with the value."""
+    half_span = F.col("hi") / 2 - F.col("lo") / 2
+    even = F.least(F.floor((F.col("value") / 2 - F.col("lo") / 2) / half_span * BUCKETS), F.lit(BUCKETS - 1))
+    half = BUCKETS // 2
+    # place of a magnitude between the smallest and the largest double
+    size = F.least(F.greatest(F.floor((F.log2(F.abs("value")) + 1075) / 2100 * (half - 1)), F.lit(0)), F.lit(half - 2))
+    signed = F.when(F.col("value") > 0, F.lit(half + 1) + size).when(F.col("value") < 0, F.lit(half - 1) - size) \
+        .otherwise(F.lit(half))
+    wide = ((F.col("lo") <= 0) & (F.col("hi") >= 0)) | (F.greatest(F.abs("lo"), F.abs("hi")) / 4
+                                                       > F.least(F.abs("lo"), F.abs("hi")))
+    return F.when(wide, signed).otherwise(even).cast("int")
+
+
 def _narrow(data: DataFrame, targets: DataFrame, open_t: DataFrame, keys: list[str], side,
             per_key: bool = False) -> DataFrame:
     """One histogram pass over every open range; returns the updated targets."""
-    half_span = F.col("hi") / 2 - F.col("lo") / 2
-    bucket = F.least(F.floor((F.col("value") / 2 - F.col("lo") / 2) / half_span * BUCKETS),
-                     F.lit(BUCKETS - 1)).cast("int")
+    bucket = _bucket()
     if per_key:
         ranges = open_t.select(*keys, "lo", "hi").distinct()
         part = keys

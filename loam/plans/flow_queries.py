@@ -182,13 +182,40 @@ def forecast_orders(spark, sf_dir):
 
 
 @register("csv_roundtrip_customer",
-          "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+          "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_roundtrip_customer(spark, sf_dir):
     """A6 then A1/A3: cleaned-table CSV sink, read back with header and inferred types."""
     path = sinks.save_cleaned(table(spark, sf_dir, "customer"), sinks.new_output_path(spark, "customer") + ".csv")
     return readers.load(spark, path)
 
 
+@register("csv_roundtrip_documents", "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents")
+def csv_roundtrip_documents(spark, sf_dir):
+    """A6 then A1: texts with line breaks, quotes and padding come back as they were (empty ones as missing)."""
+    path = sinks.save_cleaned(table(spark, sf_dir, "documents"), sinks.new_output_path(spark, "documents") + ".csv")
+    return readers.load(spark, path, multi_line=True)
+
+
+@register("csv_roundtrip_conversations", "SELECT conv_id, turn, role, nullif(text, '') AS text FROM conversations")
+def csv_roundtrip_conversations(spark, sf_dir):
+    """A6 then A1 on conversation turns."""
+    path = sinks.save_cleaned(table(spark, sf_dir, "conversations"), sinks.new_output_path(spark, "turns") + ".csv")
+    return readers.load(spark, path, multi_line=True)
+
+
+@register("csv_missing_tokens_orders",
+          "SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 1, 2) THEN NULL ELSE o_totalprice END AS price, "
+          "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders")
+def csv_missing_tokens_orders(spark, sf_dir):
+    """A1: NA, n/a and null fields are missing, and the column around them is numeric."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    price = F.when(k % 7 == 0, "NA").when(k % 7 == 1, "n/a").when(k % 7 == 2, "null").otherwise(F.col("o_totalprice").cast("string"))
+    raw = o.select("o_orderkey", price.alias("price"), F.when(k % 5 == 0, "None").otherwise(F.col("o_orderpriority")).alias("priority"))
+    path = sinks.save_cleaned(raw, sinks.new_output_path(spark, "tokens") + ".csv")
+    return readers.load(spark, path)
+
+
 @register("json_roundtrip_orders",
           "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def json_roundtrip_orders(spark, sf_dir):

@@ -311,3 +311,43 @@ SELECT bin, CAST(round(lo + (hi - lo) / 8 * bin, 2) AS VARCHAR) || ' - ' || CAST
 def distribution_order_value(spark, sf_dir):
     """Labelled 8-bin distribution of the order value."""
     return P.distribution(table(spark, sf_dir, "orders"), "o_totalprice", bins=8)
+
+
+_WIDE = [f"w{i}" for i in range(20)]
+
+
+def _wide_exprs(sql: bool) -> list[str]:
+    """Twenty columns from four of lineitem, each missing on other rows."""
+    base = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return [f"CASE WHEN (l_orderkey + l_linenumber) % {i + 5} <> 0 THEN {base[i % 4]} * {i + 1} + {base[(i // 4) % 4]} END AS w{i}"
+            for i in range(20)]
+
+
+@register("correlation_wide_gaps_lineitem",
+          "WITH t AS (SELECT " + ", ".join(_wide_exprs(True)) + " FROM lineitem) " + " UNION ALL ".join(
+              f"SELECT '{a}' AS column_a, '{b}' AS column_b, {r(f'corr({a}, {b})')} AS corr FROM t" for a in _WIDE for b in _WIDE))
+def correlation_wide_gaps_lineitem(spark, sf_dir):
+    """J6 on twenty columns with gaps on different rows: pairwise-complete, one scan for all sums."""
+    return rounded(P.correlation_matrix(table(spark, sf_dir, "lineitem").selectExpr(*_wide_exprs(False)), _WIDE))
+
+
+_LOG_VALUE = ("CAST(concat(CASE WHEN event_id % 3 = 0 THEN '-' ELSE '' END, event_id % 97 + 1, 'e', event_id % 601 - 300) "
+              "AS DOUBLE)")
+
+
+@register("quantiles_log_spaced_events",
+          f"WITH t AS (SELECT event_type, {_LOG_VALUE} AS v FROM events) SELECT event_type, CAST(p AS DOUBLE) AS prob, "
+          "quantile_cont(v, p) AS value FROM t, (SELECT unnest([0.0, 0.25, 0.75, 1.0]) AS p) "
+          "GROUP BY event_type, p".replace("quantile_cont(v, p)", "CASE p WHEN 0.0 THEN min(v) WHEN 0.25 THEN quantile_disc(v, 0.25) "
+                                           "WHEN 0.75 THEN quantile_disc(v, 0.75) ELSE max(v) END"))
+def quantiles_log_spaced_events(spark, sf_dir):
+    """Exact order statistics of values from 1e-300 to 1e302 of both signs by event type, with a small bound on what may be gathered."""
+    from loam.operators.quantiles import long_values, solve_ranks
+    t = table(spark, sf_dir, "events").selectExpr("event_type", f"{_LOG_VALUE} AS v")
+    data = long_values(t, ["v"], ["event_type"])
+    stats = data.groupBy("event_type", "column_name").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    wanted = stats.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in (0.0, 0.25, 0.75, 1.0)]))) \
+        .withColumn("k", F.greatest(F.ceil(F.col("prob") * F.col("n")) - 1, F.lit(0)))
+    found = solve_ranks(data, wanted.select("event_type", "column_name", "k", "n", "lo", "hi").distinct(),
+                        ["event_type", "column_name"], cap=100, small=False)
+    return wanted.join(found, ["event_type", "column_name", "k"]).select("event_type", "prob", "value")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,13 @@ from pyspark.sql import types as T
 # Fixed value: file extensions the loader accepts (lower-cased).
 SUPPORTED_EXTENSIONS = (".csv", ".json", ".parquet")
 
+# CSV fields that mean "missing" unless the caller names others.
+MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+INTEGER_FIELD = r"^[ \t]*[+-]?[0-9]{1,18}[ \t]*\z"
+NUMBER_FIELD = r"^[ \t]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*\z"
+BOOLEAN_FIELD = r"^(true|True|TRUE|false|False|FALSE)\z"
+
 
 def normalize_missing(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in floating columns (optional: the operators already treat
@@ -25,24 +33,29 @@ def normalize_missing(df: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-         infer_schema: bool = True, all_strings: bool = False, nan_to_null: bool = False) -> DataFrame:
-    """A1-A3: read by lower-cased extension; unknown extensions raise ``ValueError``.
-
-    CSV has a header row; JSON may be one array/records document or JSON lines.
-    ``all_strings`` (A4) reads every column as text.  The scan is returned as
-    is, so projections and filters reach the reader; every operator treats NaN
-    as missing itself (``nan_to_null`` rewrites floating columns up front).
+         infer_schema: bool = True, all_strings: bool = False, nan_to_null: bool = False,
+         multi_line: bool = False, missing: Sequence[str] = MISSING_TOKENS) -> DataFrame:
+    """A1-A3: read by lower-cased extension; other extensions raise ``ValueError``.
+
+    CSV has a header row, doubled quotes inside quoted fields, and keeps the blanks
+    around a field.  Fields equal to one of ``missing`` are missing, before types are
+    inferred: a column is bigint, double or boolean if all its other fields are, else
+    text (dates are told by C1, not here).  Inference is one aggregate pass.
+    ``multi_line`` allows line breaks inside quotes; such a file cannot be split, so
+    each file is read by one task.  JSON may be one array/records document or JSON
+    lines.  ``all_strings`` (A4) reads every column as text.  Other scans are returned
+    as they are, so projections and filters reach the reader; every operator treats
+    NaN as missing itself (``nan_to_null`` rewrites floating columns up front).
     """
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in SUPPORTED_EXTENSIONS:
-        raise ValueError(f"Unsupported file format: {ext}")
+        raise ValueError(f"cannot load {ext or 'a path without extension'}; known: {', '.join(SUPPORTED_EXTENSIONS)}")
     if ext == ".csv":
-        reader = spark.read.option("header", True)
+        df = _csv_fields(spark, path, multi_line, missing)
         if schema is not None:
-            reader = reader.schema(schema)
+            df = _cast_fields(df, schema)
         elif infer_schema and not all_strings:
-            reader = reader.option("inferSchema", True)
-        df = reader.csv(path)
+            df = _infer_fields(df)
     elif ext == ".json":
         reader = spark.read.option("multiLine", _is_json_document(spark, path))
         if schema is not None:
@@ -57,6 +70,40 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     return normalize_missing(df) if nan_to_null else df
 
 
+def _csv_fields(spark: SparkSession, path: str, multi_line: bool, missing: Sequence[str]) -> DataFrame:
+    """Every field as text, missing tokens as NULL."""
+    df = (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    cols = [F.col(quoted(c)) for c in df.columns]
+    return df.select(*[F.when(~v.isin(*missing), v).alias(c) if missing else v for c, v in zip(df.columns, cols)])
+
+
+def quoted(name: str) -> str:
+    """A column name as a reference, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _infer_fields(df: DataFrame) -> DataFrame:
+    """bigint, double or boolean where every present field is one; an empty column stays text."""
+    kinds = (("bigint", INTEGER_FIELD), ("double", NUMBER_FIELD), ("boolean", BOOLEAN_FIELD))
+    out = list(df.columns)
+    for at in range(0, len(out), 25):  # bounded expressions per pass
+        some = out[at: at + 25]
+        row = df.agg(*[x for i, c in enumerate(some) for x in (
+            F.count(F.col(quoted(c))).alias(f"n{i}"),
+            *[F.count_if(F.col(quoted(c)).rlike(pattern)).alias(f"{kind}{i}") for kind, pattern in kinds])]).first()
+        for i, c in enumerate(some):
+            kind = next((k for k, _ in kinds if row[f"n{i}"] and row[f"{k}{i}"] == row[f"n{i}"]), None)
+            out[at + i] = F.trim(F.col(quoted(c))).cast(kind).alias(c) if kind else F.col(quoted(c))
+    return df.select(*out)
+
+
+def _cast_fields(df: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Fields cast to a given schema by position; what doesn't parse is missing."""
+    kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return df.select(*[F.col(quoted(c)).try_cast(f.dataType).alias(f.name) for c, f in zip(df.columns, kinds.fields)])
+
+
 def _is_json_document(spark: SparkSession, path: str) -> bool:
     """A JSON source whose first non-blank line starts with ``[`` is one document
     (array of records); otherwise JSON lines.  Read through Spark, so any file
@@ -94,11 +141,3 @@ def sample_rows(df: DataFrame, key: list[str], n: int = 10, seed: int = 42) -> D
     """
     from loam.functions.hashing import seeded_hash52
     return df.withColumn("_h", seeded_hash52(key, seed)).orderBy("_h", *key).limit(n).drop("_h")
-
-
-def sample_fraction(df: DataFrame, key: list[str], fraction: float, seed: int = 42) -> DataFrame:
-    """Fraction sample by hash bucket (deterministic, partition independent)."""
-    from loam.functions.hashing import seeded_hash52
-    buckets = 1_000_000
-    h = F.pmod(seeded_hash52(key, seed), F.lit(buckets))
-    return df.where(h < F.lit(int(round(fraction * buckets))))

@@ -7,7 +7,6 @@ machine-local temporary folder.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +33,16 @@ def write_snapshot(df: DataFrame, path: str | None = None) -> str:
 
 
 def save_cleaned(df: DataFrame, path: str | None = None, fmt: str = "csv") -> str:
-    """Cleaned table as CSV with a header (or Parquet)."""
+    """Cleaned table as CSV with a header (or Parquet, or JSON lines).
+
+    CSV doubles quotes inside fields and keeps blanks and line breaks (to be read with
+    ``multi_line``); missing values are empty fields.
+    """
     path = path or new_output_path(df.sparkSession, "cleaned")
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        (writer.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     elif fmt == "parquet":
         writer.parquet(path)
     elif fmt == "json":
@@ -57,9 +61,3 @@ def save_results(frames: dict[str, DataFrame], path: str | None = None) -> str:
     for name, frame in frames.items():
         frame.write.mode("overwrite").json(f"{path}/{name}")
     return path
-
-
-def metadata_frame(spark: SparkSession, meta: dict) -> DataFrame:
-    """One-row metadata table (values JSON-encoded)."""
-    return spark.createDataFrame([(k, json.dumps(v, default=str)) for k, v in meta.items()],
-                                 "key string, value string")

@@ -195,28 +195,27 @@ def test_approx_summary_close_to_exact(spark):
     assert abs(exact - approx) < 0.05
 
 
-def test_vector_and_pairwise_correlation_agree(spark, monkeypatch):
+def test_wide_correlation_equals_pandas(spark):
     rnd = random.Random(13)
     cols = [f"c{i}" for i in range(12)]
     rows = [tuple([5.0] + [rnd.gauss(i, 1 + i) + 0.3 * k for i in range(1, 12)]) for k in range(300)]
-    df = _df(spark, rows, ", ".join(f"{c} double" for c in cols))
-    vec = {(r["column_a"], r["column_b"]): r["corr"] for r in P.correlation_matrix(df).collect()}
-    monkeypatch.setattr(P, "VECTOR_CORR_MIN_CHUNKS", 10 ** 9)
-    pair = {(r["column_a"], r["column_b"]): r["corr"] for r in P.correlation_matrix(df).collect()}
-    assert set(vec) == set(pair) and len(vec) == 144
-    for k, v in pair.items():
-        if v is None:
-            assert vec[k] is None, k
+    got = {(r["column_a"], r["column_b"]): r["corr"] for r in
+           P.correlation_matrix(_df(spark, rows, ", ".join(f"{c} double" for c in cols))).collect()}
+    want = pd.DataFrame(rows, columns=cols).corr()
+    assert len(got) == 144
+    for (a, b), v in got.items():
+        if "c0" in (a, b):
+            assert v is None
         else:
-            assert vec[k] == pytest.approx(v, abs=1e-9), k
+            assert v == pytest.approx(want.loc[a, b], abs=1e-9), (a, b)
 
 
 def test_fixed2_matches_exact_binary_rounding(spark):
-    from loam.functions.formatting import fixed2
+    from loam.functions.formatting import with_fixed2
     rnd = random.Random(4)
     vals = [256068.025, 0.125, 0.375, 2.675, 1.005, -1.005, -0.004, 0.0, -0.0, 123.455, 2.5]
     vals += [round(rnd.uniform(-1e6, 1e6), rnd.randint(0, 4)) for _ in range(3000)]
     vals += [(rnd.randint(0, 10 ** 8) + 0.5) / 100 for _ in range(1000)]
     df = _df(spark, [(v,) for v in vals], "x double")
-    got = [r["s"] for r in df.select(fixed2(F.col("x")).alias("s")).collect()]
+    got = [r["s"] for r in with_fixed2(df, {"s": "x"}).select("s").collect()]
     assert got == [f"{v:.2f}" for v in vals]

@@ -45,7 +45,7 @@ def test_plan_on_stream(spark, tmp_path):
 
 def test_onehot_name_collisions(spark):
     df = spark.createDataFrame([("a b",), ("a_b",), (None,)], "c string")
-    e = ENC.fit_onehot(df, "c")
+    e = ENC.fit_encoding(df, {"c": "categorical"}, "onehot").encodings[0]
     assert len(set(e.output)) == 2
     out = ENC.apply_encoding(df, e)
     assert out.where(F.col(e.output[0]) | F.col(e.output[1])).count() == 2
