@@ -9,28 +9,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loam.functions.dates import ISO, parse_date
 from loam.functions.hashing import seeded_hash52
 from loam.functions.stats import clean_double
 from loam.functions.schema import DATETIME_TYPES
 from loam.operators.quantiles import kth_smallest
 
 
-def _as_timestamp(df: DataFrame, c: str) -> Column:
+def _as_timestamp(df: DataFrame, c: str, formats: dict[str, str]) -> Column:
     dt = dict((f.name, f.dataType) for f in df.schema.fields)[c]
     if isinstance(dt, DATETIME_TYPES):
         return F.col(c)
     # wall-clock time without a zone, whatever the session time zone
-    return F.try_to_timestamp(F.col(c).cast("string")).cast("timestamp_ntz")
+    return parse_date(F.col(c).cast("string"), formats.get(c, ISO)).cast("timestamp_ntz")
 
 
 def extract_datetime_features(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """For each ``datetime`` column, ``_year _month _day _dayofweek (Mon=0) _quarter``;
     text dates are converted to timestamps in place, the original is kept."""
+    from loam.operators.semantic_types import date_formats
+
     out = df
+    text = [f.name for f in df.schema.fields if types.get(f.name) == "datetime" and isinstance(f.dataType, T.StringType)]
+    formats = date_formats(df, text)
     for c, t in types.items():
         if t != "datetime" or c not in df.columns:
             continue
-        out = out.withColumn(c, _as_timestamp(out, c))
+        out = out.withColumn(c, _as_timestamp(out, c, formats))
         ts = F.col(c)
         out = out.withColumns({f"{c}_year": F.year(ts), f"{c}_month": F.month(ts),
                                f"{c}_day": F.dayofmonth(ts), f"{c}_dayofweek": F.weekday(ts),

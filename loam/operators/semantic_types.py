@@ -1,16 +1,16 @@
 """Semantic type inference (C1, C3, C5, C6) and numeric coercion (C4).
 
-One aggregate job gathers, for every column, the non-missing count and how
-many values look numeric or parse as timestamps; one shuffle of hashed
-``(column, value)`` keys gives the distinct counts (see
-``profile.distinct_counts``).  The classification is a ``CASE`` over that
-tidy frame.
+One aggregate job gathers, for every column, the non-missing count and how many
+values look numeric or parse as timestamps in each known format.  Where types alone are
+wanted, only text columns that are neither numbers nor dates are left, and only their
+hashed values are shuffled for distinct counts (see ``profile.distinct_counts``).  The classification is a
+``CASE`` over that tidy frame.
 
 Decisions (see the semantics ledger in SURVEY): numeric physical types and
 booleans are ``numeric``; a string column is ``numeric`` when every
 non-missing value is numeric-looking text (full scan, at least one digit,
 skipped when fewer than ``min(10, n)`` values are present); otherwise
-``datetime`` when every non-missing value parses as a timestamp; timestamp and
+``datetime`` when one format reads every non-missing value; timestamp and
 date types are ``datetime``; the rest is ``categorical`` when
 ``n_distinct < min(50, 0.5 n)`` and ``text`` otherwise.
 """
@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loam.functions.dates import DATE_FORMATS, count_dates
 from loam.functions.numeric_text import coerce_numeric, looks_numeric
 from loam.functions.schema import NUMERIC_TYPES, DATETIME_TYPES, flat_columns
 from loam.functions.stats import nan_to_null
 from loam.operators.profile import _wide_to_long, distinct_counts
+from loam.sources.readers import quoted
 
 CATEGORICAL_MAX_DISTINCT = 50
 CATEGORICAL_MAX_SHARE = 0.5
@@ -39,38 +41,61 @@ def _kind(dt: T.DataType) -> str:
     return "string"
 
 
-def type_evidence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, kind, n_rows, non_null, numeric_like, datetime_like, n_distinct)``.
+def type_evidence(df: DataFrame, columns: list[str] | None = None, count_all: bool = True) -> DataFrame:
+    """``(column_name, kind, n_rows, non_null, numeric_like, datetime_like, date_format, n_distinct)``.
 
-    One aggregate for the counts, one shuffle of hashed ``(column, value)``
-    keys for the distinct counts (texts are not moved).
+    datetime_like is the best count of any one date format, which date_format names.
+    n_distinct is counted by hashed values; without ``count_all`` only for text that is
+    neither numeric nor a date (0 elsewhere), which is all that types depend on.
     """
     columns = list(columns) if columns is not None else flat_columns(df)
     fields = {f.name: f.dataType for f in df.schema.fields}
     per = {}
     for c in columns:
         kind = _kind(fields[c])
-        col = F.col(c)
+        col = F.col(quoted(c))
         if kind == "string":
-            num = F.count_if(looks_numeric(col))
-            dt = F.count_if(F.try_to_timestamp(col).isNotNull())
+            num = F.count_if(looks_numeric(col)).cast("long")
+            dates = F.array(*[count_dates(col, f).cast("long") for f in DATE_FORMATS])
         else:
             num = F.lit(0).cast("long")
-            dt = F.lit(0).cast("long")
+            dates = F.array(*[F.lit(0).cast("long") for _ in DATE_FORMATS])
         present = nan_to_null(col) if isinstance(fields[c], (T.DoubleType, T.FloatType)) else col
         per[c] = F.struct(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"),
-                          F.count(present).alias("non_null"), num.cast("long").alias("numeric_like"),
-                          dt.cast("long").alias("datetime_like"))
-    ev = _wide_to_long(df, per, width=4)
-    nd = distinct_counts(df, columns)
-    return (ev.join(nd, "column_name", "left")
-            .select("column_name", "kind", "n_rows", "non_null", "numeric_like", "datetime_like",
-                    F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")))
-
-
-def detect_column_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+                          F.count(present).alias("non_null"), num.alias("numeric_like"), dates.alias("dates"))
+    best = F.array_max("dates")
+    ev = _wide_to_long(df, per, width=3 + len(DATE_FORMATS)).withColumn("datetime_like", best).withColumn(
+        "date_format", F.when(best > 0, F.element_at(F.array(*[F.lit(f) for f in DATE_FORMATS]),
+                                                     F.array_position("dates", best).cast("int")))).drop("dates")
+    # one row for each column
+    rows = [r.asDict() for r in ev.collect()]
+    open_text = columns if count_all else [r["column_name"] for r in rows if r["kind"] == "string" and r["non_null"]
+                 and r["datetime_like"] < r["non_null"] and not _all_numeric(r)]
+    distinct = {r["column_name"]: r["n_distinct"] for r in distinct_counts(df, open_text).collect()} if open_text else {}
+    return df.sparkSession.createDataFrame(
+        [(r["column_name"], r["kind"], r["n_rows"], r["non_null"], r["numeric_like"], r["datetime_like"], r["date_format"],
+          distinct.get(r["column_name"], 0)) for r in rows],
+        "column_name string, kind string, n_rows long, non_null long, numeric_like long, datetime_like long, "
+        "date_format string, n_distinct long")
+
+
+def _all_numeric(r: dict) -> bool:
+    return r["non_null"] >= min(NUMERIC_MIN_SAMPLE, r["n_rows"]) and r["numeric_like"] == r["non_null"]
+
+
+def date_formats(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The format of each text column of dates: the first that reads all values, else the one that reads most."""
+    if not columns:
+        return {}
+    per = {c: F.array(*[count_dates(F.col(quoted(c)), f).cast("long") for f in DATE_FORMATS]) for c in columns}
+    # one row, a few numbers for each column
+    row = df.agg(*[v.alias(f"c{i}") for i, v in enumerate(per.values())]).first()
+    return {c: DATE_FORMATS[max(range(len(DATE_FORMATS)), key=lambda k: (row[i][k], -k))] for i, c in enumerate(columns)}
+
+
+def detect_column_types(df: DataFrame, columns: list[str] | None = None, count_all: bool = True) -> DataFrame:
     """``(column_name, semantic_type)`` plus the evidence behind it."""
-    ev = type_evidence(df, columns)
+    ev = type_evidence(df, columns, count_all)
     n = F.col("n_rows")
     nn = F.col("non_null")
     enough = nn >= F.least(F.lit(NUMERIC_MIN_SAMPLE), n)
@@ -91,7 +116,7 @@ def column_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, s
 
 def column_types_with_evidence(df: DataFrame, columns: list[str] | None = None):
     """C1 plus the evidence rows (one per column): ``({column: type}, {column: row dict})``."""
-    rows = {r["column_name"]: r.asDict() for r in detect_column_types(df, columns).collect()}
+    rows = {r["column_name"]: r.asDict() for r in detect_column_types(df, columns, count_all=False).collect()}
     order = [c for c in (columns if columns is not None else flat_columns(df)) if c in rows]
     return {c: rows[c]["semantic_type"] for c in order}, {c: rows[c] for c in order}
 

@@ -451,3 +451,30 @@ def column_types_events(spark, sf_dir):
 def detect_outliers_iqr_supplier(spark, sf_dir):
     """E2 on the supplier table."""
     return OUT.detect_outliers(table(spark, sf_dir, "supplier"), "iqr")
+
+
+_DATE_TEXTS = {"us": ("M/d/yyyy", "%-m/%-d/%Y"), "eu": ("d/M/yyyy", "%-d/%-m/%Y"), "named": ("d MMM yyyy", "%-d %b %Y"),
+               "dotted": ("dd.MM.yyyy", "%d.%m.%Y")}
+
+
+def _date_texts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", *[F.date_format("o_orderdate", f).alias(c) for c, (f, _) in _DATE_TEXTS.items()])
+
+
+@register("date_text_types_orders", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, 'datetime' AS semantic_type" for c in _DATE_TEXTS))
+def date_text_types_orders(spark, sf_dir):
+    """Month-first, day-first, named-month and dotted dates are told as dates."""
+    from loam.operators import semantic_types as ST
+    return ST.detect_column_types(_date_texts(spark, sf_dir), list(_DATE_TEXTS)).select("column_name", "semantic_type")
+
+
+@register("date_text_parts_orders",
+          "SELECT o_orderkey, " + ", ".join(f"{p}(o_orderdate)::INTEGER AS {c}_{p}" for c in _DATE_TEXTS
+                                            for p in ("year", "month", "day")) + " FROM orders")
+def date_text_parts_orders(spark, sf_dir):
+    """I1 on those texts: the parts of every date as it was written."""
+    from loam.operators import features as FE
+    df = FE.extract_datetime_features(_date_texts(spark, sf_dir), {c: "datetime" for c in _DATE_TEXTS})
+    return df.select("o_orderkey", *[f"{c}_{p}" for c in _DATE_TEXTS for p in ("year", "month", "day")])
