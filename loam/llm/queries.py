@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, decontaminate, exact_dedup, katz, language, line_quality, pii, secret_scan, simhash, suffix_dedup
+from loam.llm import bpe, decontaminate, decontaminate_sql, exact_dedup, katz, language, line_quality, pii, secret_scan, simhash, suffix_dedup
 from loam.llm.common import held_out
 from loam.sources.readers import read_table
 
@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-@query("op2_decontaminate")
+@query("op2_decontaminate", decontaminate_sql.sql())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that contaminates it, over every row of documents."""
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
