@@ -36,7 +36,7 @@ def split_features_target(df: DataFrame, target: str):
     """``(features frame, target frame)``; a missing target raises ``ValueError``."""
     lower = {c.lower(): c for c in df.columns}
     if target.lower() not in lower:
-        raise ValueError(f"Target column '{target}' not found in the dataset")
+        raise ValueError(f"no column {target} to split off; there are {', '.join(df.columns)}")
     t = lower[target.lower()]
     return df.drop(t), df.select(t)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.text import safe_identifier
 from loam.operators.profile import distinct_counts, value_counts
-from loam.session import ensure_checkpoint_dir
+from loam.session import materialise
 
 NULL_LABEL = "nan"
 ONEHOT_THRESHOLD = 10
@@ -44,8 +44,7 @@ def rank_values(values: DataFrame, partitions: int | None = None) -> DataFrame:
     """``(value, code)`` for a frame of distinct strings ``value``."""
     n_parts = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # materialised once: both branches below must see the same partition ids
-    ranged = (values.repartitionByRange(n_parts, "value").withColumn("pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = materialise(values.repartitionByRange(n_parts, "value").withColumn("pid", F.spark_partition_id()))
     local = ranged.withColumn("i", F.row_number().over(Window.partitionBy("pid").orderBy("value")) - 1)
     sizes = ranged.groupBy("pid").agg(F.count("*").alias("size"))
     # one row per partition: a tiny ordered window
@@ -88,8 +87,7 @@ def _label_encoding(codes: DataFrame, column: str) -> Encoding:
 
 
 def fit_label(df: DataFrame, column: str, null_label: str | None = NULL_LABEL) -> Encoding:
-    ensure_checkpoint_dir(df.sparkSession)
-    return _label_encoding(label_codes(df, column, null_label).checkpoint(eager=True), column)
+    return _label_encoding(materialise(label_codes(df, column, null_label)), column)
 
 
 def _label_from_counts(vc: DataFrame, column: str, has_null: bool,
@@ -150,7 +148,6 @@ def fit_encoding(df: DataFrame, types: dict[str, str], method: str = "auto",
     categories (one output column each) and label values.  ``max_onehot``, if given,
     raises where a column would need more one-hot columns.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     if method not in ("auto", "label", "onehot"):
         raise ValueError(f"unknown encoding method: {method}")
     cols = [c for c, t in types.items() if t in ("categorical", "text") and c in df.columns]

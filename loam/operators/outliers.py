@@ -155,20 +155,19 @@ def fix_ranges(df: DataFrame, rules=RANGE_RULES) -> tuple[DataFrame, list[tuple]
     """A numeric column whose lower-cased name contains a rule's substring has
     out-of-range values replaced by the column median (median taken before the fix,
     over all values).  Rules apply in order; returns ``(frame, log)``."""
-    out = df
-    log = []
-    for c in numeric_columns(df):
-        for key, lo, hi in rules:
-            if key not in c.lower():
-                continue
+    todo = {c: [r for r in rules if r[0] in c.lower()] for c in numeric_columns(df)}
+    out, log = df, []
+    for turn in range(max(map(len, todo.values()), default=0)):
+        # the turn-th rule of every column: one aggregate counts, one quantile run gives all medians
+        due = {c: r[turn] for c, r in todo.items() if len(r) > turn}
+        bad = {}
+        for c, (_, lo, hi) in due.items():
             x = clean_double(F.col(c))
-            bad = (x < F.lit(lo)) if lo is not None else F.lit(False)
-            if hi is not None:
-                bad = bad | (x > F.lit(hi))
-            n_bad = out.where(bad).count()
-            if n_bad == 0:
-                continue
-            med = quantile_map(out, [c], [0.5])[(c, 0.5)]
-            out = out.withColumn(c, F.when(bad, F.lit(med)).otherwise(x))
-            log.append((c, key, n_bad, med))
+            low = (x < F.lit(lo)) if lo is not None else F.lit(False)
+            bad[c] = low | (x > F.lit(hi)) if hi is not None else low
+        counts = out.agg(*[F.count_if(b).alias(c) for c, b in bad.items()]).first()
+        hit = [c for c in due if counts[c]]
+        medians = quantile_map(out, hit, [0.5])
+        out = out.withColumns({c: F.when(bad[c], F.lit(medians[c, 0.5])).otherwise(clean_double(F.col(c))) for c in hit})
+        log += [(c, due[c][0], counts[c], medians[c, 0.5]) for c in hit]
     return out, log

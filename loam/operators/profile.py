@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from loam.functions.schema import numeric_columns, string_columns
 from loam.functions.stats import clean_double, corrected_kurtosis, corrected_skew, safe_corr
 from loam.operators.quantiles import approx_quantiles, exact_quantiles, long_values
+from loam.session import materialise
 
 # Whole-stage codegen is switched off for a plan node whose output has more than
 # spark.sql.codegen.maxFields (100) fields; a partial aggregate outputs all of its
@@ -120,7 +121,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
             ["count", "var", "q25", "q75"] if extended else [])
         return df.sparkSession.createDataFrame(
             [], "column_name string, " + ", ".join(f"{c} {'long' if c == 'count' else 'double'}" for c in cols))
-    mom = moments(df, columns).checkpoint(eager=True)
+    mom = materialise(moments(df, columns))
     probs = [0.25, 0.5, 0.75] if extended else [0.5]
     stats = mom.select("column_name", F.col("count").alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi"))
     q = approx_quantiles(df, columns, probs) if approx else exact_quantiles(df, columns, probs, stats=stats)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.stats import clean_double
-from loam.session import ensure_checkpoint_dir
+from loam.session import materialise
 
 BUCKETS = 4096
 DEFAULT_CAP = 200_000
@@ -75,15 +75,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     most ``direct_max`` values are sorted whole in one pass (a bounded array per
     key); larger keys go through histogram narrowing.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     group_cols = list(group_cols)
     keys = group_cols + ["column_name"]
     data = long if long is not None else long_values(df, columns, group_cols)
 
     if stats is None:
-        stats = (data.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("lo"),
-                                         F.max("value").alias("hi"))
-                 .checkpoint(eager=True))
+        stats = materialise(data.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("lo"),
+                                                    F.max("value").alias("hi")))
     small = not group_cols
 
     def side(t: DataFrame) -> DataFrame:
@@ -116,10 +114,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
 def kth_smallest(df: DataFrame, column: str, k: int, cap: int = DEFAULT_CAP) -> float | None:
     """Exact value of 0-based rank ``k`` among the non-missing values of ``column``."""
-    ensure_checkpoint_dir(df.sparkSession)
     data = long_values(df, [column])
-    stats = data.groupBy("column_name").agg(F.count("value").alias("n"), F.min("value").alias("lo"),
-                                            F.max("value").alias("hi")).checkpoint(eager=True)
+    stats = materialise(data.groupBy("column_name").agg(F.count("value").alias("n"), F.min("value").alias("lo"),
+                                                        F.max("value").alias("hi")))
     wanted = stats.where(F.lit(k) < F.col("n")).select("column_name", F.lit(k).cast("long").alias("k"),
                                                        "n", "lo", "hi")
     row = solve_ranks(data, wanted, ["column_name"], cap, small=True).first()
@@ -149,7 +146,7 @@ def solve_ranks(data: DataFrame, wanted: DataFrame, keys: list[str], cap: int =
             raise RuntimeError("a range still holds more values than may be gathered")
         # first pass: every target of a key still spans the key's [min, max], so
         # one histogram per key serves them all
-        targets = _narrow(data, targets, open_t, keys, side, per_key=(i == 0)).checkpoint(eager=True)
+        targets = materialise(_narrow(data, targets, open_t, keys, side, per_key=(i == 0)))
 
     # degenerate ranges are solved; the rest sort at most `cap` values per target
     single = targets.where(F.col("lo") == F.col("hi")).select("tid", F.col("lo").alias("value"))

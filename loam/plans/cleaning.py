@@ -29,7 +29,7 @@ from loam.operators import missing as MIS
 from loam.operators import outliers as OUT
 from loam.operators import semantic_types as ST
 from loam.operators import text_columns as TXT
-from loam.session import ensure_checkpoint_dir
+from loam.session import materialise, remove, stored
 
 LOG_SCHEMA = "seq int, step string, column_name string, action string, n_affected long, detail string"
 
@@ -75,16 +75,16 @@ class CleaningPlan:
     def fit(self, df: DataFrame) -> tuple["CleaningPlan", DataFrame]:
         """Fit on ``df``; returns the plan and the cleaned frame."""
         self.log = []
-        ensure_checkpoint_dir(df.sparkSession)
-        self._log("start", None, "Starting dataset cleaning process")
+        self._log("start", None, "cleaning begins")
         renamed, mapping, new_target = COL.standardize_column_names(df, self.target)
         self.names, self.final_target = mapping, new_target
-        self._log("names", None, "Standardized column names")
+        self._log("names", None, "column names made uniform")
 
         self.types, evidence = ST.column_types_with_evidence(renamed)
         for c, t in self.types.items():
             self._log("types", c, "detected type", None, t)
-        coerced = ST.format_numeric_columns(renamed, self.types)
+        # evaluated once: fills, outlier statistics and the trimmed rows all read this copy
+        coerced, copy = stored(ST.format_numeric_columns(renamed, self.types))
 
         self.fills = MIS.fit_imputation(coerced, self.types, evidence)
         for c, t, m, s, v in self.fills:
@@ -114,12 +114,13 @@ class CleaningPlan:
             self._log("outliers", None, "removed rows (zscore, sequential)", n_rows - n_before)
 
         texted = TXT.clean_text_columns(trimmed)
-        self._log("text", None, "Cleaned text columns")
-        deduped = texted.dropDuplicates().checkpoint(eager=True)
+        self._log("text", None, "text columns cleaned")
+        deduped = materialise(texted.dropDuplicates())
+        remove(df.sparkSession, copy)
         n_after = deduped.count()
         n_dupes = n_before - n_after
         if n_dupes:
-            self._log("duplicates", None, "Removed duplicate rows", n_dupes)
+            self._log("duplicates", None, "duplicate rows dropped", n_dupes)
 
         self.encoding = ENC.fit_encoding(deduped, self.types, "auto", self.encode_threshold,
                                          target=self.final_target, n_rows=n_after)
@@ -130,14 +131,18 @@ class CleaningPlan:
         cleaned = self._finish(deduped)
         for c, t in self.types.items():
             if t == "datetime":
-                self._log("dates", c, "Extracted datetime features")
+                self._log("dates", c, "date parts added")
         return self, cleaned
 
     # ------------------------------------------------------------------ transform
-    def transform(self, df: DataFrame, dedupe: bool = True) -> DataFrame:
-        """Apply the fitted steps lazily (no statistic is recomputed)."""
+    def transform(self, df: DataFrame, dedupe: bool = True, keep_rows: bool = False) -> DataFrame:
+        """Apply the fitted steps lazily (no statistic is recomputed).
+
+        ``keep_rows``: requests to be scored; outliers and repeated rows stay.
+        """
         out = self._prepare(df)
-        cond = self._trim_condition()
+        cond = None if keep_rows else self._trim_condition()
+        dedupe = dedupe and not keep_rows
         if cond is not None:
             out = out.where(cond)
         out = TXT.clean_text_columns(out)
