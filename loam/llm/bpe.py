@@ -211,7 +211,8 @@ class Codec:
             e = worker()
             return pa.array([e.decode(x.values.to_numpy(zero_copy_only=False).tolist()) for x in ids], pa.binary())
 
-        self._encode, self._decode = encode, decode
+        # otherwise Spark folds both into one step that encodes once more for decoding
+        self._encode, self._decode = encode.asNondeterministic(), decode
 
     def encode(self, text: Column) -> Column:
         """Token ids of a non-NULL text column."""
