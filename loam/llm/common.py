@@ -31,6 +31,24 @@ def saved(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path.toString())
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """Like ``saved``, but bucketed by ``key``: later joins on it leave these rows where they are.
+
+    The files are an unmanaged table in the checkpoint folder; its catalog entry is only
+    needed while the plan is resolved and goes at once.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    name, parts = f"llm_{tag}_{uuid.uuid4().hex}", shuffle_parts(spark)
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.repartition(parts, key).write.option("path", path.toString()).bucketBy(parts, key).sortBy(key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    jvm.System.gc()
+    return table
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table that ``saved`` wrote and that nothing reads any more."""
     spark = df.sparkSession

@@ -16,7 +16,7 @@ enough to decide all of them exactly:
    prefix is compared again, and the prefix shared with the neighbours falls out;
 3. an anchor that shares ``LENGTH`` or more bytes with a neighbour covers those bytes;
 4. strings that start before the first anchor of a repeat are left: their digests
-   (128 bits) are counted, for the few places where step 3 leaves the answer open.
+   (95 bits) are counted, for the few places where step 3 leaves the answer open.
 
 Scale: texts are joined by row number to what concerns them, never gathered.  Equal
 suffixes of one run are one entry, so a suffix that a third of all rows share is sent
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import dropped, saved, shuffle_parts, text_or_empty
+from loam.llm.common import bucketed, dropped, saved, shuffle_parts, text_or_empty
 
 LENGTH = 200
 SPREAD = 100
@@ -96,11 +96,11 @@ def _anchor_table(texts: DataFrame, length: int, spread: int) -> DataFrame:
                     digest = xxhash.xxh64_digest
                     piece = np.frombuffer(b"".join([digest(raw[p: p + known]) for p in place.tolist()]), ">u8")
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(place), row, np.int64)), pa.array(place), pa.array(first), pa.array(last),
+                        [pa.array(np.full(len(place), row, np.int64)), *[pa.array(x.astype(np.int32)) for x in (place, first, last)],
                          pa.array(piece.astype(np.uint64).view(np.int64))], ["row", "place", "first", "last", "piece"])
 
     return texts.select("row", "raw").mapInArrow(
-        find, "row long, place long, first long, last long, piece long")
+        find, "row long, place int, first int, last int, piece long")
 
 
 # --- merge sort of front-coded runs ---------------------------------------------------------------------------------
@@ -203,15 +203,12 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int,
 
 
 _BLOB = ("bucket int, run string, numbers binary, rest binary, twice binary, guards int, "
-         "row array<long>, place array<long>, first array<long>, last array<long>, piece array<long>, shared array<long>")
-_SORTED = "row long, place long, first long, last long, piece long, shared int"
+         "row array<long>, place array<int>, first array<int>, last array<int>, piece array<long>, shared array<int>")
+_SORTED = "row long, place int, first int, last int, piece long, shared int"
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 _FIELDS = ["row", "place", "first", "last", "piece"]
 
 
-def _list_column(values: list[list[int]]) -> pa.Array:
-    return pa.array(values, pa.list_(pa.int64()))
-
-
 def _runs(jobs: DataFrame, depth: int, splitters: list[bytes], run_size: int) -> DataFrame:
     """Front-coded pieces of sorted runs, one row for each run and range.
 
@@ -248,7 +245,7 @@ def _runs(jobs: DataFrame, depth: int, splitters: list[bytes], run_size: int) ->
             part = list(zip(*rows[k: k + 64]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part[0], pa.int32()), pa.array(part[1], pa.string()), *[pa.array(x, pa.binary()) for x in part[2:5]],
-                 pa.array(part[5], pa.int32()), *[_list_column(list(x)) for x in part[6:]]],
+                 pa.array(part[5], pa.int32()), *[pa.array(x, pa.list_(t)) for x, t in zip(part[6:], _KINDS)]],
                 ["bucket", "run", "numbers", "rest", "twice", "guards", *_FIELDS, "shared"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +299,7 @@ def _merge_ranges(blobs: DataFrame) -> DataFrame:
             for k, v in enumerate(before[0]):
                 out[k].append(v)
             out[5].append(before[1])
-        return pa.table([*[pa.array(x, pa.int64()) for x in out[:5]], pa.array(out[5], pa.int32())],
-                        names=[*_FIELDS, "shared"])
+        return pa.table([pa.array(x, t) for x, t in zip(out, _KINDS)], names=[*_FIELDS, "shared"])
 
     return blobs.groupBy("bucket").applyInArrow(merged, _SORTED)
 
@@ -343,7 +339,7 @@ def open_ranges(place: np.ndarray, first: np.ndarray, last: np.ndarray, shared:
         np.add.at(edges[row], a[real] - base, 1)
         np.add.at(edges[row], b[real] - base + 1, -1)
     able, settled = np.cumsum(edges, axis=1) > 0
-    still = np.append(np.flatnonzero(able & ~settled) + base, 1 << 62)
+    still = np.append(np.flatnonzero(able & ~settled) + base, (1 << 31) - 1)
     lo = still[np.searchsorted(still, first)]
     hi = np.append(-1, still)[np.searchsorted(still, last, side="right")]
     return lo, hi
@@ -359,20 +355,20 @@ def _open_ranges(found: DataFrame, length: int) -> DataFrame:
             for row, *lists in zip(b.column(0).to_pylist(), *[b.column(k) for k in range(1, 6)]):
                 place, first, last, piece, shared = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
                 lo, hi = open_ranges(place, first, last, shared, length)
+                ints = [pa.array(x.astype(np.int32)) for x in (place, first, last, shared, lo, hi)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(place), row, np.int64)), *map(pa.array, (place, first, last, piece, shared, lo, hi))],
+                    [pa.array(np.full(len(place), row, np.int64)), *ints[:3], pa.array(piece), *ints[3:]],
                     [*_FIELDS, "shared", "lo", "hi"])
 
-    return per_row.mapInArrow(mark, ", ".join(f"{c} long" for c in (*_FIELDS, "shared", "lo", "hi")))
+    return per_row.mapInArrow(mark, _SORTED + ", lo int, hi int")
 
 
-def _open_strings(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
+def _open_strings(texts: DataFrame, marked: DataFrame, length: int) -> DataFrame:
     """(row, place) of strings that start before an anchor and occur elsewhere.
 
-    found: row, place, first, last, piece, shared.  All strings that have their anchor at
+    marked: the result of ``_open_ranges``.  All strings that have their anchor at
     such an offset from an equal piece as an open one are counted by digest.
     """
-    marked = saved(_open_ranges(found, length), "marked")
     need = marked.where("lo <= hi").groupBy("piece").agg(
         F.min(F.col("place") - F.col("hi")).alias("least"), F.max(F.col("place") - F.col("lo")).alias("most"))
     counted = marked.join(need, "piece") \
@@ -390,7 +386,8 @@ def _open_strings(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.frombuffer(b"".join(h[0] for h in held), ">u8").reshape(-1, 2).astype(np.uint64)
+            whole = np.frombuffer(b"".join(h[0] for h in held), ">u8").reshape(-1, 2).astype(np.uint64)
+            keys = np.stack([whole[:, 0], whole[:, 1] >> np.uint64(33)], axis=1)
             rows = np.concatenate([np.full(len(h[2]), h[1], np.int64) for h in held])
             places, is_open = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
             order = np.lexsort((keys[:, 1], keys[:, 0]))
@@ -402,13 +399,13 @@ def _open_strings(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
             group = np.cumsum(new) - 1
             answered = is_open & ~single[group]
             h1 = np.concatenate([keys[start, 0].view(np.int64), rows[answered]])
-            h2 = np.concatenate([keys[start, 1].view(np.int64), places[answered]])
+            h2 = np.concatenate([keys[start, 1].astype(np.int32), places[answered].astype(np.int32)])
             asks = np.concatenate([single & is_open[start], np.ones(answered.sum(), bool)])
             return pa.RecordBatch.from_arrays(
                 [pa.array(h1), pa.array(h2), pa.array(np.concatenate([np.zeros(len(start), bool), np.ones(answered.sum(), bool)])),
-                 pa.array(np.concatenate([np.minimum(count, 2), np.full(answered.sum(), 2)])),
+                 pa.array(np.concatenate([np.minimum(count, 2), np.full(answered.sum(), 2)]).astype(np.int32)),
                  pa.array(np.concatenate([rows[start], rows[answered]]), mask=~asks),
-                 pa.array(np.concatenate([places[start], places[answered]]), mask=~asks)],
+                 pa.array(np.concatenate([places[start], places[answered]]).astype(np.int32), mask=~asks)],
                 ["h1", "h2", "known", "n", "row", "place"])
 
         for b in batches:
@@ -426,7 +423,7 @@ def _open_strings(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush()
 
-    rows = jobs.mapInArrow(digests, "h1 long, h2 long, known boolean, n long, row long, place long")
+    rows = jobs.mapInArrow(digests, "h1 long, h2 int, known boolean, n int, row long, place int")
     # a digest meets at most one entry of every flush here, however often it occurs
     total = rows.groupBy("h1", "h2", "known").agg(
         F.sum("n").alias("n"), F.collect_list(F.when(F.col("row").isNotNull(), F.struct("row", "place"))).alias("m"))
@@ -446,10 +443,15 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, spread: int = SPREAD,
     n = chosen.count()
     found = saved(sorted_prefixes(texts, chosen, length + spread, n, run_size, range_size), "prefixes")
     dropped(chosen)
-    starts = _open_strings(texts, found, length)
-    spans = found.where(F.col("shared") >= length).select("row", F.col("place").alias("a"), (F.col("place") + F.col("shared")).alias("b")) \
+    marked = saved(_open_ranges(found, length), "marked")
+    dropped(found)
+    starts = saved(_open_strings(texts, marked, length), "starts")
+    spans = marked.where(F.col("shared") >= length).select("row", F.col("place").alias("a"), (F.col("place") + F.col("shared")).alias("b")) \
         .unionByName(starts.select("row", F.col("place").alias("a"), (F.col("place") + length).alias("b")))
-    return saved(spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    spans = saved(spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    dropped(marked)
+    dropped(starts)
+    return spans
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -471,8 +473,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     different places, so their strings count as repeated.  Strings never cross documents.
     Memory: a worker holds one text, a run or one range's entries at a time.
     """
-    texts = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
-                              text_or_empty(text).cast("binary").alias("raw")), "texts")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
+                        text_or_empty(text).cast("binary").alias("raw"))
+    texts = bucketed(texts, "row", "texts")  # three joins with what concerns each text follow
     spans = repeated_spans(texts, length, spread, run_size, range_size)
 
     def cut(raws: pa.Array, lists: pa.Array) -> pa.Array:
