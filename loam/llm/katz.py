@@ -8,14 +8,17 @@ what the unigram discounts leave.  A token's probability is looked up at the hig
 and otherwise taken from the order below times its history's weight, and so on down.
 
 Words are 64-bit hashes; an n-gram is the pair of its first n - 1 and its last n - 1 words
-(``hist`` and ``tail``), hashed by Spark's xxhash64 on both sides.  The model is one table
-partitioned by ``tag`` (2n: log10 probabilities of order n, 2n + 1: weights of histories).
-
-Scale: a task counts n-grams of a few megabytes of text at a time, so the shuffle gets each
-once per such piece.  For scoring, texts are dealt into batches of about ``BATCH`` tokens;
-each batch asks for its distinct n-grams in one join with the model, so a frequent n-gram
-meets at most one row per batch, and only answers found come back.  Nothing but the few
-counts of counts reaches the driver.
+(``hist`` and ``tail``), hashed by Spark's xxhash64 on both sides.  The model is a table
+partitioned by ``level`` n: of every stored n-gram its log10 probability, its count and its
+weight as a history.
+
+Scale: a task counts n-grams of a few megabytes of text at a time and sends each once per
+such piece, as sorted arrays cut by hash range (``bucket``).  For scoring, texts are dealt
+into batches of about ``BATCH`` tokens; a batch asks every bucket of the model for its
+distinct n-grams, again in sorted arrays, and gets back what is known of them.  So a
+frequent n-gram costs one entry per piece or batch, however hot it is, and no task holds
+more than one piece, batch or bucket.  Nothing but the few counts of counts reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loam.llm.common import saved, text_or_empty
+from loam.llm.common import saved, shuffle_parts, text_or_empty
 
 ORDER = 2
 GOOD_TURING = 5
@@ -134,8 +138,29 @@ def sequence(texts: list[bytes], order: int) -> Sequence:
     return Sequence(hist, tail, key, np.repeat(np.arange(len(texts)), counts + 1))
 
 
-def _count(texts: DataFrame, order: int) -> DataFrame:
-    """n, hist, tail, c: n-gram counts of pieces of the texts (raw)."""
+# --- arrays in a row -----------------------------------------------------------------------------------------------
+
+def pack(values: np.ndarray, ordered: bool = False) -> bytes:
+    """Bytes of an array; of ordered integers the differences are kept."""
+    if ordered and len(values):
+        values = np.concatenate([values[:1], np.diff(values)])
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T) if len(values) else values
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, kind: type, ordered: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel() if len(raw) else np.empty(0, kind)
+    return np.cumsum(values, dtype=kind) if ordered else values
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _count(texts: DataFrame, order: int, buckets: int) -> DataFrame:
+    """n, hist, tail, key, c: n-gram counts of the texts (raw); from order 2 on only of 2 and more."""
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         held, size = [], 0
         for b in batches:
@@ -153,13 +178,39 @@ def _count(texts: DataFrame, order: int) -> DataFrame:
         for held in pieces(batches):
             s = sequence(held, order)
             for n in range(1, order + 1):
-                _, first, c = np.unique(s.key[n], return_index=True, return_counts=True)
+                keys, first, c = np.unique(s.key[n], return_index=True, return_counts=True)
+                own = bucket_of(keys, buckets)
+                hist, tail = s.hist[n][first], s.tail[n][first]
+                by = np.lexsort((tail, hist, own))
+                edges = np.searchsorted(own[by], np.arange(buckets + 1))
+                rows = [(int(k), n, pack(hist[by[a:b]], ordered=True), pack(tail[by[a:b]]), pack(c[by[a:b]].astype(np.uint32)))
+                        for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(c), n, np.int32)), pa.array(s.hist[n][first].view(np.int64)),
-                     pa.array(s.tail[n][first].view(np.int64)), pa.array(c)], ["n", "hist", "tail", "c"])
-
-    return texts.select("raw").mapInArrow(count, "n int, hist long, tail long, c long") \
-        .groupBy("n", "hist", "tail").agg(F.sum("c").alias("c"))
+                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
+                    ["bucket", "n", "hist", "tail", "c"])
+
+    def add(table: pa.Table) -> pa.Table:
+        out = []
+        rows = table.to_pylist()
+        for n in range(1, order + 1):
+            own = [r for r in rows if r["n"] == n]
+            if not own:
+                continue
+            hist = np.concatenate([unpack(r["hist"], np.uint64, ordered=True) for r in own])
+            tail = np.concatenate([unpack(r["tail"], np.uint64) for r in own])
+            c = np.concatenate([unpack(r["c"], np.uint32) for r in own]).astype(np.int64)
+            keys = tail if n == 1 else pair_key(hist, tail)
+            by = np.argsort(keys)
+            first = np.flatnonzero(np.append(True, keys[by[1:]] != keys[by[:-1]]))
+            c = np.add.reduceat(c[by], first)
+            by = by[first]
+            if n > 1:
+                by, c = by[c >= 2], c[c >= 2]
+            out.append((np.full(len(by), n, np.int32), *[x[by].view(np.int64) for x in (hist, tail, keys)], c))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=["n", "hist", "tail", "key", "c"])
+
+    return texts.select("raw").mapInArrow(count, "bucket int, n int, hist binary, tail binary, c binary") \
+        .groupBy("bucket").applyInArrow(add, "n int, hist long, tail long, key long, c long")
 
 
 def discounts(of_count: dict[int, int], top: int = GOOD_TURING) -> dict[int, float]:
@@ -179,8 +230,9 @@ def discounts(of_count: dict[int, int], top: int = GOOD_TURING) -> dict[int, flo
 
 @dataclass
 class Model:
-    """values: tag, key, value (log10), c; and the totals of the training tokens."""
-    values: DataFrame
+    """grams: level, bucket, key, value (log10), c, weight; and the totals of the training tokens."""
+    grams: DataFrame
+    buckets: int
     order: int
     tokens: int
     types: int
@@ -190,7 +242,8 @@ class Model:
 def fit(train: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     """Count, discount and normalise.  NULL text is empty and still has its end; repeated rows count again."""
     raw = train.select(text_or_empty(text).cast("binary").alias("raw"))
-    counts = saved(_count(raw, order).where("n = 1 or c >= 2"), "counts", partition_by="n")
+    buckets = 2 * shuffle_parts(train.sparkSession)
+    counts = saved(_count(raw, order, buckets), "counts", partition_by="n")
     of = counts.groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("types")).collect()
     total, types = {r["n"]: r["total"] for r in of}, {r["n"]: r["types"] for r in of}
     tokens = total.get(1, 0)
@@ -213,14 +266,13 @@ def fit(train: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     # no estimate left anything: one token in tokens + 1 is unknown
     scale = 1.0 if 1 - mass >= 1 / (tokens + 1) else (1 - 1 / (tokens + 1)) / mass
     unknown = float(np.log10(1 - scale * mass)) if tokens else 0.0
-    lower = ones.select(F.col("tail").alias("key"), F.log10(F.col("kept") * F.lit(scale) / F.lit(max(tokens, 1))).alias("value"), "c")
-    values = lower.select(F.lit(2).alias("tag"), "key", "value", "c")
-    pad = np.full(1, BEGIN)
+    lower = ones.select("key", F.log10(F.col("kept") * F.lit(scale) / F.lit(max(tokens, 1))).alias("value"), "c")
+    pad, levels = np.full(1, BEGIN), []
     for n in range(2, order + 1):
         # how often each history was followed: its own count, and the number of texts for their beginning
         start = raw.sparkSession.createDataFrame([(int(pad.view(np.int64)[0]), docs)], "hist long, followed long")
         followed = lower.select(F.col("key").alias("hist"), F.col("c").alias("followed")).unionByName(start)
-        grams = counts.where(F.col("n") == n).select("hist", "tail", "c", kept(n).alias("kept"))
+        grams = counts.where(F.col("n") == n).select("hist", "tail", "key", "c", kept(n).alias("kept"))
         with_lower = grams.join(lower.select(F.col("key").alias("tail"), F.col("value").alias("below")), "tail")
         weights = with_lower.groupBy("hist").agg(F.sum("kept").alias("kept"), F.sum(F.pow(F.lit(10.0), "below")).alias("below"))
         # a history whose discounts leave nothing is taken to be followed once more
@@ -228,22 +280,29 @@ def fit(train: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             "of", F.when(F.col("kept") >= F.col("followed") * (1 - 1e-12), F.col("followed") + 1).otherwise(F.col("followed")))
         weights = saved(weights.select("hist", "of", F.log10(
             (1 - F.col("kept") / F.col("of")) / F.greatest(1 - F.col("below"), F.lit(1e-15))).alias("weight")), f"weights{n}")
-        lower = saved(grams.join(weights, "hist").select(
-            F.xxhash64("hist", "tail").alias("key"), F.log10(F.col("kept") / F.col("of")).alias("value"), "c"), f"order{n}")
-        values = values.unionByName(lower.select(F.lit(2 * n).alias("tag"), "key", "value", "c")) \
-            .unionByName(weights.select(F.lit(2 * n + 1).alias("tag"), F.col("hist").alias("key"),
-                                        F.col("weight").alias("value"), F.lit(0).cast("long").alias("c")))
+        levels.append(lower.join(weights.select(F.col("hist").alias("key"), "weight"), "key", "full")
+                      .withColumn("level", F.lit(n - 1)))
+        lower = grams.join(weights, "hist").select("key", F.log10(F.col("kept") / F.col("of")).alias("value"), "c")
         pad = pair_key(pad, pad)
-    return Model(saved(values, "model", partition_by="tag"), order, tokens, types.get(1, 0), unknown)
-
-
-def _found(keys: np.ndarray, known: np.ndarray, values: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    """Values of keys among the sorted known ones, and which were found."""
-    if not len(known):
-        return np.full(len(keys), missing), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    hit = known[at] == keys
-    return np.where(hit, values[at], missing), hit
+    levels.append(lower.withColumn("weight", F.lit(None).cast("double")).withColumn("level", F.lit(order)))
+    table = levels[0]
+    for x in levels[1:]:
+        table = table.unionByName(x)
+    table = table.select("level", F.pmod(F.shiftrightunsigned("key", 32), F.lit(buckets)).cast("int").alias("bucket"),
+                         "key", "value", "c", "weight")
+    return Model(saved(table, "model", partition_by="level"), buckets, order, tokens, types.get(1, 0), unknown)
+
+
+def asked(s: Sequence, level: int, buckets: int, inverse: bool = False):
+    """Distinct keys that a batch needs of a level, sorted; their order by bucket; places of the tokens' keys."""
+    keys = s.key[level]
+    n = len(keys)
+    if level + 1 in s.hist:  # histories of the next level: keys of this one, and those before a text
+        keys = np.concatenate([keys, s.hist[level + 1]])
+    found = np.unique(keys, return_inverse=inverse)
+    keys, where = found if inverse else (found, None)
+    by = np.argsort(bucket_of(keys, buckets), kind="stable")
+    return keys, by, (where[:n], where[n:]) if inverse else None
 
 
 def score(model: Model, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -251,49 +310,68 @@ def score(model: Model, docs: DataFrame, text: str = "text", key: str = "doc_id"
 
     An empty or NULL text is its end alone.  Equal rows are scored alike.
     """
-    order, tokens, types, unknown = model.order, model.tokens, model.types, model.unknown
+    order, tokens, types, unknown, buckets = model.order, model.tokens, model.types, model.unknown, model.buckets
     batches = max(1, -(-tokens // BATCH))
     dealt = docs.select(F.col(key).alias("k"), text_or_empty(text).cast("binary").alias("raw")) \
         .withColumn("batch", F.pmod(F.xxhash64("k", "raw"), F.lit(batches)).cast("int"))
-    tags = [*[2 * n for n in range(1, order + 1)], *[2 * n + 1 for n in range(2, order + 1)]]
-
-    def keys_of(s: Sequence, tag: int) -> np.ndarray:
-        return s.hist[tag // 2] if tag % 2 else s.key[tag // 2]
 
     def ask(table: pa.Table) -> pa.Table:
         s = sequence(table["raw"].to_pylist(), order)
-        wanted = [np.unique(keys_of(s, t)) for t in tags]
-        n = [len(w) for w in wanted]
-        return pa.table({"batch": pa.array(np.full(sum(n), table["batch"][0].as_py(), np.int32)),
-                         "tag": pa.array(np.repeat(np.array(tags, np.int32), n)),
-                         "key": pa.array(np.concatenate(wanted).view(np.int64))})
-
-    asked = dealt.groupBy("batch").applyInArrow(ask, "batch int, tag int, key long")
-    answers = saved(asked.join(model.values, ["tag", "key"]).select("batch", "tag", "key", "value", "c"), "answers")
-
-    def answer(table: pa.Table, known: pa.Table) -> pa.Table:
-        if not table.num_rows:  # no text has this number any more
-            return out_schema.empty_table()
+        batch, rows = table["batch"][0].as_py(), []
+        for level in range(1, order + 1):
+            keys, by, _ = asked(s, level, buckets)
+            keys = keys[by]
+            own = bucket_of(keys, buckets)
+            edges = np.searchsorted(own, np.arange(buckets + 1))
+            rows += [(k, batch, level, pack(keys[a:b], ordered=True)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
+                        names=["bucket", "batch", "level", "keys"])
+
+    def look_up(requests: pa.Table, grams: pa.Table) -> pa.Table:
+        """Per request: which keys are known (bits), and value, count and weight of those."""
+        level_of, key_of = grams["level"].to_numpy(), grams["key"].to_numpy().view(np.uint64)
+        known = {}
+        for level in range(1, order + 1):
+            own = np.flatnonzero(level_of == level)
+            own = own[np.argsort(key_of[own])]
+            known[level] = [key_of[own], *[np.nan_to_num(grams[c].to_numpy()[own].astype(float), nan=missing)
+                                           for c, missing in (("value", 1.0), ("c", 0.0), ("weight", 0.0))]]
+        rows = []
+        for r in requests.to_pylist():
+            keys = unpack(r["keys"], np.uint64, ordered=True)
+            have, *columns = known[r["level"]]
+            at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
+            hit = have[at] == keys if len(have) else np.zeros(len(keys), bool)
+            rows.append((r["batch"], r["level"], r["bucket"], pack(hit), *[pack(c[at[hit]]) for c in columns]))
+        kinds = (*[pa.int32()] * 3, *[pa.binary()] * 4)
+        names = ["batch", "level", "bucket", "hit", "value", "c", "weight"]
+        return pa.table([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 7, kinds)], names=names)
+
+    requests = dealt.groupBy("batch").applyInArrow(ask, "bucket int, batch int, level int, keys binary")
+    answers = saved(requests.groupBy("bucket").cogroup(model.grams.groupBy("bucket")).applyInArrow(
+        look_up, "batch int, level int, bucket int, hit binary, value binary, c binary, weight binary"), "answers")
+
+    def answer(table: pa.Table, answers: pa.Table) -> pa.Table:
         s = sequence(table["raw"].to_pylist(), order)
-        tag_of = known["tag"].to_numpy()
-        key_of = known["key"].to_numpy().view(np.uint64)
-        value_of, c_of = known["value"].to_numpy(), known["c"].to_numpy()
-
-        def part(tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            mine = np.flatnonzero(tag_of == tag)
-            mine = mine[np.argsort(key_of[mine])]
-            return key_of[mine], value_of[mine], c_of[mine]
-
-        ks, vs, cs = part(2)
-        log, _ = _found(s.key[1], ks, vs, unknown)
-        c, hit = _found(s.key[1], ks, cs.astype(np.float64), 0.0)
-        base = np.log10((c + 1) / (tokens + types + 1))
-        for n in range(2, order + 1):
-            ks, vs, _ = part(2 * n)
-            hs, ws, _ = part(2 * n + 1)
-            value, there = _found(s.key[n], ks, vs, 0.0)
-            weight, _ = _found(s.hist[n], hs, ws, 0.0)
-            log = np.where(there, value, weight + log)
+        replies = sorted(answers.to_pylist(), key=lambda r: (r["level"], r["bucket"]))
+        log = base = hit = before = None
+        for level in range(1, order + 1):
+            keys, by, (where, hist) = asked(s, level, buckets, inverse=True)
+            own = [r for r in replies if r["level"] == level]
+            there = np.concatenate([unpack(r["hit"], bool) for r in own])
+            columns = []
+            for name, missing in (("value", 1.0), ("c", 0.0), ("weight", 0.0)):
+                whole = np.full(len(keys), missing)
+                whole[by[there]] = np.concatenate([unpack(r[name], np.float64) for r in own])
+                columns.append(whole)
+            value, c, weight = columns
+            mine = value[where]  # a value over 0 is none
+            if level == 1:
+                log = np.where(mine <= 0, mine, unknown)
+                base, hit = np.log10((c[where] + 1) / (tokens + types + 1)), c[where] > 0
+            else:
+                log = np.where(mine <= 0, mine, before + log)
+            before = weight[hist] if len(hist) else None
         m = table.num_rows
         return pa.table([table["k"].combine_chunks(), pa.array(np.bincount(s.doc, minlength=m)),
                          pa.array(np.bincount(s.doc, hit, m).astype(np.int64)),
