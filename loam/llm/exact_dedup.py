@@ -110,9 +110,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", block_
     table gives an empty result; other columns are ignored.
     """
     ids = saved(identities(docs, text, key, block_bytes, hash_fn), "identities")
-    groups = ids.groupBy("n_blocks", "name").agg(
+    # written by itself, so that the join below shuffles the documents anew and a hot identity can be split
+    groups = saved(ids.groupBy("n_blocks", "name").agg(
         F.max(F.struct(F.col(key).alias("k"), F.col("row").alias("r"))).alias("top"),
-        F.count("*").alias("group_size"))
+        F.count("*").alias("group_size")), "groups")
     return ids.join(groups, ["n_blocks", "name"]).select(
         key, F.col("top.k").alias("keep_id"), "group_size", (F.col("row") == F.col("top.r")).alias("kept"),
         "text_sha256", "row")
