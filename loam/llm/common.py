@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,10 +54,9 @@ def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Delete a table that ``saved`` wrote and that nothing reads any more."""
     spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for name in {f[: f.index("/", f.index("/llm-") + 1)] for f in df.inputFiles() if "/llm-" in f}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        if path.getName().startswith("llm-"):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(text: str = "text") -> Column:
@@ -136,3 +137,19 @@ def keep_rows(docs: DataFrame, stays: DataFrame, text: str = "text", key: str =
     if right.where("n_ > 1").isEmpty():
         return once
     return once.unionByName(joined.where("n_ > 1").dropDuplicates(["k_", "s_"]).select(*docs.columns))
+
+
+def pack(values: np.ndarray, ordered: bool = False) -> bytes:
+    """Compressed bytes of an array, plane by plane; of ordered integers the differences are kept."""
+    if ordered and len(values):
+        values = np.concatenate([values[:1], np.diff(values)])
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T) if len(values) else values
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, kind: type, ordered: bool = False) -> np.ndarray:
+    """The array that ``pack`` was given."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel() if len(raw) else np.empty(0, kind)
+    return np.cumsum(values, dtype=kind) if ordered else values

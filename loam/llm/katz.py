@@ -9,8 +9,8 @@ and otherwise taken from the order below times its history's weight, and so on d
 
 Words are 64-bit hashes; an n-gram is the pair of its first n - 1 and its last n - 1 words
 (``hist`` and ``tail``), hashed by Spark's xxhash64 on both sides.  The model is a table
-partitioned by ``level`` n: of every stored n-gram its log10 probability, its count and its
-weight as a history.
+bucketed by hash range: of every stored n-gram its order (``level``), log10 probability,
+count and weight as a history.
 
 Scale: a task counts n-grams of a few megabytes of text at a time and sends each once per
 such piece, as sorted arrays cut by hash range (``bucket``).  For scoring, texts are dealt
@@ -29,12 +29,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loam.llm.common import saved, shuffle_parts, text_or_empty
+from loam.llm.common import bucketed, dropped, pack, saved, shuffle_parts, text_or_empty, unpack
 
 ORDER = 2
 GOOD_TURING = 5
@@ -138,29 +137,12 @@ def sequence(texts: list[bytes], order: int) -> Sequence:
     return Sequence(hist, tail, key, np.repeat(np.arange(len(texts)), counts + 1))
 
 
-# --- arrays in a row -----------------------------------------------------------------------------------------------
-
-def pack(values: np.ndarray, ordered: bool = False) -> bytes:
-    """Bytes of an array; of ordered integers the differences are kept."""
-    if ordered and len(values):
-        values = np.concatenate([values[:1], np.diff(values)])
-    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T) if len(values) else values
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(data: bytes, kind: type, ordered: bool = False) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    width = np.dtype(kind).itemsize
-    values = np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel() if len(raw) else np.empty(0, kind)
-    return np.cumsum(values, dtype=kind) if ordered else values
-
-
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
 def _count(texts: DataFrame, order: int, buckets: int) -> DataFrame:
-    """n, hist, tail, key, c: n-gram counts of the texts (raw); from order 2 on only of 2 and more."""
+    """n, hist, tail, c: n-gram counts of the texts (raw); from order 2 on only of 2 and more."""
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         held, size = [], 0
         for b in batches:
@@ -206,11 +188,11 @@ def _count(texts: DataFrame, order: int, buckets: int) -> DataFrame:
             by = by[first]
             if n > 1:
                 by, c = by[c >= 2], c[c >= 2]
-            out.append((np.full(len(by), n, np.int32), *[x[by].view(np.int64) for x in (hist, tail, keys)], c))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=["n", "hist", "tail", "key", "c"])
+            out.append((np.full(len(by), n, np.int32), *[x[by].view(np.int64) for x in (hist, tail)], c))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=["n", "hist", "tail", "c"])
 
     return texts.select("raw").mapInArrow(count, "bucket int, n int, hist binary, tail binary, c binary") \
-        .groupBy("bucket").applyInArrow(add, "n int, hist long, tail long, key long, c long")
+        .groupBy("bucket").applyInArrow(add, "n int, hist long, tail long, c long")
 
 
 def discounts(of_count: dict[int, int], top: int = GOOD_TURING) -> dict[int, float]:
@@ -266,13 +248,14 @@ def fit(train: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     # no estimate left anything: one token in tokens + 1 is unknown
     scale = 1.0 if 1 - mass >= 1 / (tokens + 1) else (1 - 1 / (tokens + 1)) / mass
     unknown = float(np.log10(1 - scale * mass)) if tokens else 0.0
-    lower = ones.select("key", F.log10(F.col("kept") * F.lit(scale) / F.lit(max(tokens, 1))).alias("value"), "c")
-    pad, levels = np.full(1, BEGIN), []
+    lower = ones.select(F.col("tail").alias("key"), F.log10(F.col("kept") * F.lit(scale) / F.lit(max(tokens, 1))).alias("value"), "c")
+    pad, levels, temporary = np.full(1, BEGIN), [], [counts]
     for n in range(2, order + 1):
         # how often each history was followed: its own count, and the number of texts for their beginning
         start = raw.sparkSession.createDataFrame([(int(pad.view(np.int64)[0]), docs)], "hist long, followed long")
         followed = lower.select(F.col("key").alias("hist"), F.col("c").alias("followed")).unionByName(start)
-        grams = counts.where(F.col("n") == n).select("hist", "tail", "key", "c", kept(n).alias("kept"))
+        grams = counts.where(F.col("n") == n).select(
+            "hist", "tail", F.xxhash64("hist", "tail").alias("key"), "c", kept(n).alias("kept"))
         with_lower = grams.join(lower.select(F.col("key").alias("tail"), F.col("value").alias("below")), "tail")
         weights = with_lower.groupBy("hist").agg(F.sum("kept").alias("kept"), F.sum(F.pow(F.lit(10.0), "below")).alias("below"))
         # a history whose discounts leave nothing is taken to be followed once more
@@ -280,6 +263,7 @@ def fit(train: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             "of", F.when(F.col("kept") >= F.col("followed") * (1 - 1e-12), F.col("followed") + 1).otherwise(F.col("followed")))
         weights = saved(weights.select("hist", "of", F.log10(
             (1 - F.col("kept") / F.col("of")) / F.greatest(1 - F.col("below"), F.lit(1e-15))).alias("weight")), f"weights{n}")
+        temporary.append(weights)
         levels.append(lower.join(weights.select(F.col("hist").alias("key"), "weight"), "key", "full")
                       .withColumn("level", F.lit(n - 1)))
         lower = grams.join(weights, "hist").select("key", F.log10(F.col("kept") / F.col("of")).alias("value"), "c")
@@ -290,7 +274,11 @@ def fit(train: DataFrame, text: str = "text", order: int = ORDER) -> Model:
         table = table.unionByName(x)
     table = table.select("level", F.pmod(F.shiftrightunsigned("key", 32), F.lit(buckets)).cast("int").alias("bucket"),
                          "key", "value", "c", "weight")
-    return Model(saved(table, "model", partition_by="level"), buckets, order, tokens, types.get(1, 0), unknown)
+    # bucketed, so that requests come to the model and not the model to them
+    grams = bucketed(table, "bucket", "model")
+    for used in temporary:
+        dropped(used)
+    return Model(grams, buckets, order, tokens, types.get(1, 0), unknown)
 
 
 def asked(s: Sequence, level: int, buckets: int, inverse: bool = False):
