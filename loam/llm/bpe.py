@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from loam.llm.common import text_or_empty
 
 #: Entries of the memo tables of a worker; a full table is emptied and filled anew.
-MEMO_PIECES = 600_000
-MEMO_PAIRS = 800_000
+MEMO_PIECES = 450_000
+MEMO_PAIRS = 600_000
 
 _WORKER: dict[bytes, "Encoder"] = {}
+_TOKENS: dict[bytes, dict[int, bytes]] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -89,7 +90,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encoder and decoder of one worker."""
+    """Encoder of one worker."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.v = vocabulary
@@ -97,7 +98,6 @@ class Encoder:
             raise ValueError("pairs of tokens are packed into 32 bits")
         self.pieces = regex.compile(pattern).findall
         self.whole = {t: [i] for t, i in zip(vocabulary.tokens, vocabulary.ids)}
-        self.by_id = dict(zip(vocabulary.ids, vocabulary.tokens))
         self.length = [len(t) for t in vocabulary.tokens]
         self.automaton = ahocorasick.Automaton()
         known = {t: i for i, t in enumerate(vocabulary.tokens) if vocabulary.reachable[i]}
@@ -177,8 +177,10 @@ class Encoder:
             extend(memo.get(p) or piece(p))
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.by_id.__getitem__, ids))
+
+def decode(ids: list[int], tokens: dict[int, bytes]) -> bytes:
+    """Bytes of token ids."""
+    return b"".join(map(tokens.__getitem__, ids))
 
 
 class Codec:
@@ -207,12 +209,14 @@ class Codec:
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
         @F.arrow_udf("binary")
-        def decode(ids: pa.Array) -> pa.Array:
-            e = worker()
-            return pa.array([e.decode(x.values.to_numpy(zero_copy_only=False).tolist()) for x in ids], pa.binary())
+        def decode_ids(ids: pa.Array) -> pa.Array:
+            if name not in _TOKENS:  # a worker that only decodes needs no automaton
+                _TOKENS[name] = dict(zip(shared.value[0].ids, shared.value[0].tokens))
+            tokens = _TOKENS[name]
+            return pa.array([decode(x.values.to_numpy(zero_copy_only=False).tolist(), tokens) for x in ids], pa.binary())
 
         # otherwise Spark folds both into one step that encodes once more for decoding
-        self._encode, self._decode = encode.asNondeterministic(), decode
+        self._encode, self._decode = encode.asNondeterministic(), decode_ids
 
     def encode(self, text: Column) -> Column:
         """Token ids of a non-NULL text column."""
