@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import bucketed, dropped, saved, shuffle_parts, text_or_empty
+from loam.llm.common import bucketed, dropped, pack, saved, shuffle_parts, text_or_empty, unpack
 
 LENGTH = 200
 SPREAD = 100
@@ -379,55 +379,83 @@ def _open_strings(texts: DataFrame, marked: DataFrame, length: int) -> DataFrame
     jobs = texts.select("row", "raw").join(jobs, "row").select(
         "row", "raw", *[F.col(f"m.{c}").alias(c) for c in ("from", "to", "lo", "hi")])
 
+    buckets = 2 * shuffle_parts(texts.sparkSession)
+    kinds = [pa.int32(), *[pa.binary()] * 6]
+    names = ["bucket", "h1", "h2", "n", "asks", "row", "place"]
+
+    def flush(held: list[tuple[bytes, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Each digest once, by bucket, with its count (2: several); open places with a single digest go
+        along, and those that this flush answers itself come without digests."""
+        whole = np.frombuffer(b"".join(h[0] for h in held), ">u8").reshape(-1, 2).astype(np.uint64)
+        h1, h2 = whole[:, 0], (whole[:, 1] >> np.uint64(33)).astype(np.uint32)
+        rows = np.concatenate([np.full(len(h[2]), h[1], np.int64) for h in held])
+        places, is_open = np.concatenate([h[2] for h in held]).astype(np.int32), np.concatenate([h[3] for h in held])
+        own = (h1 % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((h2, h1, own))
+        h1, h2, rows, places, is_open, own = (x[order] for x in (h1, h2, rows, places, is_open, own))
+        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+        start = np.flatnonzero(new)
+        count = np.diff(np.append(start, len(h1)))
+        answered = is_open & (count > 1)[np.cumsum(new) - 1]
+        asks = is_open[start] & (count == 1)
+        edges = np.searchsorted(own[start], np.arange(buckets + 1))
+        out = []
+        for k, (a, z) in enumerate(zip(edges, edges[1:])):
+            if a < z:
+                at = start[a:z]
+                ask = at[asks[a:z]]
+                out.append((k, pack(h1[at], ordered=True), pack(h2[at]), pack(np.minimum(count[a:z], 2).astype(np.uint8)),
+                            pack(asks[a:z]), pack(rows[ask]), pack(places[ask])))
+        done = np.flatnonzero(answered)
+        for at in range(0, len(done), 1 << 16):  # dealt over the buckets
+            some = done[at: at + (1 << 16)]
+            out.append((int(own[some[0]]), None, None, None, None, pack(rows[some]), pack(places[some])))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Digests with a count (2: several), each once per flush; open places that a flush answers itself
-        come with a digest of their own."""
         held: list[tuple[bytes, int, np.ndarray, np.ndarray]] = []
         size = 0
-
-        def flush() -> pa.RecordBatch:
-            whole = np.frombuffer(b"".join(h[0] for h in held), ">u8").reshape(-1, 2).astype(np.uint64)
-            keys = np.stack([whole[:, 0], whole[:, 1] >> np.uint64(33)], axis=1)
-            rows = np.concatenate([np.full(len(h[2]), h[1], np.int64) for h in held])
-            places, is_open = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-            order = np.lexsort((keys[:, 1], keys[:, 0]))
-            keys, rows, places, is_open = keys[order], rows[order], places[order], is_open[order]
-            new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
-            start = np.flatnonzero(new)
-            count = np.diff(np.append(start, len(keys)))
-            single = count == 1
-            group = np.cumsum(new) - 1
-            answered = is_open & ~single[group]
-            h1 = np.concatenate([keys[start, 0].view(np.int64), rows[answered]])
-            h2 = np.concatenate([keys[start, 1].astype(np.int32), places[answered].astype(np.int32)])
-            asks = np.concatenate([single & is_open[start], np.ones(answered.sum(), bool)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(h1), pa.array(h2), pa.array(np.concatenate([np.zeros(len(start), bool), np.ones(answered.sum(), bool)])),
-                 pa.array(np.concatenate([np.minimum(count, 2), np.full(answered.sum(), 2)]).astype(np.int32)),
-                 pa.array(np.concatenate([rows[start], rows[answered]]), mask=~asks),
-                 pa.array(np.concatenate([places[start], places[answered]]).astype(np.int32), mask=~asks)],
-                ["h1", "h2", "known", "n", "row", "place"])
-
+        digest = xxhash.xxh3_128_digest
         for b in batches:
             for row, raw, *lists in zip(b.column(0).to_pylist(), b.column(1), *[b.column(k) for k in range(2, 6)]):
                 raw = raw.as_py()
-                digest = xxhash.xxh3_128_digest
                 for a, z, lo, hi in zip(*[x.values.to_pylist() for x in lists]):
                     places = np.arange(a, z + 1)
                     held.append((b"".join([digest(raw[p: p + length]) for p in range(a, z + 1)]), row, places,
                                  (places >= lo) & (places <= hi)))
                     size += len(places)
                     if size >= 1 << 20:
-                        yield flush()
+                        yield flush(held)
                         held, size = [], 0
         if held:
-            yield flush()
-
-    rows = jobs.mapInArrow(digests, "h1 long, h2 int, known boolean, n int, row long, place int")
+            yield flush(held)
+
+    def resolve(table: pa.Table) -> pa.Table:
+        """Open places whose digest several flushes hold, and those answered before."""
+        given = table.to_pylist()
+        done = [r for r in given if r["h1"] is None]
+        given = [r for r in given if r["h1"] is not None]
+        rows = [unpack(r["row"], np.int64) for r in done]
+        places = [unpack(r["place"], np.int32) for r in done]
+        if given:
+            h1 = np.concatenate([unpack(r["h1"], np.uint64, ordered=True) for r in given])
+            h2 = np.concatenate([unpack(r["h2"], np.uint32) for r in given])
+            n = np.concatenate([unpack(r["n"], np.uint8) for r in given]).astype(np.int64)
+            asks = np.concatenate([unpack(r["asks"], bool) for r in given])
+            where = np.zeros((2, len(h1)), np.int64)
+            where[0, asks] = np.concatenate([unpack(r["row"], np.int64) for r in given])
+            where[1, asks] = np.concatenate([unpack(r["place"], np.int32) for r in given])
+            order = np.lexsort((h2, h1))
+            new = np.append(True, (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]]))
+            total = np.add.reduceat(n[order], np.flatnonzero(new))
+            again = order[(total >= 2)[np.cumsum(new) - 1] & asks[order]]
+            rows.append(where[0, again])
+            places.append(where[1, again].astype(np.int32))
+        return pa.table([pa.array(np.concatenate(rows)), pa.array(np.concatenate(places))], names=["row", "place"])
+
+    rows = jobs.mapInArrow(digests, "bucket int, " + ", ".join(f"{c} binary" for c in names[1:]))
     # a digest meets at most one entry of every flush here, however often it occurs
-    total = rows.groupBy("h1", "h2", "known").agg(
-        F.sum("n").alias("n"), F.collect_list(F.when(F.col("row").isNotNull(), F.struct("row", "place"))).alias("m"))
-    return total.where("n >= 2").select(F.explode("m").alias("m")).select("m.row", "m.place")
+    return rows.groupBy("bucket").applyInArrow(resolve, "row long, place int")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, spread: int = SPREAD, run_size: int = RUN,
