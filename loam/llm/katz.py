@@ -1,9 +1,9 @@
 """Language-model scoring with Katz back-off.
 
 n-grams of every training text are counted, counts up to ``GOOD_TURING`` are discounted
-by Good-Turing estimates, and what the discounts (and, from order 2 on, the n-grams seen
-once, which are not stored) leave goes to the next lower order through weights that make
-every distribution sum to one exactly.  Unknown words share one unknown token, which gets
+by Good-Turing estimates, and what the discounts (and, with ``least`` over 1, the n-grams
+of order 2 and up seen less often, which are not stored) leave goes to the next lower order
+through weights that make every distribution sum to one exactly.  Unknown words share one unknown token, which gets
 what the unigram discounts leave.  A token's probability is looked up at the highest order
 and otherwise taken from the order below times its history's weight, and so on down.
 
@@ -141,8 +141,8 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
-def _count(texts: DataFrame, order: int, buckets: int) -> DataFrame:
-    """n, hist, tail, c: n-gram counts of the texts (raw); from order 2 on only of 2 and more."""
+def _count(texts: DataFrame, order: int, buckets: int, least: int) -> DataFrame:
+    """n, hist, tail, c: n-gram counts of the texts (raw); from order 2 on only of ``least`` and more."""
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         held, size = [], 0
         for b in batches:
@@ -186,8 +186,8 @@ def _count(texts: DataFrame, order: int, buckets: int) -> DataFrame:
             first = np.flatnonzero(np.append(True, keys[by[1:]] != keys[by[:-1]]))
             c = np.add.reduceat(c[by], first)
             by = by[first]
-            if n > 1:
-                by, c = by[c >= 2], c[c >= 2]
+            if n > 1 and least > 1:
+                by, c = by[c >= least], c[c >= least]
             out.append((np.full(len(by), n, np.int32), *[x[by].view(np.int64) for x in (hist, tail)], c))
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=["n", "hist", "tail", "c"])
 
@@ -221,11 +221,17 @@ class Model:
     unknown: float
 
 
-def fit(train: DataFrame, text: str = "text", order: int = ORDER) -> Model:
-    """Count, discount and normalise.  NULL text is empty and still has its end; repeated rows count again."""
+def fit(train: DataFrame, text: str = "text", order: int = ORDER, least: int = 2) -> Model:
+    """Count, discount and normalise.  NULL text is empty and still has its end; repeated rows count again.
+
+    n-grams of order 2 and up are stored if seen ``least`` (1 or 2) times: 1 is the whole model, 2 a smaller
+    one that leaves those seen once to back-off.
+    """
+    if least not in (1, 2):  # the numbers of n-grams seen 2 times and more are needed whole
+        raise ValueError("least must be 1 or 2")
     raw = train.select(text_or_empty(text).cast("binary").alias("raw"))
     buckets = 2 * shuffle_parts(train.sparkSession)
-    counts = saved(_count(raw, order, buckets), "counts", partition_by="n")
+    counts = saved(_count(raw, order, buckets, least), "counts", partition_by="n")
     of = counts.groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("types")).collect()
     total, types = {r["n"]: r["total"] for r in of}, {r["n"]: r["types"] for r in of}
     tokens = total.get(1, 0)
@@ -233,8 +239,9 @@ def fit(train: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     seen = {n: {r["c"]: r["count"] for r in few if r["n"] == n} for n in range(1, order + 1)}
     end = int(END.astype(np.int64))
     docs = (counts.where((F.col("n") == 1) & (F.col("tail") == end)).agg(F.sum("c")).first()[0] or 0) if tokens else 0
-    for n in range(2, order + 1):
-        seen[n][1] = tokens - total.get(n, 0)  # each token ends one n-gram, so the rest were seen once
+    if least == 2:
+        for n in range(2, order + 1):
+            seen[n][1] = tokens - total.get(n, 0)  # each token ends one n-gram, so the rest were seen once
 
     def kept(n: int) -> Column:
         """Discounted count."""

@@ -47,7 +47,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Katz back-off and add-one scores of every whole text, learned from six of seven folds of documents."""
     docs = read_table(spark, sf_dir, "documents")
     out = held_out("doc_id", 7)
-    model = katz.fit(docs.where(~out))
+    model = katz.fit(docs.where(~out), least=1)
     return katz.score(model, docs).select(
         "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score", "score")
