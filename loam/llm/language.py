@@ -7,8 +7,8 @@ times log2 of the sample's length, over the text's length, estimates the entropy
 text given the language; the language with the least wins.
 
 Sample (the documented bound): of each language the ``SAMPLE_WINDOWS`` windows of
-``WINDOW`` characters whose hash is smallest, one window from a hashed place of each
-labelled document.  Only these windows reach the driver.  Whole texts are parsed, in
+``WINDOW`` characters whose text's hash is smallest, one window from a hashed place of each
+distinct labelled text.  Only these windows reach the driver.  Whole texts are parsed, in
 blocks of ``BLOCK`` symbols that all advance together (a phrase ends at its block's
 end), so a long text costs no more memory than many short ones.
 """
@@ -108,8 +108,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", windows: in
         window: int = WINDOW) -> Model:
     """Learn from rows with text and a non-NULL language.
 
-    A hot language meets the others only in a per-language top-n that Spark prunes in the
-    map tasks.  Without labelled rows the model knows no language and predicts ``und``.
+    Copies of a text count once: map tasks merge them before the shuffle.  A hot language
+    meets the others only in a per-language top-n that Spark prunes in the map tasks.  Without labelled rows the model knows no language and predicts ``und``.
     """
     body = F.col(text)
     h = F.xxhash64(body)
@@ -117,6 +117,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", windows: in
     some = labelled.where(F.col(lang).isNotNull() & body.isNotNull()).select(
         F.col(lang).alias("lang"), h.alias("h"), F.substring(body, place.cast("int"), F.lit(window)).alias("piece")) \
         .where(F.col("piece").rlike(r"\p{L}"))
+    some = some.groupBy("lang", "h").agg(F.min("piece").alias("piece"))
     top = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))) \
         .where(F.col("n") <= windows)
     texts: dict[str, list[str]] = {}
