@@ -37,7 +37,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a benchmark item contaminates go."""
-    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"), any_case=True)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

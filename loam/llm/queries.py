@@ -27,7 +27,8 @@ def query(name: str, sql: str | None = None):
 @query("op2_decontaminate", decontaminate_sql.sql())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that contaminates it, over every row of documents."""
-    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"),
+                                      any_case=True)
 
 
 @query("op3_secret_scan")
