@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, decontaminate, decontaminate_sql, exact_dedup, katz, language, line_quality, pii, secret_scan, simhash, suffix_dedup
+from loam.llm import bpe, decontaminate, decontaminate_sql, exact_dedup, katz, language, line_quality, pii, secret_scan, simhash, suffix_dedup, whitening
 from loam.llm.common import held_out
 from loam.sources.readers import read_table
 
@@ -117,3 +117,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components (4-word shingles, at most 4 differing bits) over every row of documents."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")) \
         .select("doc_id", "fingerprint", "component_id")
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector of embeddings on the eight leading unit-variance components."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
