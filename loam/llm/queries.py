@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, decontaminate, decontaminate_sql, exact_dedup, katz, language, line_quality, pii, secret_scan, simhash, suffix_dedup, whitening
+from loam.llm import (bpe, decontaminate, decontaminate_sql, exact_dedup, katz, language, line_quality, manifest_sql, merkle, mixing,
+                      mixing_sql, pii, secret_scan, simhash, suffix_dedup, whitening)
 from loam.llm.common import held_out
 from loam.sources.readers import read_table
 
@@ -123,3 +124,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector of embeddings on the eight leading unit-variance components."""
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_source_mix", mixing_sql.sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of the sources at weights 1, 2, 3 takes."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest", manifest_sql.sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every row of documents, and the check after tampering."""
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
