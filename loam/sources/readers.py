@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loam.sources.records import CSV, JSON_ARRAY, records
+
 # Fixed value: file extensions the loader accepts (lower-cased).
 SUPPORTED_EXTENSIONS = (".csv", ".json", ".parquet")
 
@@ -41,9 +43,9 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     around a field.  Fields equal to one of ``missing`` are missing, before types are
     inferred: a column is bigint, double or boolean if all its other fields are, else
     text (dates are told by C1, not here).  Inference is one aggregate pass.
-    ``multi_line`` allows line breaks inside quotes; such a file cannot be split, so
-    each file is read by one task.  JSON may be one array/records document or JSON
-    lines.  ``all_strings`` (A4) reads every column as text.  Other scans are returned
+    ``multi_line`` allows line breaks inside quotes (records end with LF or CRLF).  JSON may be
+    JSON lines or one array of records, of which elements that are no objects are left out.
+    Both are split like other text (see ``loam.sources.records``).  ``all_strings`` (A4) reads every column as text.  Other scans are returned
     as they are, so projections and filters reach the reader; every operator treats
     NaN as missing itself (``nan_to_null`` rewrites floating columns up front).
     """
@@ -57,12 +59,16 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
         elif infer_schema and not all_strings:
             df = _infer_fields(df)
     elif ext == ".json":
-        reader = spark.read.option("multiLine", _is_json_document(spark, path))
-        if schema is not None:
-            reader = reader.schema(schema)
-        elif all_strings:
-            reader = reader.option("primitivesAsString", True)
-        df = reader.json(path)
+        start = _json_start(spark, path)
+        if start.startswith("[{"):
+            df = _json_records(spark, path, schema, all_strings)
+        else:
+            reader = spark.read.option("multiLine", start.startswith("["))
+            if schema is not None:
+                reader = reader.schema(schema)
+            elif all_strings:
+                reader = reader.option("primitivesAsString", True)
+            df = reader.json(path)
     else:
         df = spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
     if all_strings:
@@ -70,14 +76,30 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     return normalize_missing(df) if nan_to_null else df
 
 
+_CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def _csv_fields(spark: SparkSession, path: str, multi_line: bool, missing: Sequence[str]) -> DataFrame:
     """Every field as text, missing tokens as NULL."""
-    df = (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    df = spark.read.options(**_CSV_OPTIONS).option("header", True).option("multiLine", multi_line).csv(path)
+    if multi_line:  # only the header is read that way
+        places = [f"c{i}" for i in range(len(df.columns))]
+        fields = F.from_csv("value", ", ".join(f"{p} string" for p in places), _CSV_OPTIONS | {"multiLine": "true"})
+        df = records(spark, path, CSV).where("not first").select(fields.alias("f")).select("f.*").toDF(*df.columns)
     cols = [F.col(quoted(c)) for c in df.columns]
     return df.select(*[F.when(~v.isin(*missing), v).alias(c) if missing else v for c, v in zip(df.columns, cols)])
 
 
+def _json_records(spark: SparkSession, path: str, schema: T.StructType | str | None, all_strings: bool) -> DataFrame:
+    """The objects of an array document, parsed one by one; their schema is inferred from all of them."""
+    texts = records(spark, path, JSON_ARRAY).select("value")
+    if schema is None:
+        reader = spark.read.option("primitivesAsString", all_strings)
+        schema = reader.json(texts.rdd.map(lambda r: r[0])).schema
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return texts.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def quoted(name: str) -> str:
     """A column name as a reference, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"
@@ -104,12 +126,16 @@ def _cast_fields(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     return df.select(*[F.col(quoted(c)).try_cast(f.dataType).alias(f.name) for c, f in zip(df.columns, kinds.fields)])
 
 
-def _is_json_document(spark: SparkSession, path: str) -> bool:
-    """A JSON source whose first non-blank line starts with ``[`` is one document
-    (array of records); otherwise JSON lines.  Read through Spark, so any file
-    system the cluster mounts works; one line reaches the driver."""
-    first = (spark.read.text(path).where(F.trim("value") != "").limit(1).collect())
-    return bool(first) and first[0]["value"].lstrip().startswith("[")
+def _json_start(spark: SparkSession, path: str) -> str:
+    """``[{`` where a JSON source starts as an array of objects, ``[`` with something else behind it for other arrays.
+
+    Read through Spark, so any file system the cluster mounts works; of what stands before the first
+    brace two characters that are not blank reach the driver.
+    """
+    before = F.regexp_replace(F.substring("value", 1, 10_000), r"\s+", "")
+    first = spark.read.option("lineSep", "{").text(path).select(F.substring(before, 1, 2).alias("v")).limit(1).collect()
+    start = first[0]["v"] if first else ""
+    return "[{" if start == "[" else start
 
 
 def as_strings(df: DataFrame) -> DataFrame:
