@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import safe_identifier
@@ -80,6 +80,25 @@ class EncodingPlan:
         return {e.column: e.output for e in self.encodings}
 
 
+def save_encodings(plan: EncodingPlan | None, path: str) -> dict | None:
+    """What JSON can keep of a plan; the label codes are written as Parquet under ``path``."""
+    if plan is None:
+        return None
+    for i, e in enumerate(plan.encodings):
+        if e.codes is not None:
+            e.codes.write.mode("overwrite").parquet(f"{path}/{i}")
+    return {"target": plan.target, "list": [
+        {"column": e.column, "method": e.method, "output": e.output, "categories": e.categories, "n_codes": e.n_codes,
+         "code_bytes": e.code_bytes} for e in plan.encodings]}
+
+
+def load_encodings(spark: SparkSession, meta: dict | None, path: str) -> EncodingPlan | None:
+    if meta is None:
+        return None
+    return EncodingPlan([Encoding(**e, codes=spark.read.parquet(f"{path}/{i}") if e["method"] == "label" else None)
+                         for i, e in enumerate(meta["list"])], meta["target"])
+
+
 def _label_encoding(codes: DataFrame, column: str) -> Encoding:
     """Encoding with the size of its code table."""
     size = codes.agg(F.count("*"), F.sum(F.octet_length("value") + 16)).first()

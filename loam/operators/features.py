@@ -24,14 +24,19 @@ def _as_timestamp(df: DataFrame, c: str, formats: dict[str, str]) -> Column:
     return parse_date(F.col(c).cast("string"), formats.get(c, ISO)).cast("timestamp_ntz")
 
 
-def extract_datetime_features(df: DataFrame, types: dict[str, str]) -> DataFrame:
+def extract_datetime_features(df: DataFrame, types: dict[str, str], formats: dict[str, str] | None = None) -> DataFrame:
     """For each ``datetime`` column, ``_year _month _day _dayofweek (Mon=0) _quarter``;
-    text dates are converted to timestamps in place, the original is kept."""
+    text dates are converted to timestamps in place, the original is kept.
+
+    ``formats`` are those of the text columns as fitted before (``semantic_types.date_formats``); without
+    them they are told from ``df`` itself, which takes two aggregates.
+    """
     from loam.operators.semantic_types import date_formats
 
     out = df
-    text = [f.name for f in df.schema.fields if types.get(f.name) == "datetime" and isinstance(f.dataType, T.StringType)]
-    formats = date_formats(df, text)
+    if formats is None:
+        formats = date_formats(df, [f.name for f in df.schema.fields if types.get(f.name) == "datetime"
+                                    and isinstance(f.dataType, T.StringType)])
     for c, t in types.items():
         if t != "datetime" or c not in df.columns:
             continue

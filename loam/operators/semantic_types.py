@@ -1,7 +1,8 @@
 """Semantic type inference (C1, C3, C5, C6) and numeric coercion (C4).
 
 One aggregate job gathers, for every column, the non-missing count and how many
-values look numeric or parse as timestamps in each known format.  Where types alone are
+values look numeric or have the shape of a date.  Only columns all of whose values do are read
+again, for their shapes and for the few formats that fit all of them.  Where types alone are
 wanted, only text columns that are neither numbers nor dates are left, and only their
 hashed values are shuffled for distinct counts (see ``profile.distinct_counts``).  The classification is a
 ``CASE`` over that tidy frame.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.functions.dates import DATE_FORMATS, count_dates
+from loam.functions.dates import DATE_FORMATS, ISO, count_dates, date_shape, formats_of, may_be_date
 from loam.functions.numeric_text import coerce_numeric, looks_numeric
 from loam.functions.schema import NUMERIC_TYPES, DATETIME_TYPES, flat_columns
 from loam.functions.stats import nan_to_null
@@ -44,9 +45,9 @@ def _kind(dt: T.DataType) -> str:
 def type_evidence(df: DataFrame, columns: list[str] | None = None, count_all: bool = True) -> DataFrame:
     """``(column_name, kind, n_rows, non_null, numeric_like, datetime_like, date_format, n_distinct)``.
 
-    datetime_like is the best count of any one date format, which date_format names.
-    n_distinct is counted by hashed values; without ``count_all`` only for text that is
-    neither numeric nor a date (0 elsewhere), which is all that types depend on.
+    datetime_like is the best count of any one date format, which date_format names (0 where
+    some value has no date's shape).  n_distinct is counted by hashed values; without ``count_all``
+    only for text that is neither numeric nor a date (0 elsewhere), which is all that types depend on.
     """
     columns = list(columns) if columns is not None else flat_columns(df)
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -54,21 +55,17 @@ def type_evidence(df: DataFrame, columns: list[str] | None = None, count_all: bo
     for c in columns:
         kind = _kind(fields[c])
         col = F.col(quoted(c))
-        if kind == "string":
-            num = F.count_if(looks_numeric(col)).cast("long")
-            dates = F.array(*[count_dates(col, f).cast("long") for f in DATE_FORMATS])
-        else:
-            num = F.lit(0).cast("long")
-            dates = F.array(*[F.lit(0).cast("long") for _ in DATE_FORMATS])
+        text = kind == "string"
         present = nan_to_null(col) if isinstance(fields[c], (T.DoubleType, T.FloatType)) else col
-        per[c] = F.struct(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"),
-                          F.count(present).alias("non_null"), num.alias("numeric_like"), dates.alias("dates"))
-    best = F.array_max("dates")
-    ev = _wide_to_long(df, per, width=3 + len(DATE_FORMATS)).withColumn("datetime_like", best).withColumn(
-        "date_format", F.when(best > 0, F.element_at(F.array(*[F.lit(f) for f in DATE_FORMATS]),
-                                                     F.array_position("dates", best).cast("int")))).drop("dates")
+        per[c] = F.struct(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"), F.count(present).alias("non_null"),
+                          (F.count_if(looks_numeric(col)) if text else F.lit(0)).cast("long").alias("numeric_like"),
+                          (F.count_if(may_be_date(col)) if text else F.lit(0)).cast("long").alias("shaped"))
     # one row for each column
-    rows = [r.asDict() for r in ev.collect()]
+    rows = [r.asDict() for r in _wide_to_long(df, per, width=4).collect()]
+    dated = [r["column_name"] for r in rows if r["kind"] == "string" and 0 < r["shaped"] == r["non_null"] and not _all_numeric(r)]
+    best = best_formats(df, dated)
+    for r in rows:
+        r["date_format"], r["datetime_like"] = best.get(r["column_name"], (None, 0))
     open_text = columns if count_all else [r["column_name"] for r in rows if r["kind"] == "string" and r["non_null"]
                  and r["datetime_like"] < r["non_null"] and not _all_numeric(r)]
     distinct = {r["column_name"]: r["n_distinct"] for r in distinct_counts(df, open_text).collect()} if open_text else {}
@@ -83,14 +80,33 @@ def _all_numeric(r: dict) -> bool:
     return r["non_null"] >= min(NUMERIC_MIN_SAMPLE, r["n_rows"]) and r["numeric_like"] == r["non_null"]
 
 
-def date_formats(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """The format of each text column of dates: the first that reads all values, else the one that reads most."""
+def best_formats(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, int]]:
+    """Of each text column the format that reads most values (the first of several) and how many it reads.
+
+    Two aggregates: the shapes of each column, of which there are at most as many as the formats
+    allow, and counts for the formats that fit all of them (for most, where none does).
+    """
     if not columns:
         return {}
-    per = {c: F.array(*[count_dates(F.col(quoted(c)), f).cast("long") for f in DATE_FORMATS]) for c in columns}
-    # one row, a few numbers for each column
-    row = df.agg(*[v.alias(f"c{i}") for i, v in enumerate(per.values())]).first()
-    return {c: DATE_FORMATS[max(range(len(DATE_FORMATS)), key=lambda k: (row[i][k], -k))] for i, c in enumerate(columns)}
+    row = df.agg(*[F.collect_set(date_shape(F.col(quoted(c)))).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    tried = {c: formats_of(row[f"s{i}"]) or sorted({f for s in row[f"s{i}"] for f in formats_of([s])}, key=DATE_FORMATS.index)
+             for i, c in enumerate(columns) if row[f"s{i}"]}
+    pairs = [(c, f) for c, fs in tried.items() for f in fs]
+    counts = []
+    for at in range(0, len(pairs), 60):  # bounded expressions per pass
+        some = pairs[at: at + 60]
+        counts += df.agg(*[count_dates(F.col(quoted(c)), f).alias(f"n{i}") for i, (c, f) in enumerate(some)]).first()
+    best: dict[str, tuple[str, int]] = {}
+    for (c, f), n in zip(pairs, counts):
+        if n and n > best.get(c, (f, 0))[1]:
+            best[c] = (f, n)
+    return best
+
+
+def date_formats(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The format of each text column of dates: the first that reads all values, else the one that reads most."""
+    best = best_formats(df, columns)
+    return {c: best.get(c, (ISO, 0))[0] for c in columns}
 
 
 def detect_column_types(df: DataFrame, columns: list[str] | None = None, count_all: bool = True) -> DataFrame:

@@ -7,14 +7,16 @@ duplicate rows (G1), encode categoricals with the target label-encoded
 (H3/H4), add date parts (I1).
 
 ``fit`` computes every statistic (one or a few aggregate jobs per step) and
-keeps them as literals; ``transform`` is lazy and re-applies the same steps to
-any frame of the same schema, including a streaming one (``dedupe=False``).
+keeps them as literals, the formats of text dates among them; ``transform`` starts no job
+and re-applies the same steps to any frame of the same schema, including a streaming one
+(``dedupe=False``).  ``save`` and ``load`` keep a fitted plan for another application.
 Encoder fitting reads the de-duplicated frame several times, so that frame is
 checkpointed once (reliable checkpoint in ``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,7 @@ class CleaningPlan:
     types: dict[str, str] = field(default_factory=dict)
     fills: list[tuple] = field(default_factory=list)
     trim_steps: list[tuple[str, float, float]] = field(default_factory=list)
+    date_formats: dict[str, str] = field(default_factory=dict)
     encoding: ENC.EncodingPlan | None = None
     final_target: str | None = None
     log: list[tuple] = field(default_factory=list)
@@ -69,7 +72,7 @@ class CleaningPlan:
         out = df
         if self.encoding is not None:
             out = self.encoding.transform(out)
-        return FE.extract_datetime_features(out, self.types)
+        return FE.extract_datetime_features(out, self.types, self.date_formats)
 
     # ------------------------------------------------------------------ fit
     def fit(self, df: DataFrame) -> tuple["CleaningPlan", DataFrame]:
@@ -81,6 +84,8 @@ class CleaningPlan:
         self._log("names", None, "column names made uniform")
 
         self.types, evidence = ST.column_types_with_evidence(renamed)
+        self.date_formats = {c: evidence[c]["date_format"] for c, t in self.types.items()
+                             if t == "datetime" and evidence[c]["date_format"]}
         for c, t in self.types.items():
             self._log("types", c, "detected type", None, t)
         # evaluated once: fills, outlier statistics and the trimmed rows all read this copy
@@ -150,6 +155,23 @@ class CleaningPlan:
             out = out.dropDuplicates()
         return self._finish(out)
 
+    def save(self, spark: SparkSession, path: str) -> str:
+        """One JSON line of names and statistics, and the label codes as Parquet."""
+        kept = ("target", "outlier_threshold", "encode_threshold", "names", "types", "fills", "trim_steps", "date_formats",
+                "final_target", "log")
+        meta = {k: getattr(self, k) for k in kept}
+        meta["encoding"] = ENC.save_encodings(self.encoding, f"{path}/codes")
+        spark.createDataFrame([(json.dumps(meta, default=float),)], "value string").write.mode("overwrite").text(f"{path}/plan")
+        return path
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "CleaningPlan":
+        meta = json.loads(spark.read.text(f"{path}/plan").first()[0])
+        meta["encoding"] = ENC.load_encodings(spark, meta["encoding"], f"{path}/codes")
+        for k in ("fills", "trim_steps", "log"):
+            meta[k] = [tuple(x) for x in meta[k]]
+        return CleaningPlan(**meta)
+
     def log_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.log, LOG_SCHEMA)
 

@@ -470,6 +470,61 @@ def date_text_types_orders(spark, sf_dir):
     return ST.detect_column_types(_date_texts(spark, sf_dir), list(_DATE_TEXTS)).select("column_name", "semantic_type")
 
 
+# One text for each of these formats: the name of a column, how Spark writes it, and how DuckDB reads the date back.
+_GRAMMAR = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy",
+            "d/M/yyyy", "d.M.yyyy", "M-d-yyyy", "d-M-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "d-MMM-yyyy", "d MMMM yyyy",
+            "MMMM d, yyyy", "MMMM d yyyy", "d. MMMM yyyy", "yyyyMMdd'T'HHmmss", "yyyyMMdd HH:mm:ss", "yyyyMMdd'T'HHmmssX", "yyyy-DDD",
+            "M/d/yy", "d/M/yy", "d.M.yy", "d-MMM-yy", "M/d/yyyy H:mm", "d/M/yyyy H:mm:ss", "M/d/yyyy h:mm a", "MMM d, yyyy h:mm:ss a",
+            "d/MMM/yyyy:HH:mm:ss Z", "EEEE, d MMMM yyyy", "EEE, d MMM yyyy H:mm:ss Z"]
+
+
+def _grammar_texts(spark, sf_dir):
+    """Every order's day, with a time of the day made from its key, in each format; the ISO week by its parts."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderdate").cast("timestamp") + F.expr(
+        "make_interval(0, 0, 0, 0, 0, 0, o_orderkey % 86400)")).alias("t"))
+    week = F.format_string("%04d-W%02d-%d", F.extract(F.lit("YEAROFWEEK"), "t"), F.weekofyear("t"), F.weekday("t") + 1)
+    return o.select("o_orderkey", *[F.date_format("t", f).alias(f"f{i}") for i, f in enumerate(_GRAMMAR)], week.alias("week"))
+
+
+_GRAMMAR_COLUMNS = [*(f"f{i}" for i in range(len(_GRAMMAR))), "week"]
+
+
+@register("date_grammar_types_orders", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, 'datetime' AS semantic_type, count(*) AS datetime_like FROM orders" for c in _GRAMMAR_COLUMNS))
+def date_grammar_types_orders(spark, sf_dir):
+    """Zones, fractions, ISO weeks and days of the year, compact dates, long names, two-digit years, weekdays."""
+    from loam.operators import semantic_types as ST
+    return ST.detect_column_types(_grammar_texts(spark, sf_dir), _GRAMMAR_COLUMNS, count_all=False) \
+        .select("column_name", "semantic_type", "datetime_like")
+
+
+@register("date_grammar_days_orders", "SELECT o_orderkey, " + ", ".join(
+    f"o_orderdate::DATE AS {c}" for c in _GRAMMAR_COLUMNS) + " FROM orders")
+def date_grammar_days_orders(spark, sf_dir):
+    """I1 on the same texts: the day that was written, in every format."""
+    from loam.functions.dates import parse_date
+    from loam.operators import semantic_types as ST
+    df = _grammar_texts(spark, sf_dir)
+    formats = ST.date_formats(df, _GRAMMAR_COLUMNS)
+    return df.select("o_orderkey", *[parse_date(F.col(c), formats[c]).cast("date").alias(c) for c in _GRAMMAR_COLUMNS])
+
+
+@register("cleaning_plan_dates_reapplied",
+          "SELECT o_orderkey, " + ", ".join(f"{p}(o_orderdate)::INTEGER AS placed_{p}" for p in ("year", "month", "day"))
+          + " FROM orders WHERE day(o_orderdate) <= 12")
+def cleaning_plan_dates_reapplied(spark, sf_dir):
+    """M11 + I1: a plan fitted on day-first dates, saved and loaded, reads a batch of days up to the
+    12th, which could be months by themselves, day first."""
+    from loam.plans.cleaning import CleaningPlan
+    from loam.sources import sinks
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "d/M/yyyy").alias("placed"))
+    plan, _ = CleaningPlan().fit(o)
+    path = plan.save(spark, sinks.new_output_path(spark, "plan"))
+    batch = o.where(F.split("placed", "/")[0].cast("int") <= 12)
+    out = CleaningPlan.load(spark, path).transform(batch, keep_rows=True)
+    return out.select("o_orderkey", *[F.col(f"placed_{p}").cast("int").alias(f"placed_{p}") for p in ("year", "month", "day")])
+
+
 @register("date_text_parts_orders",
           "SELECT o_orderkey, " + ", ".join(f"{p}(o_orderdate)::INTEGER AS {c}_{p}" for c in _DATE_TEXTS
                                             for p in ("year", "month", "day")) + " FROM orders")

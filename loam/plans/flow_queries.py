@@ -225,6 +225,14 @@ def json_roundtrip_orders(spark, sf_dir):
     return readers.load(spark, path).select(*o.columns)
 
 
+@register("json_array_conversations", "SELECT conv_id, turn, role, text FROM conversations")
+def json_array_conversations(spark, sf_dir):
+    """A2: array documents of all turns; each file is read in blocks, its records found by their depth."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    path = sinks.save_cleaned(turns, sinks.new_output_path(spark, "turns") + ".json", fmt="json_array")
+    return readers.load(spark, path).select(*[F.col(f.name).cast(f.dataType) for f in turns.schema.fields])
+
+
 @register("string_load_customer",
           "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
           "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer")

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loam.session import ensure_checkpoint_dir
 
@@ -33,7 +35,7 @@ def write_snapshot(df: DataFrame, path: str | None = None) -> str:
 
 
 def save_cleaned(df: DataFrame, path: str | None = None, fmt: str = "csv") -> str:
-    """Cleaned table as CSV with a header (or Parquet, or JSON lines).
+    """Cleaned table as CSV with a header, Parquet, JSON lines, or JSON arrays (one document in each file).
 
     CSV doubles quotes inside fields and keeps blanks and line breaks (to be read with
     ``multi_line``); missing values are empty fields.
@@ -47,11 +49,26 @@ def save_cleaned(df: DataFrame, path: str | None = None, fmt: str = "csv") -> st
         writer.parquet(path)
     elif fmt == "json":
         writer.json(path)
+    elif fmt == "json_array":
+        rows = df.select(F.to_json(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]),
+                                   {"ignoreNullFields": "false"}).alias("value"))
+        rows.mapInArrow(_array_lines, "value string").write.mode("overwrite").text(path)
     else:
         raise ValueError(f"unknown output format: {fmt}")
     return path
 
 
+def _array_lines(batches):
+    """The records of a partition as the lines of one JSON array."""
+    first = True
+    for batch in batches:
+        if batch.num_rows:
+            texts = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([("[" if first and not i else ",") + t for i, t in enumerate(texts)])], ["value"])
+            first = False
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], ["value"])
+
+
 def save_results(frames: dict[str, DataFrame], path: str | None = None) -> str:
     """Every tidy result frame as JSON lines under ``<path>/<name>``."""
     if not frames:
