@@ -107,3 +107,81 @@ def forecast(series: DataFrame, horizon: int = 6, freq: str = "month", z: float
         "value", line * F.coalesce(F.col("index"), F.lit(1.0)))
     sg = F.lit(sigma if sigma is not None else None).cast("double")
     return out.select("period", "value", (F.col("value") - z * sg).alias("low"), (F.col("value") + z * sg).alias("high"))
+
+
+# ---------------------------------------------------------------- many series
+
+def resample_by(df: DataFrame, keys: list[str], time_col: str, value_col: str, freq: str = "day") -> DataFrame:
+    """K1 per key: ``(keys..., x, value)``, x the number of the period, one row per key and period with a value.
+
+    After this a key has at most as many rows as there are periods, however many rows it had.
+    """
+    x = _period_no(_period(F.col(time_col), freq), freq).cast("long")
+    return (df.where(F.col(time_col).isNotNull()).groupBy(*keys, x.alias("x"))
+            .agg(F.avg(clean_double(F.col(value_col))).alias("value")).where(F.col("value").isNotNull()))
+
+
+def _same(keys: list[str], left: str, right: str) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`"))
+    return cond
+
+
+def autocorrelations(series: DataFrame, keys: list[str], max_lag: int = 14) -> DataFrame:
+    """``(keys..., lag, r, pairs)`` for lags 1 to ``max_lag`` of every series.
+
+    r is the mean product of deviations of periods ``lag`` apart over the series' variance; periods
+    without a value make no pair.  NULL where the series is constant.  Pairs meet in a join on
+    (key, period), so neither a long series nor a border between partitions matters.
+    """
+    stats = series.groupBy(*keys).agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+    dev = series.alias("s").join(stats.alias("m"), _same(keys, "s", "m")).select(
+        *[F.col(f"s.`{k}`").alias(k) for k in keys], "x", (F.col("value") - F.col("mean")).alias("d"), "var")
+    ahead = dev.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"), "x", F.col("d").alias("e")) \
+        .withColumn("x", F.col("x") + F.col("lag"))
+    pairs = dev.alias("a").join(ahead.alias("b"), _same(keys, "a", "b") & (F.col("a.x") == F.col("b.x")))
+    return (pairs.groupBy(*[F.col(f"a.`{k}`").alias(k) for k in keys], "lag")
+            .agg(F.try_divide(F.avg(F.col("d") * F.col("e")), F.first("var")).alias("r"), F.count("*").alias("pairs")))
+
+
+def season_lengths(acf: DataFrame, keys: list[str], z: float = Z_95) -> DataFrame:
+    """K3 per key: ``(keys..., season, r)``; the lag from 2 on with the highest correlation that is
+    significant (above z over the root of its pairs) and higher than at the lags beside it.
+    Keys without such a lag have no row; the last lag given has no neighbour to be compared with.
+    """
+    near = Window.partitionBy(*keys).orderBy("lag")   # at most max_lag rows
+    peaks = acf.withColumn("before", F.lag("r").over(near)).withColumn("after", F.lead("r").over(near)) \
+        .withColumn("side", F.lag("lag").over(near)).withColumn("far", F.lead("lag").over(near)) \
+        .where((F.col("lag") >= 2) & (F.col("side") == F.col("lag") - 1) & (F.col("far") == F.col("lag") + 1)
+               & (F.col("r") > F.col("before")) & (F.col("r") >= F.col("after")) & (F.col("r") > z / F.sqrt("pairs")))
+    best = peaks.groupBy(*keys).agg(F.max(F.struct("r", (-F.col("lag")).alias("minus"))).alias("b"))
+    return best.select(*keys, (-F.col("b.minus")).cast("int").alias("season"), F.col("b.r").alias("r"))
+
+
+def forecast_by(series: DataFrame, keys: list[str], seasons: DataFrame, horizon: int = 7, z: float = Z_95) -> DataFrame:
+    """K4 per key: ``(keys..., x, value, low, high)`` for the ``horizon`` periods after the last one.
+
+    A least-squares line and, for keys in ``seasons`` (keys..., season), the mean deviation from it at
+    each place in the season; the interval is z standard deviations of what is left.  Everything is
+    grouped by key: no statistic of a series reaches the driver.
+    """
+    x, value = F.col("x").cast("double"), F.col("value")
+    fit = series.groupBy(*keys).agg(F.coalesce(F.regr_slope(value, x), F.lit(0.0)).alias("slope"), F.avg(value).alias("mv"), F.avg(x).alias("mx"),
+                                    F.max("x").alias("last"))
+    fit = fit.alias("f").join(seasons.alias("s"), _same(keys, "f", "s"), "left").select(
+        *[F.col(f"f.`{k}`").alias(k) for k in keys], "slope", "mv", "mx", "last", "season")
+    line = F.col("mv") + F.col("slope") * (F.col("x") - F.col("mx"))
+    phase = F.when(F.col("season").isNotNull(), F.pmod("x", "season"))
+    past = series.alias("p").join(fit.alias("f"), _same(keys, "p", "f")).select(
+        *[F.col(f"p.`{k}`").alias(k) for k in keys], "x", (value - line).alias("rest"), phase.alias("phase"))
+    index = past.where("phase is not null").groupBy(*keys, "phase").agg(F.avg("rest").alias("index"))
+    on = lambda a, b: _same(keys, a, b) & (F.col(f"{a}.phase") == F.col(f"{b}.phase"))
+    sigma = past.alias("p").join(index.alias("i"), on("p", "i"), "left").groupBy(*[F.col(f"p.`{k}`").alias(k) for k in keys]).agg(
+        F.stddev_samp(F.col("rest") - F.coalesce("index", F.lit(0.0))).alias("sigma"))
+    future = fit.withColumn("x", F.explode(F.sequence(F.col("last") + 1, F.col("last") + horizon))).withColumn("line", line).withColumn("phase", phase)
+    out = future.alias("u").join(index.alias("i"), on("u", "i"), "left").select(
+        *[F.col(f"u.`{k}`").alias(k) for k in keys], "x", (F.col("line") + F.coalesce("index", F.lit(0.0))).alias("value"))
+    out = out.alias("o").join(sigma.alias("g"), _same(keys, "o", "g"))
+    return out.select(*[F.col(f"o.`{k}`").alias(k) for k in keys], "x", "value", (F.col("value") - z * F.col("sigma")).alias("low"),
+                      (F.col("value") + z * F.col("sigma")).alias("high"))

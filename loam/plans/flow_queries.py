@@ -156,6 +156,50 @@ def seasonality_events(spark, sf_dir):
     return rounded(TS.seasonality(series, "day"))
 
 
+_USER_DAYS = """d AS (SELECT user_id, datediff('day', DATE '1970-01-01', ts::DATE) AS x, avg(value) AS value FROM events
+  WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT user_id, avg(value) AS mean, var_pop(value) AS var FROM d GROUP BY 1),
+acf AS (SELECT a.user_id, b.x - a.x AS lag, avg((a.value - mean) * (b.value - mean)) / nullif(any_value(var), 0) AS r, count(*) AS pairs
+  FROM d a JOIN d b ON a.user_id = b.user_id AND b.x - a.x BETWEEN 1 AND 12 JOIN m ON m.user_id = a.user_id GROUP BY 1, 2),
+n AS (SELECT *, lag(r) OVER w AS before, lead(r) OVER w AS after, lag(lag) OVER w AS side, lead(lag) OVER w AS far FROM acf
+  WINDOW w AS (PARTITION BY user_id ORDER BY lag)),
+sl AS (SELECT user_id, arg_max(lag, (r, -lag)) AS season, max(r) AS r FROM n WHERE lag >= 2 AND side = lag - 1 AND far = lag + 1
+  AND r > before AND r >= after AND r > 1.959963984540054 / sqrt(pairs) GROUP BY 1)"""
+
+
+def _user_days(spark, sf_dir):
+    return TS.resample_by(table(spark, sf_dir, "events"), ["user_id"], "ts", "value", "day")
+
+
+@register("autocorrelation_events_by_user", f"WITH {_USER_DAYS} SELECT user_id, lag::INTEGER AS lag, {r('r')} AS r, pairs FROM acf")
+def autocorrelation_events_by_user(spark, sf_dir):
+    """K3 for many series: autocorrelation of each user's daily means at lags of 1 to 12 days."""
+    return rounded(TS.autocorrelations(_user_days(spark, sf_dir), ["user_id"], 12))
+
+
+@register("season_lengths_events_by_user", f"WITH {_USER_DAYS} SELECT user_id, season::INTEGER AS season, {r('r')} AS r FROM sl")
+def season_lengths_events_by_user(spark, sf_dir):
+    """K3 for many series: the season that each user's days show, of any length, where they show one."""
+    return rounded(TS.season_lengths(TS.autocorrelations(_user_days(spark, sf_dir), ["user_id"], 12), ["user_id"]))
+
+
+@register("forecast_events_by_user", f"""WITH {_USER_DAYS},
+f AS (SELECT user_id, coalesce(regr_slope(value, x), 0) AS slope, avg(value) AS mv, avg(x) AS mx, max(x) AS last, any_value(season) AS season
+  FROM d LEFT JOIN sl USING (user_id) GROUP BY 1),
+p AS (SELECT user_id, x, value - (mv + slope * (x - mx)) AS rest, x % season AS phase FROM d JOIN f USING (user_id)),
+i AS (SELECT user_id, phase, avg(rest) AS index FROM p WHERE phase IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT p.user_id, stddev_samp(rest - coalesce(index, 0)) AS sigma FROM p LEFT JOIN i USING (user_id, phase) GROUP BY 1),
+u AS (SELECT *, unnest(range(last + 1, last + 8)) AS x FROM f),
+o AS (SELECT u.user_id, u.x, mv + slope * (u.x - mx) + coalesce(index, 0) AS value FROM u LEFT JOIN i ON i.user_id = u.user_id AND i.phase = u.x % season)
+SELECT user_id, x, {r('value', 2)} AS value, {r('value - 1.959963984540054 * sigma', 2)} AS low,
+  {r('value + 1.959963984540054 * sigma', 2)} AS high FROM o JOIN g USING (user_id)""")
+def forecast_events_by_user(spark, sf_dir):
+    """K4 for many series: a week ahead for every user, with the season that the user's own days show."""
+    days = _user_days(spark, sf_dir)
+    seasons = TS.season_lengths(TS.autocorrelations(days, ["user_id"], 12), ["user_id"]).select("user_id", "season")
+    return rounded(TS.forecast_by(days, ["user_id"], seasons), 2)
+
+
 @register("daily_values_events", f"SELECT period, {r('value')} AS value, n FROM {_DAILY_SQL}")
 def daily_values_events(spark, sf_dir):
     """K1 at daily frequency on the event stream table."""
