@@ -124,19 +124,31 @@ def text_digest(text: str = "text") -> Column:
     return F.sha2(text_or_empty(text).cast("binary"), 256)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many ``_`` behind it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, stays: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose (key, text) is in ``stays`` (key, text_sha256, n_same), each once.
 
     n_same says how many equal (key, text) rows ``docs`` holds; only those with
-    several are deduplicated, so that other rows are not shuffled again.
+    several are deduplicated, so that other rows are not shuffled again.  Columns of
+    ``docs`` may have any names.
     """
-    names = {key: "k_", "text_sha256": "s_", "n_same": "n_"}
-    right = stays.select(*[F.col(c).alias(n) for c, n in names.items()])
-    joined = docs.join(right, F.col(key).eqNullSafe(F.col("k_")) & (text_digest(text) == F.col("s_")))
-    once = joined.where("n_ = 1").select(*docs.columns)
-    if right.where("n_ > 1").isEmpty():
+    k, s, n = unused(docs, "k_", "s_", "n_")
+    right = stays.select(F.col(key).alias(k), F.col("text_sha256").alias(s), F.col("n_same").alias(n))
+    joined = docs.join(right, F.col(key).eqNullSafe(F.col(k)) & (text_digest(text) == F.col(s)))
+    once = joined.where(F.col(n) == 1).select(*docs.columns)
+    if right.where(F.col(n) > 1).isEmpty():
         return once
-    return once.unionByName(joined.where("n_ > 1").dropDuplicates(["k_", "s_"]).select(*docs.columns))
+    return once.unionByName(joined.where(F.col(n) > 1).dropDuplicates([k, s]).select(*docs.columns))
 
 
 def pack(values: np.ndarray, ordered: bool = False) -> bytes:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import text_or_empty
+from loam.llm.common import text_or_empty, unused
 
 WINDOW = 400
 SAMPLE_WINDOWS = 60
@@ -210,6 +210,7 @@ def predict(model: Model, docs: DataFrame, text: str = "text") -> DataFrame:
 
     p = F.arrow_udf(classify, "lang_pred string, score double")(text_or_empty(text))
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*own, p.alias("p_")).select(*own, "p_.lang_pred", "p_.score")
+    name, = unused(docs, "p_")
+    return docs.select(*own, p.alias(name)).select(*own, f"{name}.lang_pred", f"{name}.score")
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm.common import unused
+
 ROUNDS = 10
 #: Days that dates are permuted within.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -283,5 +285,6 @@ def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", back: bool
 
     out = F.arrow_udf(replaced, "text string, spans array<struct<kind:string,start:int,end:int>>")(F.col(text))
     own = [c for c in docs.columns if c != "pii_spans"]
-    return docs.select(*own, out.alias("r_")).select(
-        *[F.col("r_.text").alias(c) if c == text else F.col(c) for c in own], F.col("r_.spans").alias("pii_spans"))
+    name, = unused(docs, "r_")
+    return docs.select(*own, out.alias(name)).select(
+        *[F.col(f"{name}.text").alias(c) if c == text else F.col(c) for c in own], F.col(f"{name}.spans").alias("pii_spans"))
