@@ -39,7 +39,7 @@ PATTERNS = {
     "card": re.compile(r"(?<![0-9.])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|"
                        r"[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
-                        r"|\+(?!1[ .-])[1-9][0-9]{0,2}[ .-](?:\(?[0-9]{1,4}\)?[ .-]?){1,4}[0-9]{2,4})(?![0-9])"),
+                        r"|\+(?!1[ .-])[1-9][0-9]{0,2}[ .-](?:\(?[0-9]{1,4}\)?[ .-]?){1,4}[0-9]{2,4}|\+[1-9][0-9]{7,14})(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "ip": re.compile(rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"),
     "date": re.compile(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})(?![0-9])"),
@@ -149,17 +149,28 @@ def _card(s: str) -> Numbered | None:
     return Numbered(int("".join(map(str, digits[:-1]))), 10 ** k, b"card", write)
 
 
+# Country codes of one and two digits; all others have three.
+COUNTRY_CODES = {"1", "7", *("20 27 28 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+                             "81 82 83 84 86 89 90 91 92 93 94 95 98").split()}
+
+
+def _country(digits: str) -> int:
+    """How many digits the country code has."""
+    return next((n for n in (1, 2) if digits[:n] in COUNTRY_CODES), 3)
+
+
 def _phone(s: str) -> Numbered | None:
     digits = re.sub(r"[^0-9]", "", s)
     if s.startswith("+") and not s.startswith("+1"):
         if not 8 <= len(digits) <= 15:
             return None
         lead = len(re.match(r"\+([0-9]+)", s)[1])
+        lead = _country(digits) if lead == len(digits) else lead  # written without separators
         rest = digits[lead:]
         return Numbered(int(rest), 10 ** len(rest), b"phone" + digits[:lead].encode(),
                         lambda k: _refill(s, digits[:lead] + f"{k:0{len(rest)}d}"))
     lead, own = digits[:-10], digits[-10:]
-    if len(own) != 10 or lead not in ("", "1"):
+    if len(own) != 10 or lead not in ("", "1") or own[0] < "2" or own[3] < "2":
         return None
     area, exchange, line = int(own[:3]) - 200, int(own[3:6]) - 200, int(own[6:])
 

@@ -18,6 +18,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,9 +36,14 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones need not be matched first
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
+PEM_LINE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 PEM_BODY = re.compile(r"^(?:[ \t]*[A-Za-z-]+:[^\n]*\n)*\s*([A-Za-z0-9+/=\s\\nr]+)$")
-TOKEN = re.compile(r"e[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+SEGMENT = re.compile(r"[A-Za-z0-9_-]+")
+TAIL = re.compile(r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# Base64 of a brace and what may follow it in JSON: a quote, a blank, a line break, a tab.
+OBJECT = re.compile(r"e(?:y[JA]|w[o0k])")
+# Where a key may begin behind a border: a DER sequence or an OpenSSH key.
+KEY_START = re.compile(r"(?<=[-_/+])(?:M|b3Blbn)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 
@@ -150,6 +157,22 @@ def signed_token(run: str) -> str | None:
     return algorithm if (len(signature) == size if size else len(signature) >= 128) else None
 
 
+def may_be_object(text: str, start: int, end: int) -> bool:
+    """False where the base64 from start to end cannot be a JSON object; looks at a bounded part."""
+    if (end - start) % 4 == 1:
+        return False
+    part = decode_base64(text[start:min(end, start + 400)])
+    if part is None or end - start <= 400:
+        return part is not None
+    try:
+        json.loads(part.decode("utf-8", "ignore"))
+    except json.JSONDecodeError as e:
+        return e.pos >= 290 or e.msg.startswith("Unterminated")  # cut off, not wrong
+    except RecursionError:
+        return False
+    return False
+
+
 def pem_key(label: str, body: str) -> str | None:
     """Kind of key in a PEM block; encrypted traditional blocks by their headers."""
     m = PEM_BODY.match(body.replace("\\n", "\n").replace("\\r", "").strip() + "\n")
@@ -169,7 +192,7 @@ def confirm(data: bytes | None, depth: int = DEPTH) -> str | None:
     if found:
         return found
     try:
-        inner = data.decode("ascii")
+        inner = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
     for _, _, kind, detail in confirmed(inner, depth - 1):
@@ -177,25 +200,64 @@ def confirm(data: bytes | None, depth: int = DEPTH) -> str | None:
     return None
 
 
+class Spans:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.spans: list[tuple[int, int, str, str]] = []
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)  # the last span that starts before the end
+        return at == 0 or self.spans[at - 1][1] <= start
+
+    def add(self, *span) -> None:
+        at = bisect_left(self.starts, span[0])
+        self.starts.insert(at, span[0])
+        self.spans.insert(at, span)
+
+
+def _pem_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, label, body): every foot with the nearest head before it of the same label."""
+    heads: dict[str, re.Match] = {}
+    for m in PEM_LINE.finditer(text):
+        if m[1] == "BEGIN":
+            heads[m[2]] = m
+        elif head := heads.pop(m[2], None):
+            yield head.start(), m.end(), m[2], text[head.end():m.start()]
+
+
 def confirmed(text: str, depth: int = DEPTH) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, detail) of structurally confirmed secrets, none inside another."""
-    out = []
+    """(start, end, kind, detail) of structurally confirmed secrets, none inside another.
+
+    A token or key may be glued to what stands before it: a token is tried from every place where a JSON
+    object can begin, a key also behind every border inside its run.
+    """
+    held = Spans()
     if "-----BEGIN" in text:
-        for m in PEM.finditer(text):
-            if detail := pem_key(m[1], m[2]):
-                out.append((m.start(), m.end(), "pem", detail))
-    if "." in text and ("eyJ" in text or "ew" in text or "eyA" in text or "eyI" in text):
-        for m in TOKEN.finditer(text):
-            if detail := signed_token(m[0]):
-                out.append((m.start(), m.end(), "token", detail))
-    held = list(out)
+        for start, end, label, body in _pem_blocks(text):
+            if held.free(start, end) and (detail := pem_key(label, body)):
+                held.add(start, end, "pem", detail)
+    end, tail = -1, None
+    for o in OBJECT.finditer(text) if "." in text else ():
+        if o.start() >= end:    # the first candidate of a segment: where it ends, and what follows
+            end = SEGMENT.match(text, o.start()).end()
+            tail = TAIL.match(text, end)
+        if tail and end - o.start() >= 10 and may_be_object(text, o.start(), end) and held.free(o.start(), tail.end()) and (
+                detail := signed_token(text[o.start():tail.end()])):
+            held.add(o.start(), tail.end(), "token", detail)
     for pattern, decode in ((BASE64, decode_base64), (ANY_HEX, decode_hex)):
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, *_ in held):
+            if not held.free(m.start(), m.end()):
                 continue
             if detail := confirm(decode(m[0]), depth):
-                held.append((m.start(), m.end(), "key", detail))
-    return sorted(held)
+                held.add(m.start(), m.end(), "key", detail)
+            elif pattern is BASE64:
+                for k in KEY_START.finditer(text, m.start(), m.end() - 23):
+                    if detail := confirm(decode_base64(text[k.start():m.end()]), depth):
+                        held.add(k.start(), m.end(), "key", detail)
+                        break
+    return held.spans
 
 
 def scan(text: str) -> list[tuple[int, int, str, str]]:
