@@ -314,13 +314,43 @@ def binned_scatter(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 
 # ---------------------------------------------------------------- J6, J7
 
+#: Sums of pairs that a worker holds at once, and numbers of a slice of rows.
+CORRELATION_BYTES = 256 << 20
+SLICE_NUMBERS = 4 << 20
+
+
+def _pair_sums(means: Sequence[float], lo: int, hi: int):
+    """A partition's sums for the pairs of columns lo..hi - 1 with themselves and all behind them: a row for each pair a <= b."""
+    k = len(means)
+
+    def fold(batches):
+        total = np.zeros((6, hi - lo, k - lo))
+        for batch in batches:
+            step = max(1, SLICE_NUMBERS // k)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x = np.empty((part.num_rows, k - lo))
+                for i in range(lo, k):
+                    x[:, i - lo] = part.column(i).to_numpy(zero_copy_only=False)
+                x -= means[lo:]
+                m = 1.0 - np.isnan(x)
+                np.nan_to_num(x, copy=False)
+                xa, ma = x[:, :hi - lo], m[:, :hi - lo]
+                for i, (left, right) in enumerate(((ma, m), (xa, m), (ma, x), (xa * xa, m), (ma, x * x), (xa, x))):
+                    total[i] += left.T @ right
+        for a in range(hi - lo):  # a row of the matrix at a time
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k - lo - a, lo + a)), pa.array(np.arange(lo + a, k)),
+                                              *[pa.array(t[a, a:]) for t in total]], ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+    return fold
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column_a, column_b, corr)`` Pearson, pairwise-complete, all ordered pairs.
 
     One scan finds the means, a second one folds each partition's rows, centred, into
     columns x columns sums (rows, values, squares and products where both are present),
-    which are then added up: the number of scans is the same for any width, with gaps or
-    without.  Undefined values (fewer than two rows, or no spread) are NULL.  Fewer than
+    which are then added up, with gaps or without.  A worker holds at most ``CORRELATION_BYTES``
+    of sums (2,300 columns); wider tables take a scan for each tile of columns that fits.  Undefined values (fewer than two rows, or no spread) are NULL.  Fewer than
     two numeric columns give an empty frame.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
@@ -333,24 +363,12 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     for at in range(0, k, 50):  # one mean for each column
         means += [m or 0.0 for m in values.agg(*[F.avg(f"c{i}") for i in range(at, min(k, at + 50))]).first()]
 
-    def fold(batches):
-        """Sums of a partition: a row for each pair a <= b."""
-        total = np.zeros((6, k, k))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 14):
-                part = batch.slice(at, 1 << 14)
-                x = np.stack([part.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(k)], axis=1)
-                there = ~np.isnan(x)
-                x = np.where(there, x - means, 0.0)
-                m = there.astype(float)
-                total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-        a, b = np.triu_indices(k)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.array(t[a, b]) for t in total]],
-                                         ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
-
     fields = ["n", "sa", "sb", "saa", "sbb", "sab"]
-    sums = values.mapInArrow(fold, "a long, b long, " + ", ".join(f"{f} double" for f in fields)) \
-        .groupBy("a", "b").agg(*[F.sum(f).alias(f) for f in fields])
+    sums = None
+    for lo in range(0, k, step := max(1, CORRELATION_BYTES // (48 * k))):
+        part = values.mapInArrow(_pair_sums(means, lo, min(k, lo + step)), "a long, b long, " + ", ".join(f"{f} double" for f in fields)) \
+            .groupBy("a", "b").agg(*[F.sum(f).alias(f) for f in fields])
+        sums = part if sums is None else sums.unionByName(part)
     va = F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")
     vb = F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n")
     cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
