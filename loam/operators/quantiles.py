@@ -18,6 +18,10 @@ narrowing instead:
 4. a range with min = max is solved; the rest (at most ``cap`` values each)
    are sorted per target and the value at the rank is picked.
 
+Without group columns sketches come first (``bracketed_ranks``): they bound every wanted value from both
+sides, and one more scan counts the values in between; the narrowing above is what is left for very many
+values or columns.
+
 The targets table stays a DataFrame (checkpointed each pass), so the driver
 holds no per-group state.  Interpolation follows the linear rule used by
 pandas/numpy: ``h = (n-1)p``, ``x[floor h] + (h - floor h)(x[floor h + 1] - x[floor h])``.
@@ -27,11 +31,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.stats import clean_double
-from loam.session import materialise
+from loam.session import materialise, remove, stored
 
 BUCKETS = 4096
 DEFAULT_CAP = 200_000
@@ -103,7 +108,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         return direct
     per_prob = _ranks(big, probs, keys)
     wanted = per_prob.select(*keys, F.explode(F.array("k0", "k1")).alias("k"), "n", "lo", "hi").distinct()
-    tv = solve_ranks(data, wanted, keys, cap, small=small)
+    tv = bracketed_ranks(data, wanted) if small else None
+    if tv is None:
+        tv = solve_ranks(data, wanted, keys, cap, small=small)
     v0 = tv.select(*keys, F.col("k").alias("k0"), F.col("value").alias("v0"))
     v1 = tv.select(*keys, F.col("k").alias("k1"), F.col("value").alias("v1"))
     narrowed = (per_prob.join(v0, keys + ["k0"]).join(v1, keys + ["k1"])
@@ -112,6 +119,68 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return direct.unionByName(narrowed)
 
 
+# Rank error of the sketches as a share of the values, with room to spare, and the sketches' own setting.
+SLACK, ACCURACY = 3e-4, 10_000
+#: Distinct values inside all brackets that the driver may take; beyond that ranges are narrowed by jobs.
+BRACKET_VALUES = 2_000_000
+#: Columns whose brackets are written into one expression.
+BRACKET_COLUMNS = 40
+
+
+def bracketed_ranks(data: DataFrame, wanted: DataFrame) -> DataFrame | None:
+    """``solve_ranks`` for few columns in two scans: ``wanted`` (column_name, k, n, lo, hi), the result (column_name, k, value).
+
+    Mergeable sketches bound each wanted value from both sides (one scan); values are then counted by
+    zone, those inside a bracket by value (one scan, combined in the map tasks), and every rank is
+    read off.  None where the columns or the values in brackets are too many, or a bracket missed.
+    """
+    ranks: dict[str, list[tuple[int, int]]] = {}
+    for r in wanted.select("column_name", "k", "n").limit(64 * BRACKET_COLUMNS).collect():
+        ranks.setdefault(r["column_name"], []).append((r["k"], r["n"]))
+    if not ranks or len(ranks) > BRACKET_COLUMNS:
+        return None
+    probs = sorted({min(max(k / (n - 1) + s * SLACK, 0.0), 1.0) for rs in ranks.values() for k, n in rs for s in (-1, 1)})
+    here = data.where(F.col("column_name").isin(*ranks))
+    sketch = {r["column_name"]: dict(zip(probs, r["q"])) for r in here.groupBy("column_name").agg(
+        F.percentile_approx("value", probs, ACCURACY).alias("q")).collect()}
+    brackets: dict[str, list[list[float]]] = {}
+    for c, rs in ranks.items():
+        spans = sorted([sketch[c][min(max(k / (n - 1) + s * SLACK, 0.0), 1.0)] for s in (-1, 1)] for k, n in rs)
+        merged = [spans[0]]
+        for lo, hi in spans[1:]:
+            if lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi])
+        brackets[c] = merged
+    v, zone = F.col("value"), F.lit(None).cast("int")
+    for c, spans in brackets.items():
+        own = F.when(v < spans[0][0], 0)
+        for i, (lo, hi) in enumerate(spans):
+            own = own.when(v < lo, 2 * i).when(v <= hi, 2 * i + 1)
+        zone = F.when(F.col("column_name") == c, own.otherwise(2 * len(spans))).otherwise(zone)
+    counts, path = stored(here.withColumn("zone", zone).groupBy(
+        "column_name", "zone", F.when(F.col("zone") % 2 == 1, v).alias("v")).agg(F.count("*").alias("n")))
+    try:
+        if counts.count() > BRACKET_VALUES:
+            return None
+        held: dict[str, list[tuple]] = {}
+        for r in counts.collect():
+            held.setdefault(r["column_name"], []).append((r["zone"], r["v"] if r["v"] is not None else 0.0, r["n"]))
+    finally:
+        remove(data.sparkSession, path)
+    out = []
+    for c, rs in ranks.items():
+        rows = sorted(held.get(c, []))
+        ends = np.cumsum([n for _, _, n in rows])
+        for k, _ in rs:
+            at = int(np.searchsorted(ends, k, "right"))
+            if at == len(rows) or rows[at][0] % 2 == 0:
+                return None
+            out.append((c, k, float(rows[at][1])))
+    return data.sparkSession.createDataFrame(out, "column_name string, k long, value double")
+
+
 def kth_smallest(df: DataFrame, column: str, k: int, cap: int = DEFAULT_CAP) -> float | None:
     """Exact value of 0-based rank ``k`` among the non-missing values of ``column``."""
     data = long_values(df, [column])
