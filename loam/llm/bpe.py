@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from loam.llm.common import text_or_empty
 
 #: Entries of the memo tables of a worker; a full table is emptied and filled anew.
-MEMO_PIECES = 450_000
-MEMO_PAIRS = 600_000
+MEMO_PIECES = 300_000
+MEMO_PAIRS = 400_000
 
 _WORKER: dict[bytes, "Encoder"] = {}
 _TOKENS: dict[bytes, dict[int, bytes]] = {}
@@ -97,7 +97,7 @@ class Encoder:
         if len(vocabulary.tokens) > 1 << 16:
             raise ValueError("pairs of tokens are packed into 32 bits")
         self.pieces = regex.compile(pattern).findall
-        self.whole = {t: [i] for t, i in zip(vocabulary.tokens, vocabulary.ids)}
+        self.whole = {t: (i,) for t, i in zip(vocabulary.tokens, vocabulary.ids)}
         self.length = [len(t) for t in vocabulary.tokens]
         self.automaton = ahocorasick.Automaton()
         known = {t: i for i, t in enumerate(vocabulary.tokens) if vocabulary.reachable[i]}
@@ -106,14 +106,14 @@ class Encoder:
         self.automaton.make_automaton()
         self.shorter = [next((known[t[:cut]] for cut in range(len(t) - 1, 0, -1) if t[:cut] in known), -1)
                         for t in vocabulary.tokens]
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
         self.fits: dict[int, bool] = {}
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8")
         found = self.whole.get(raw)
         if found is None:
-            found = [self.v.ids[t] for t in self.split(raw)]
+            found = tuple(self.v.ids[t] for t in self.split(raw))
         if len(self.memo) >= MEMO_PIECES:
             self.memo.clear()
         if len(piece) <= 64:
