@@ -101,8 +101,9 @@ def streaming_clean_orders_customer(spark, sf_dir):
     src = orders_customers_faulty(spark, sf_dir)
     plan, _cleaned = CleaningPlan(target="o_orderpriority").fit(src)
     landing = sinks.new_output_path(spark, "landing")
-    src.repartition(4).write.parquet(landing)
-    stream = read_parquet_stream(spark, landing, src.schema)
+    src.write.parquet(landing)
+    # a batch has a file for every core
+    stream = read_parquet_stream(spark, landing, src.schema, max_files=max(1, spark.sparkContext.defaultParallelism))
     out = run_available(clean_stream(plan, stream))
     return spark.read.parquet(out).withColumn("c_acctbal", F.round("c_acctbal", 4))
 
