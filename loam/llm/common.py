@@ -44,7 +44,8 @@ def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
     name, parts = f"llm_{tag}_{uuid.uuid4().hex}", shuffle_parts(spark)
     path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{name}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.repartition(parts, key).write.option("path", path.toString()).bucketBy(parts, key).sortBy(key).saveAsTable(name)
+    # zstd: these tables stay to the end of an operator, and texts take a good deal less room than by snappy
+    df.repartition(parts, key).write.option("path", path.toString()).option("compression", "zstd").bucketBy(parts, key).sortBy(key).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     jvm.System.gc()
