@@ -12,7 +12,7 @@ import re
 from functools import lru_cache
 from itertools import product
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ISO stands for the engine's own timestamp text, with all of its parts, fractions and zones.
@@ -33,6 +33,7 @@ LAST_SHORT_YEAR = 2068
 
 # Weekday names before a date say nothing new.
 _WEEKDAY = r"^(?i)(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?,? +(?=[0-9A-Z])"
+_WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 
 # How a run of a pattern letter may be written.
 _RUNS = {"yyyy": ["9999"], "yy": ["99"], "M": ["9", "99"], "d": ["9", "99"], "H": ["9", "99"], "h": ["9", "99"], "MM": ["99"], "dd": ["99"],
@@ -100,18 +101,15 @@ def shapes() -> dict[str, tuple[str, ...]]:
 def _plain(c: Column) -> Column:
     """The text without blanks at its ends and without a weekday; NULL if it is too long to be a date."""
     text = F.trim(F.when(F.char_length(c) <= LONGEST, c))
-    return F.when(text.rlike("^[A-Za-z]"), F.regexp_replace(text, _WEEKDAY, "")).otherwise(text)
+    return F.when(F.lower(F.substring(text, 1, 3)).isin(*_WEEKDAYS), F.regexp_replace(text, _WEEKDAY, "")).otherwise(text)
 
 
-def may_be_date(c: Column) -> Column:
-    """Whether some format may read the text."""
-    return F.coalesce(_plain(c).rlike(DATE_TEXT), F.lit(False))
-
-
-def date_shape(c: Column) -> Column:
-    """The shape of a text that may be a date, NULL for any other text."""
-    return F.when(may_be_date(c), F.translate(
-        _plain(c), "012345678BCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "9" * 9 + "A" * 51))
+def with_shapes(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``shape`` of a text that may be a date (NULL for any other) and ``bare``: nothing was cut off the text."""
+    plain = df.withColumn("plain_", _plain(F.col(text)))  # a column, so that it is worked out once
+    shape = F.translate("plain_", "012345678BCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "9" * 9 + "A" * 51)
+    return plain.withColumn("shape", F.when(F.col("plain_").rlike(DATE_TEXT), shape)) \
+        .withColumn("bare", F.col("plain_") == F.col(text)).drop("plain_")
 
 
 def formats_of(seen: list[str]) -> list[str]:
