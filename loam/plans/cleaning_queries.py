@@ -480,7 +480,9 @@ _GRAMMAR = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "y
 
 def _grammar_texts(spark, sf_dir):
     """Every order's day, with a time of the day made from its key, in each format; the ISO week by its parts."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderdate").cast("timestamp") + F.expr(
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    # few bytes of a file become many texts: spread by cores, not by the splits of the file
+    o = o.repartition(4 * spark.sparkContext.defaultParallelism).select("o_orderkey", (F.col("o_orderdate").cast("timestamp") + F.expr(
         "make_interval(0, 0, 0, 0, 0, 0, o_orderkey % 86400)")).alias("t"))
     week = F.format_string("%04d-W%02d-%d", F.extract(F.lit("YEAROFWEEK"), "t"), F.weekofyear("t"), F.weekday("t") + 1)
     return o.select("o_orderkey", *[F.date_format("t", f).alias(f"f{i}") for i, f in enumerate(_GRAMMAR)], week.alias("week"))
