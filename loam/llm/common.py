@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.session import ensure_checkpoint_dir
+from loam.session import LARGE_ROWS, ensure_checkpoint_dir
 
 # ASCII white space that separates words in every operator of this package.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -33,9 +33,11 @@ def saved(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path.toString())
 
 
-def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, tag: str, dealt: bool = False) -> DataFrame:
     """Like ``saved``, but bucketed by ``key``: later joins on it leave these rows where they are.
 
+    ``dealt``: equal keys already stand in one task, which writes its own buckets (of large rows) without another shuffle.
+
     The files are an unmanaged table in the checkpoint folder; its catalog entry is only
     needed while the plan is resolved and goes at once.
     """
@@ -45,7 +47,7 @@ def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
     path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{name}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     # zstd: these tables stay to the end of an operator, and texts take a good deal less room than by snappy
-    df.repartition(parts, key).write.option("path", path.toString()).option("compression", "zstd").bucketBy(parts, key).sortBy(key).saveAsTable(name)
+    (df if dealt else df.repartition(parts, key)).write.options(**(LARGE_ROWS if dealt else {})).option("path", path.toString()).option("compression", "zstd").bucketBy(parts, key).sortBy(key).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     jvm.System.gc()
@@ -53,9 +55,10 @@ def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete a table that ``saved`` wrote and that nothing reads any more."""
+    """Delete a table that ``saved`` or ``bucketed`` wrote and that nothing reads any more."""
     spark = df.sparkSession
-    for name in {f[: f.index("/", f.index("/llm-") + 1)] for f in df.inputFiles() if "/llm-" in f}:
+    starts = {f: max(f.rfind("/llm-"), f.rfind("/llm_")) for f in df.inputFiles()}
+    for name in {f[: f.index("/", at + 1)] for f, at in starts.items() if at >= 0}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loam.llm import (bpe, decontaminate, decontaminate_sql, exact_dedup, katz, language, line_quality, manifest_sql, merkle, mixing,
                       mixing_sql, pii, secret_scan, simhash, suffix_dedup, whitening)
-from loam.llm.common import held_out
+from loam.llm.common import dropped, held_out
 from loam.sources.readers import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +50,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = held_out("doc_id", 7)
     model = katz.fit(docs.where(~out), least=1)
-    return katz.score(model, docs).select(
+    scored = katz.score(model, docs)
+    dropped(model.table)  # its answers are written
+    return scored.select(
         "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score", "score")
 
