@@ -15,6 +15,7 @@ the executors, which build the automaton once per Python worker.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -22,12 +23,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loam.llm.common import text_or_empty
 
 #: Entries of the memo tables of a worker; a full table is emptied and filled anew.
 MEMO_PIECES = 300_000
 MEMO_PAIRS = 400_000
+#: Ids that ``Codec.round_trip`` hands back at once, and the bytes decoded from them.
+PART_IDS = 1 << 18
 
 _WORKER: dict[bytes, "Encoder"] = {}
 _TOKENS: dict[bytes, dict[int, bytes]] = {}
@@ -183,40 +187,60 @@ def decode(ids: list[int], tokens: dict[int, bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids))
 
 
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, np.int32)))
+
+
 class Codec:
     """Encodes and decodes columns with one vocabulary and split pattern."""
 
     def __init__(self, df: DataFrame, ranks_path: str, pattern: str):
         vocabulary = Vocabulary(read_ranks(ranks_path))
         shared = df.sparkSession.sparkContext.broadcast((vocabulary, pattern))
-        name = f"{ranks_path}\0{pattern}".encode()
+        name, most = f"{ranks_path}\0{pattern}".encode(), PART_IDS
 
         def worker() -> Encoder:
             if name not in _WORKER:
                 _WORKER[name] = Encoder(*shared.value)
             return _WORKER[name]
 
+        def tokens() -> dict[int, bytes]:
+            if name not in _TOKENS:  # a worker that only decodes needs no automaton
+                _TOKENS[name] = dict(zip(shared.value[0].ids, shared.value[0].tokens))
+            return _TOKENS[name]
+
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
-            e, values, ends = worker(), [], [0]
-            total = 0
-            for t in texts:
-                ids = np.array(e.encode(t.as_py()), np.int32)
-                values.append(ids)
-                total += len(ids)
-                ends.append(total)
-            flat = np.concatenate(values) if values else np.empty(0, np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            e = worker()
+            return _lists([np.array(e.encode(t.as_py()), np.int32) for t in texts])
 
         @F.arrow_udf("binary")
         def decode_ids(ids: pa.Array) -> pa.Array:
-            if name not in _TOKENS:  # a worker that only decodes needs no automaton
-                _TOKENS[name] = dict(zip(shared.value[0].ids, shared.value[0].tokens))
-            tokens = _TOKENS[name]
-            return pa.array([decode(x.values.to_numpy(zero_copy_only=False).tolist(), tokens) for x in ids], pa.binary())
+            known = tokens()
+            return pa.array([decode(x.values.to_numpy(zero_copy_only=False).tolist(), known) for x in ids], pa.binary())
+
+        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            e, known = worker(), tokens()
+
+            def part(keys: pa.Array, ids: list[np.ndarray], raws: list[bytes]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([keys, _lists(ids), pa.array(raws, pa.binary())], ["key", "ids", "decoded"])
+
+            for b in batches:
+                ids, raws, at, size = [], [], 0, 0
+                for row, text in enumerate(b.column(1)):
+                    found = e.encode(text.as_py())
+                    raws.append(decode(found, known))
+                    ids.append(np.array(found, np.int32))
+                    size += len(found)
+                    if size >= most:
+                        yield part(b.column(0).slice(at, len(ids)), ids, raws)
+                        ids, raws, at, size = [], [], row + 1, 0
+                if ids:
+                    yield part(b.column(0).slice(at, len(ids)), ids, raws)
 
         # otherwise Spark folds both into one step that encodes once more for decoding
-        self._encode, self._decode = encode.asNondeterministic(), decode_ids
+        self._encode, self._decode, self._both = encode.asNondeterministic(), decode_ids, both
 
     def encode(self, text: Column) -> Column:
         """Token ids of a non-NULL text column."""
@@ -226,6 +250,16 @@ class Codec:
         """Bytes of an array column of ids."""
         return self._decode(ids)
 
+    def round_trip(self, rows: DataFrame) -> DataFrame:
+        """key, ids, decoded of rows (key, non-NULL text).
+
+        One worker encodes a text and decodes its ids, so a task needs one Python process, not one for each
+        step, and what it hands back comes in parts of about ``PART_IDS`` ids, however long the rows it got.
+        """
+        key = rows.schema.fields[0]
+        return rows.mapInArrow(self._both, T.StructType([key, T.StructField("ids", T.ArrayType(T.IntegerType())),
+                                                         T.StructField("decoded", T.BinaryType())]))
+
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                      key: str = "doc_id") -> DataFrame:
@@ -234,9 +268,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     NULL text counts as empty and gives no ids.  Every row is encoded on its own, so
     repeated rows repeat and long texts need memory for one text at a time.
     """
-    codec = Codec(docs, ranks_path, pattern)
-    encoded = docs.select(key, codec.encode(text_or_empty(text)).alias("ids"))
-    return encoded.select(key, "ids", codec.decode(F.col("ids")).alias("decoded"))
+    return Codec(docs, ranks_path, pattern).round_trip(docs.select(key, text_or_empty(text).alias("text")))
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
