@@ -11,9 +11,8 @@ enough to decide all of them exactly:
 2. suffixes at these anchors, ``LENGTH + SPREAD`` bytes deep, are sorted by a merge sort:
    every task sorts its own run of distinct suffixes and sends it front-coded (length of
    the prefix shared with the suffix before, then the rest) cut at splitters; for each
-   range a loser tree merges the runs.  Its matches compare the prefix lengths that both
-   sides share with the last winner and look at bytes only behind equal ones, so no known
-   prefix is compared again, and the prefix shared with the neighbours falls out;
+   range the runs are merged, and neighbours are compared as rows of a byte matrix for
+   the prefix that they share;
 3. an anchor that shares ``LENGTH`` or more bytes with a neighbour covers those bytes;
 4. strings that start before the first anchor of a repeat are left: their digests
    (95 bits) are counted, for the few places where step 3 leaves the answer open.
@@ -31,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -45,6 +45,8 @@ SPREAD = 100
 CHUNK = 1 << 17
 #: Suffixes that a task sorts as one run.
 RUN = 150_000
+#: Neighbours that are compared at once.
+BLOCK = 1 << 12
 #: Entries that one range should get.
 RANGE = 100_000
 #: Sampled suffixes per range that the splitters come from.
@@ -54,30 +56,48 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
+def _lowest(raw: bytes, at: int, count: int, spread: int) -> np.ndarray:
+    """For each of ``count`` starts from ``at`` on, the place of the next ``spread`` whose 8 bytes hash lowest."""
+    places = min(count + spread, len(raw) - at - 7)
+    mixed = np.ndarray((places,), "<u8", raw, at, (1,)).astype(np.uint64)  # the 8 bytes at every place
+    mixed *= _MIX
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= _MIX
+    low = (mixed & ~_LOW) | np.arange(places, dtype=np.uint64)  # equal hashes: the first place
+    span = 1
+    while 2 * span <= spread:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if spread > span:
+        low = np.minimum(low[: span - spread], low[spread - span:])
+    return (low[:count] & _LOW).astype(np.int64) + at
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each of ``first`` on, one range behind the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def anchors_of(raw: bytes, sizes: np.ndarray, length: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, first, last): ``anchors`` of each of several texts, which stand one behind the other in ``raw``."""
+    begin, strings = np.cumsum(sizes) - sizes, np.maximum(sizes - length + 1, 0)
+    if not strings.any():
+        return (np.empty(0, np.int64),) * 4
+    text, start = np.repeat(np.arange(len(sizes)), strings), _ranges(begin, strings)
+    windows = len(raw) - length + 1
+    place = np.concatenate([_lowest(raw, at, min(CHUNK, windows - at), spread) for at in range(0, windows, CHUNK)])[start]
+    first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])))
+    last = np.append(first[1:], len(start)) - 1
+    text = text[first]
+    return text, place[first] - begin[text], start[first] - begin[text], start[last] - begin[text]
+
+
 def anchors(raw: bytes, length: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, first, last): every anchor and the first and last start of a string that has it."""
     strings = len(raw) - length + 1
     if strings <= 0:
         return (np.empty(0, np.int64),) * 3
-    found = []
-    for at in range(0, strings, CHUNK):
-        count = min(CHUNK, strings - at)
-        part = np.frombuffer(raw, np.uint8, min(count + spread + 7, len(raw) - at), at)
-        places = len(part) - 7
-        mixed = np.zeros(places, np.uint64)
-        for k in range(8):
-            mixed |= part[k: places + k].astype(np.uint64) << np.uint64(8 * k)
-        mixed *= _MIX
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= _MIX
-        low = (mixed & ~_LOW) | np.arange(places, dtype=np.uint64)  # equal hashes: the first place
-        span = 1
-        while 2 * span <= spread:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        if spread > span:
-            low = np.minimum(low[: span - spread], low[spread - span:])
-        found.append((low[:count] & _LOW).astype(np.int64) + at)
+    found = [_lowest(raw, at, min(CHUNK, strings - at), spread) for at in range(0, strings, CHUNK)]
     place = np.concatenate(found)
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     return place[first], first, np.append(first[1:], strings) - 1
@@ -87,17 +107,35 @@ def _anchor_table(texts: DataFrame, length: int, spread: int) -> DataFrame:
     """row, place, first, last, piece (hash of what equal strings share behind the anchor)."""
     known = length - spread + 1
 
+    def found(rows: list[int], raws: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(raws) == 1:
+            raw, parts = raws[0], anchors(raws[0], length, spread)
+            parts = (np.zeros(len(parts[0]), np.int64), *parts)
+        else:
+            raw = b"".join(raws)
+            parts = anchors_of(raw, np.array([len(r) for r in raws], np.int64), length, spread)
+        text, place, first, last = parts
+        if len(place):
+            begin = np.cumsum([0, *map(len, raws[:-1])])
+            digest = xxhash.xxh64_digest
+            piece = np.frombuffer(b"".join([digest(raw[p: p + known]) for p in (place + begin[text]).tolist()]), ">u8")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(rows, np.int64)[text]), *[pa.array(x.astype(np.int32)) for x in (place, first, last)],
+                 pa.array(piece.astype(np.uint64).view(np.int64))], ["row", "place", "first", "last", "piece"])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, raws, size = [], [], 0
             for row, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 raw = raw.as_py()
-                place, first, last = anchors(raw, length, spread)
-                if len(place):
-                    digest = xxhash.xxh64_digest
-                    piece = np.frombuffer(b"".join([digest(raw[p: p + known]) for p in place.tolist()]), ">u8")
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(place), row, np.int64)), *[pa.array(x.astype(np.int32)) for x in (place, first, last)],
-                         pa.array(piece.astype(np.uint64).view(np.int64))], ["row", "place", "first", "last", "piece"])
+                if raws and size + len(raw) > CHUNK:  # short texts together, a long one by itself
+                    yield from found(rows, raws)
+                    rows, raws, size = [], [], 0
+                rows.append(row)
+                raws.append(raw)
+                size += len(raw)
+            if raws:
+                yield from found(rows, raws)
 
     return texts.select("row", "raw").mapInArrow(
         find, "row long, place int, first int, last int, piece long")
@@ -105,22 +143,23 @@ def _anchor_table(texts: DataFrame, length: int, spread: int) -> DataFrame:
 
 # --- merge sort of front-coded runs ---------------------------------------------------------------------------------
 
-def common_prefix(a: bytes, b: bytes, at: int) -> int:
-    """Length of the common prefix of a and b, known to be at least ``at``."""
-    most = min(len(a), len(b))
-    while at < most:
-        x, y = a[at: at + 32], b[at: at + 32]
-        if x != y:
-            n = min(len(x), len(y))
-            apart = int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")
-            return at + (n - (apart.bit_length() + 7) // 8 if apart else n)
-        at += 32
-    return most
+def _prefixes(ordered: list[bytes]) -> np.ndarray:
+    sizes = np.fromiter(map(len, ordered), np.int64, len(ordered))
+    width = max(int(sizes.max(initial=0)), 1)
+    out = np.zeros(len(ordered), np.int64)
+    for at in range(0, len(ordered) - 1, BLOCK):
+        some = ordered[at: at + BLOCK + 1]
+        flat = np.frombuffer(b"".join([s.ljust(width, b"\0") for s in some]), np.uint8).reshape(len(some), width)
+        differ = flat[1:] != flat[:-1]
+        first = differ.argmax(1)
+        first[~differ[np.arange(len(first)), first]] = width
+        out[at + 1: at + len(some)] = np.minimum(first, np.minimum(sizes[at: at + len(first)], sizes[at + 1: at + len(some)]))
+    return out
 
 
 def prefixes(ordered: list[bytes]) -> list[int]:
     """Length of the prefix that each of the sorted strings shares with the one before (0 for the first)."""
-    return [0] + [common_prefix(a, b, 0) for a, b in zip(ordered, ordered[1:])]
+    return _prefixes(ordered).tolist()
 
 
 def front_code(ordered: list[bytes], shared: list[int]) -> tuple[bytes, bytes]:
@@ -143,63 +182,22 @@ def front_decode(numbers: bytes, rest: bytes) -> tuple[list[bytes], list[int]]:
     return out, shared
 
 
-def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
-    """(run, index, shared prefix with the suffix put out before) of all runs' suffixes in order.
+def _merged(runs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all runs' suffixes (counted through the runs) in order, and the prefix that each shares with the one before.
 
-    A loser tree.  Every contender carries the length of the prefix that it shares with
-    the last suffix put out.  Of two contenders the one that shares more is smaller (it
-    agrees with that suffix further); only if both share the same length are bytes
-    compared, from there on, and the loser then knows its prefix with the winner.
+    Python's sort finds runs that are in order and merges them; equal suffixes stay in the order of their runs.
     """
-    k = 1
-    while k < len(runs):
-        k *= 2
-    strings = [r[0] for r in runs] + [[]] * (k - len(runs))
-    shares = [r[1] for r in runs] + [[]] * (k - len(runs))
-    at = [0] * k
-    now: list[bytes | None] = [s[0] if s else None for s in strings]
-    known = [0] * k
-
-    def duel(a: int, b: int) -> tuple[int, int]:
-        """(winner, loser); the loser's known prefix becomes that with the winner."""
-        x, y = now[a], now[b]
-        if y is None:
-            return a, b
-        if x is None:
-            return b, a
-        if known[a] != known[b]:
-            return (a, b) if known[a] > known[b] else (b, a)
-        p = common_prefix(x, y, known[a])
-        if x[p:p + 1] < y[p:p + 1] or (len(x) == p == len(y) and a < b):
-            known[b] = p
-            return a, b
-        known[a] = p
-        return b, a
-
-    losers = [0] * k
-    level = list(range(k))
-    base = k
-    while len(level) > 1:  # first tournament, bottom up
-        base //= 2
-        up = []
-        for j in range(0, len(level), 2):
-            w, lost = duel(level[j], level[j + 1])
-            losers[base + j // 2] = lost
-            up.append(w)
-        level = up
-    winner = level[0]
-    while now[winner] is not None:
-        yield winner, at[winner], known[winner]
-        at[winner] += 1
-        if at[winner] < len(strings[winner]):
-            now[winner] = strings[winner][at[winner]]
-            known[winner] = shares[winner][at[winner]]  # with the suffix just put out, from the front coding
-        else:
-            now[winner] = None
-        node = (winner + k) // 2
-        while node:
-            winner, losers[node] = duel(winner, losers[node])
-            node //= 2
+    strings = [s for r in runs for s in r]
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    return np.array(order, np.int64), _prefixes([strings[i] for i in order])
+
+
+def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
+    """(run, index, shared prefix with the suffix put out before) of all runs' suffixes in order."""
+    order, shared = _merged([r[0] for r in runs])
+    sizes = np.array([len(r[0]) for r in runs], np.int64)
+    run, index = np.repeat(np.arange(len(runs)), sizes), _ranges(np.zeros(len(runs), np.int64), sizes)
+    return zip(run[order].tolist(), index[order].tolist(), shared.tolist())
 
 
 _BLOB = ("bucket int, run string, numbers binary, rest binary, twice binary, guards int, "
@@ -218,15 +216,22 @@ def _runs(jobs: DataFrame, depth: int, splitters: list[bytes], run_size: int) ->
     """
     shared_cuts = jobs.sparkSession.sparkContext.broadcast(splitters)
 
-    def flush(held: dict[bytes, list], run: str, cuts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ordered = sorted(held)
-        shared = prefixes(ordered)
+    def flush(strings: list[bytes], held: list[tuple[np.ndarray, ...]], run: str, cuts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        order = sorted(range(len(strings)), key=strings.__getitem__)
+        strings = [strings[i] for i in order]
+        members = [np.concatenate(x)[order] for x in zip(*held)]
+        shared, sizes = _prefixes(strings), np.fromiter(map(len, strings), np.int64, len(strings))
+        new = np.append(True, (shared[1:] < sizes[1:]) | (sizes[1:] != sizes[:-1]))
+        start = np.flatnonzero(new)
+        twice = np.diff(np.append(start, len(strings))) > 1
         rows = []
-        done = [(*m, len(s)) for s in ordered if len(held[s]) > 1 for m in held[s]]
-        for k in range(0, len(done), 4096):  # answers known here, spread over the ranges
-            part = list(zip(*done[k: k + 4096]))
+        several = np.flatnonzero(twice[np.cumsum(new) - 1])
+        for k in range(0, len(several), 4096):  # answers known here, spread over the ranges
+            at = several[k: k + 4096]
             bucket = xxhash.xxh32_intdigest(f"{run}{k}") % (len(cuts) + 1)
-            rows.append((bucket, run, None, None, None, 0, *map(list, part)))
+            rows.append((bucket, run, None, None, None, 0, *[m[at] for m in members], sizes[at].astype(np.int32)))
+        ordered, shared = [strings[i] for i in start.tolist()], shared[start].tolist()
+        own = [np.where(twice, -1, m[start]).astype(m.dtype) for m in members]
         bounds = [0]
         for c in cuts:
             bounds.append(bisect_right(ordered, c, bounds[-1]))
@@ -235,12 +240,9 @@ def _runs(jobs: DataFrame, depth: int, splitters: list[bytes], run_size: int) ->
             lo, hi = max(a - 1, 0), min(b + 1, len(ordered))  # with the neighbours beyond the cuts
             if lo == hi:
                 continue
-            some = ordered[lo:hi]
-            numbers, rest = front_code(some, shared[lo:hi])
-            twice = np.packbits([len(held[s]) > 1 for s in some]).tobytes()
-            own = [held[s][0] if len(held[s]) == 1 else (-1,) * 5 for s in ordered[a:b]]
-            rows.append((bucket, run, numbers, rest, twice, 2 * (lo < a) + (hi > b),
-                         *(map(list, zip(*own)) if own else [[]] * 5), []))
+            numbers, rest = front_code(ordered[lo:hi], shared[lo:hi])
+            rows.append((bucket, run, numbers, rest, np.packbits(twice[lo:hi]).tobytes(), 2 * (lo < a) + (hi > b),
+                         *[m[a:b] for m in own], np.empty(0, np.int32)))
         for k in range(0, len(rows), 64):
             part = list(zip(*rows[k: k + 64]))
             yield pa.RecordBatch.from_arrays(
@@ -250,20 +252,24 @@ def _runs(jobs: DataFrame, depth: int, splitters: list[bytes], run_size: int) ->
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = shared_cuts.value
-        held: dict[bytes, list] = {}
-        size = n = 0
-        task = TaskContext.get().partitionId()
+        strings: list[bytes] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        n, task = 0, TaskContext.get().partitionId()
         for b in batches:
             for row, raw, *lists in zip(b.column(0).to_pylist(), b.column(1), *[b.column(k) for k in range(2, 6)]):
                 raw = raw.as_py()
-                for place, first, last, piece in zip(*[x.values.to_pylist() for x in lists]):
-                    held.setdefault(raw[place: place + depth], []).append((row, place, first, last, piece))
-                    size += 1
-                    if size >= run_size:
-                        yield from flush(held, f"{task}-{n}", cuts)
-                        held, size, n = {}, 0, n + 1
-        if held:
-            yield from flush(held, f"{task}-{n}", cuts)
+                lists = [x.values.to_numpy(zero_copy_only=False) for x in lists]
+                at = 0
+                while at < len(lists[0]):
+                    z = min(len(lists[0]), at + run_size - len(strings))
+                    strings += [raw[p: p + depth] for p in lists[0][at:z].tolist()]
+                    held.append((np.full(z - at, row, np.int64), *[x[at:z] for x in lists]))
+                    at = z
+                    if len(strings) >= run_size:
+                        yield from flush(strings, held, f"{task}-{n}", cuts)
+                        strings, held, n = [], [], n + 1
+        if strings:
+            yield from flush(strings, held, f"{task}-{n}", cuts)
 
     return jobs.mapInArrow(sort, _BLOB)
 
@@ -271,35 +277,27 @@ def _runs(jobs: DataFrame, depth: int, splitters: list[bytes], run_size: int) ->
 def _merge_ranges(blobs: DataFrame) -> DataFrame:
     """row, place, first, last, piece, shared: the longest prefix that the suffix shares with any other."""
     def merged(table: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in range(6)]
-        runs, members, guards, doubles = [], [], [], []
-        for r in table.to_pylist():
-            if r["numbers"] is None:
-                for k, name in enumerate([*_FIELDS, "shared"]):
-                    out[k] += r[name]
+        runs, who, members, answers, n = [], [], [], [], 0
+        for numbers, rest, twice, guards, *lists in zip(*[table[c] for c in ("numbers", "rest", "twice", "guards", *_FIELDS, "shared")]):
+            lists = [x.values.to_numpy(zero_copy_only=False) for x in lists]
+            if not numbers.is_valid:
+                answers.append(lists)
                 continue
-            strings, shared = front_decode(r["numbers"], r["rest"])
-            runs.append((strings, shared))
-            guards.append((bool(r["guards"] & 2), bool(r["guards"] & 1)))
-            doubles.append(np.unpackbits(np.frombuffer(r["twice"], np.uint8))[: len(strings)].tolist())
-            members.append(list(zip(*[r[name] for name in _FIELDS])))
-        before = None  # member put out last and its prefix with the one before it
-        for run, index, shared in merge(runs) if runs else ():
-            if before is not None and before[0] is not None:
-                for k, v in enumerate(before[0]):
-                    out[k].append(v)
-                out[5].append(max(before[1], shared))
-            lead, tail = guards[run]
-            inside = index - lead
-            member = members[run][inside] if 0 <= inside < len(members[run]) else None
-            if member is not None and doubles[run][index]:
-                member = None  # its places are answered already
-            before = (member, shared)
-        if before is not None and before[0] is not None:
-            for k, v in enumerate(before[0]):
-                out[k].append(v)
-            out[5].append(before[1])
-        return pa.table([pa.array(x, t) for x, t in zip(out, _KINDS)], names=[*_FIELDS, "shared"])
+            strings = front_decode(numbers.as_py(), rest.as_py())[0]
+            runs.append(strings)
+            own = np.full(len(strings), -1, np.int64)  # the neighbours beyond the cuts belong to other ranges
+            own[guards.as_py() >> 1:][: len(lists[0])] = np.arange(n, n + len(lists[0]))
+            own[np.unpackbits(np.frombuffer(twice.as_py(), np.uint8))[: len(strings)] == 1] = -1  # their places are answered already
+            who.append(own)
+            members.append(lists[:-1])
+            n += len(lists[0])
+        if runs:
+            order, shared = _merged(runs)
+            own = np.concatenate(who)[order]
+            shared = np.maximum(shared, np.append(shared[1:], 0))  # with the one before or behind
+            own, shared = own[own >= 0], shared[own >= 0]
+            answers.append([*[np.concatenate(x)[own] for x in zip(*members)], shared])
+        return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(zip(*answers), _KINDS)], names=[*_FIELDS, "shared"])
 
     return blobs.groupBy("bucket").applyInArrow(merged, _SORTED)
 
@@ -350,15 +348,23 @@ def _open_ranges(found: DataFrame, length: int) -> DataFrame:
     per_row = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*_FIELDS[1:], "shared"))).alias("m")) \
         .select("row", *[F.col(f"m.{c}").alias(c) for c in (*_FIELDS[1:], "shared")])
 
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t.to_pandas_dtype())) for x, t in zip(zip(*held), [*_KINDS, *[pa.int32()] * 2])],
+                                          [*_FIELDS, "shared", "lo", "hi"])
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            held, size = [], 0
             for row, *lists in zip(b.column(0).to_pylist(), *[b.column(k) for k in range(1, 6)]):
                 place, first, last, piece, shared = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
-                lo, hi = open_ranges(place, first, last, shared, length)
-                ints = [pa.array(x.astype(np.int32)) for x in (place, first, last, shared, lo, hi)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(place), row, np.int64)), *ints[:3], pa.array(piece), *ints[3:]],
-                    [*_FIELDS, "shared", "lo", "hi"])
+                held.append((np.full(len(place), row, np.int64), place, first, last, piece, shared,
+                             *open_ranges(place, first, last, shared, length)))
+                size += len(place)
+                if size >= 1 << 16:
+                    yield packed(held)
+                    held, size = [], 0
+            if held:
+                yield packed(held)
 
     return per_row.mapInArrow(mark, _SORTED + ", lo int, hi int")
 
@@ -383,6 +389,15 @@ def _open_strings(texts: DataFrame, marked: DataFrame, length: int) -> DataFrame
     kinds = [pa.int32(), *[pa.binary()] * 6]
     names = ["bucket", "h1", "h2", "n", "asks", "row", "place"]
 
+    def digest_order(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the digests, and which in that order differ from the one before."""
+        order = np.argsort(h1)
+        apart, rest = np.diff(h1[order]) != 0, np.diff(h2[order]) != 0
+        if (rest & ~apart).any():  # the second halves matter only where first ones are equal
+            order = np.lexsort((h2, h1))
+            apart, rest = np.diff(h1[order]) != 0, np.diff(h2[order]) != 0
+        return order, np.append(True, apart | rest)
+
     def flush(held: list[tuple[bytes, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         """Each digest once, by bucket, with its count (2: several); open places with a single digest go
         along, and those that this flush answers itself come without digests."""
@@ -390,10 +405,9 @@ def _open_strings(texts: DataFrame, marked: DataFrame, length: int) -> DataFrame
         h1, h2 = whole[:, 0], (whole[:, 1] >> np.uint64(33)).astype(np.uint32)
         rows = np.concatenate([np.full(len(h[2]), h[1], np.int64) for h in held])
         places, is_open = np.concatenate([h[2] for h in held]).astype(np.int32), np.concatenate([h[3] for h in held])
-        own = (h1 % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((h2, h1, own))
-        h1, h2, rows, places, is_open, own = (x[order] for x in (h1, h2, rows, places, is_open, own))
-        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+        order, new = digest_order(h1, h2)
+        h1, h2, rows, places, is_open = (x[order] for x in (h1, h2, rows, places, is_open))
+        own = ((h1 >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)  # ranges of digests, in their order
         start = np.flatnonzero(new)
         count = np.diff(np.append(start, len(h1)))
         answered = is_open & (count > 1)[np.cumsum(new) - 1]
@@ -419,11 +433,17 @@ def _open_strings(texts: DataFrame, marked: DataFrame, length: int) -> DataFrame
         for b in batches:
             for row, raw, *lists in zip(b.column(0).to_pylist(), b.column(1), *[b.column(k) for k in range(2, 6)]):
                 raw = raw.as_py()
-                for a, z, lo, hi in zip(*[x.values.to_pylist() for x in lists]):
-                    places = np.arange(a, z + 1)
-                    held.append((b"".join([digest(raw[p: p + length]) for p in range(a, z + 1)]), row, places,
-                                 (places >= lo) & (places <= hi)))
+                first, last, lo, hi = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+                count = last - first + 1
+                many = np.cumsum(count)
+                at = 0
+                while at < len(first):
+                    z = max(at + 1, int(np.searchsorted(many, many[at] - count[at] + (1 << 18), "right")))
+                    part, places = slice(at, z), _ranges(first[at:z], count[at:z])
+                    held.append((b"".join([digest(raw[p: p + length]) for p in places.tolist()]), row, places,
+                                 (places >= np.repeat(lo[part], count[part])) & (places <= np.repeat(hi[part], count[part]))))
                     size += len(places)
+                    at = z
                     if size >= 1 << 20:
                         yield flush(held)
                         held, size = [], 0
@@ -445,8 +465,7 @@ def _open_strings(texts: DataFrame, marked: DataFrame, length: int) -> DataFrame
             where = np.zeros((2, len(h1)), np.int64)
             where[0, asks] = np.concatenate([unpack(r["row"], np.int64) for r in given])
             where[1, asks] = np.concatenate([unpack(r["place"], np.int32) for r in given])
-            order = np.lexsort((h2, h1))
-            new = np.append(True, (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]]))
+            order, new = digest_order(h1, h2)
             total = np.add.reduceat(n[order], np.flatnonzero(new))
             again = order[(total >= 2)[np.cumsum(new) - 1] & asks[order]]
             rows.append(where[0, again])
@@ -482,15 +501,18 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, spread: int = SPREAD,
     return spans
 
 
-def merged_spans(spans: list[tuple[int, int]]) -> list[list[int]]:
-    """Maximal runs that the spans cover."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def merged_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end): maximal runs that the spans [a, b) of each row cover; ``sizes`` are the rows' lengths."""
+    if not len(row):
+        return (np.empty(0, np.int64),) * 3
+    base = np.cumsum(sizes + 1) - (sizes + 1)  # one place between rows, so no run reaches over two
+    order = np.argsort(a + base[row], kind="stable")
+    row = row[order]
+    low, reach = a[order] + base[row], np.maximum.accumulate(b[order] + base[row])
+    first = np.flatnonzero(np.append(True, low[1:] > reach[:-1]))
+    last = np.append(first[1:], len(row)) - 1
+    row = row[first]
+    return row, low[first] - base[row], reach[last] - base[row]
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, spread: int = SPREAD,
@@ -507,16 +529,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     spans = repeated_spans(texts, length, spread, run_size, range_size)
 
     def cut(raws: pa.Array, lists: pa.Array) -> pa.Array:
-        runs, kept = [], []
-        for raw, some in zip(raws, lists):
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        a, b = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
+        row, start, end = merged_spans(np.repeat(np.arange(len(raws)), counts), a, b,
+                                       pc.binary_length(raws).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(raws))))
+        runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
+        start, end, kept = start.tolist(), end.tolist(), []
+        for raw, at, z in zip(raws, ends.tolist(), ends[1:].tolist()):
             raw = raw.as_py()
-            own = merged_spans([(s["a"], s["b"]) for s in some.as_py() or ()])
-            edges = [0, *[x for s in own for x in s], len(raw)]
-            runs.append([{"start": a, "end": b} for a, b in own])
-            kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
-        return pa.StructArray.from_arrays(
-            [pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-            ["spans", "kept"])
+            kept.append(b"".join(raw[i:j] for i, j in zip([0, *end[at:z]], [*start[at:z], len(raw)])))
+        return pa.StructArray.from_arrays([runs, pa.array(kept, pa.binary())], ["spans", "kept"])
 
     joined = texts.join(spans, "row", "left")
     result = F.arrow_udf(cut, "spans array<struct<start:long,end:long>>, kept binary")("raw", "spans")
